@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, repair, sharding
+from . import mixing, packing, quality, repair, sharding
 from .shared import documents
 from .tokens import word_bpe_path
 
 SHARDS = (1.0,) * 8
+MAX_REPEATS = 2.0
 
 
 def op1_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +25,13 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS, (*SHARDS, 1.0))
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards)}
-ORACLES: dict[str, str] = {}
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(documents(spark, sf_dir))
+
+
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir), max_repeats=MAX_REPEATS)
+
+
+QUERIES = {f.__name__: f for f in (op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards, op9_line_frequency, op10_temperature_mix)}
+ORACLES = {"op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS)}
