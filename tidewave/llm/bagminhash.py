@@ -117,7 +117,7 @@ def _first_points(row: np.ndarray, h: np.ndarray, level: np.ndarray, weight: np.
     j = 0
     while len(row):
         j += 1
-        x = _mix(seed + _U(j) * _U(0xD1B54A32D192ED03))
+        x = _mix(seed + _U(j * 0xD1B54A32D192ED03 % (1 << 64)))
         t = t - np.log(((x >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)) / (m * width)
         live = t <= limit[row]
         row, seed, t, base, width, weight, x = row[live], seed[live], t[live], base[live], width[live], weight[live], x[live]
@@ -242,8 +242,8 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold:
     return build.unionByName(probe).groupBy("bucket", "block", "other").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class) of each row."""
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """key, id of each row; and key, id (the least of its rows), label of each node."""
     signed = materialise(sign(docs), "signed")
     # doc_id null counts as the lowest
     one = signed.groupBy("key").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "weight", "signature")).alias("x"))
@@ -269,14 +269,22 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
         labels = labels.unionByName(alone).join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
     classes = nodes.select("key", "node", "id").join(labels, "node", "left").select("key", "id", F.coalesce("label", "node").alias("label"))
-    classes = materialise(classes, "classes")
+    return signed.select("key", "id"), materialise(classes, "classes")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id (the least doc_id of the class), class_number of each row."""
+    rows, classes = _classes(docs, threshold)
+    # null counts as the lowest
     least = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("least"))
-    of_key = classes.join(least, "label").select("key", F.col("least.id").alias("class_id"), "label")
-    return signed.select("key", F.col("id").alias("doc_id")).join(of_key, "key").select("doc_id", "class_id", F.col("label").alias("class_number"))
+    of_key = classes.join(least, "label").select("key", F.col("least.id").alias("class_id"), F.col("label").alias("class_number"))
+    return rows.join(of_key, "key").select(F.col("id").alias("doc_id"), "class_id", "class_number")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row of each class: that of the least doc_id, all columns."""
-    classes = near_duplicates(docs, threshold)
-    keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), "class_number").dropDuplicates(["class_number"]).groupBy("_id").agg(F.count("*").alias("_n"))
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")
+    """One row of each class, of the least doc_id, with all columns."""
+    _, classes = _classes(docs, threshold)
+    least = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "key")).alias("least"))
+    keep = least.select(F.col("least.key").alias("_key"), F.coalesce("least.id", F.lit(-(1 << 63))).alias("_id"))
+    rows = docs.withColumn("_key", _node_key()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    return rows.join(keep, ["_key", "_id"]).dropDuplicates(["_key", "_id"]).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, repair, sharding
+from . import bagminhash, mixing, packing, quality, repair, sharding
 from .shared import documents
 from .tokens import word_bpe_path
 
@@ -25,6 +25,10 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS, (*SHARDS, 1.0))
 
 
+def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(documents(spark, sf_dir), threshold=0.8)
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(documents(spark, sf_dir))
 
@@ -33,5 +37,5 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir), max_repeats=MAX_REPEATS)
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards, op9_line_frequency, op10_temperature_mix)}
+QUERIES = {f.__name__: f for f in (op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards, op7_bag_minhash, op9_line_frequency, op10_temperature_mix)}
 ORACLES = {"op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS)}

@@ -43,13 +43,17 @@ class Grammar:
     bounds: np.ndarray  # first symbol of each document, and the end
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, least: int = 4, rounds: int = 12) -> Grammar:
-    """Replaces frequent pairs until no round saves a hundredth of the symbols.
+def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, least: int = 4, rounds: int = 6) -> Grammar:
+    """Replaces frequent pairs until a round saves less than a 25th of the symbols.
 
     In a round, each pair's rank is that of its count; where occurrences
     overlap, the more frequent pair wins, and the left one of equal pairs.
     """
-    seq = ids.astype(np.uint64)
+    # a pair is one number, of 32 bits if symbols have 16
+    word, half = (np.uint32, 16) if base + most_rules <= 65_536 else (np.uint64, 32)
+    none, shift, low = np.iinfo(word).max, word(half), word((1 << half) - 1)  # none: no rule may be the pair of two highest symbols
+    most_rules -= 1
+    seq = ids.astype(word)
     last = np.zeros(len(seq), bool)
     last[bounds[1:][np.diff(bounds) > 0] - 1] = True
     left: list[np.ndarray] = []
@@ -58,12 +62,12 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, le
     for _ in range(rounds):
         if len(seq) < 2 or used >= most_rules:
             break
-        key = (seq[:-1] << np.uint64(32)) | seq[1:]
-        key[last[:-1]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        key = (seq[:-1] << shift) | seq[1:]
+        key[last[:-1]] = none
         ordered = np.sort(key)
         cut = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
         pairs, counts = ordered[cut[:-1]], np.diff(cut)
-        good = (counts >= least) & (pairs != np.uint64(0xFFFFFFFFFFFFFFFF))
+        good = (counts >= least) & (pairs != none)
         pairs, counts = pairs[good], counts[good]
         if not len(pairs):
             break
@@ -76,7 +80,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, le
         slot = _slot(pairs)
         rank = np.full(_TABLE, len(pairs), np.int32)
         rank[slot] = np.arange(len(pairs))
-        held = np.zeros(_TABLE, np.uint64)
+        held = np.zeros(_TABLE, word)
         held[slot] = pairs
         at = _slot(key)
         r = np.where(held[at] == key, rank[at], len(pairs)).astype(np.int32)
@@ -93,16 +97,16 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, le
         name = np.cumsum(kept) - 1 + base + used
         where = where[kept[r[where]]]
         saved = len(where)
-        seq[where] = name[r[where]].astype(np.uint64)
+        seq[where] = name[r[where]].astype(word)
         last[where] = last[where + 1]
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
         before = len(seq)
         seq, last = seq[stay], last[stay]
-        left.append((pairs[kept] >> np.uint64(32)).astype(np.uint32))
-        right.append((pairs[kept] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        left.append((pairs[kept] >> shift).astype(np.uint32))
+        right.append((pairs[kept] & low).astype(np.uint32))
         used += int(kept.sum())
-        if saved < before / 100:
+        if saved < before / 25:
             break
     lefts = np.concatenate(left) if left else np.zeros(0, np.uint32)
     rights = np.concatenate(right) if right else np.zeros(0, np.uint32)
@@ -120,7 +124,9 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, le
 
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+    if pairs.dtype == np.uint32:
+        return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    return (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
@@ -176,7 +182,7 @@ def from_bytes(data: bytes) -> Grammar:
 BLOCKS = "part int, block int, start_in_part long, n_tokens long, doc_ids array<long>, data binary"
 
 
-def write_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int = 1 << 20, vocabulary: int = 49_408) -> str:
+def write_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int = 1 << 21, vocabulary: int = 49_408) -> str:
     """Encodes documents in ascending doc_id order and returns the folder of the blocks.
 
     The folder is Parquet, written with Spark's commit protocol; ``data``

@@ -67,9 +67,12 @@ class WordEncoder:
             ids, lengths = self._encode_runs(new)
             self.runs = pa.concat_arrays([self.runs, new])
             self.ids = np.concatenate([self.ids, ids])
+            first = len(self.offsets) - 1
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            known = pc.index_in(runs, value_set=self.runs)
-        return known.to_numpy(zero_copy_only=False).astype(np.int64)
+            known = known.fill_null(-1).to_numpy().astype(np.int64)
+            known[known < 0] = np.arange(first, first + len(new))
+            return known
+        return known.to_numpy().astype(np.int64)
 
     def _encode_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Plain runs are encoded many at a time: each of their words ends with
