@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, mixing, packing, quality, repair, sharding
+from . import bagminhash, factorization, media, mixing, packing, quality, quotes, repair, secrets, sharding
 from .shared import documents
 from .tokens import word_bpe_path
 
@@ -25,10 +25,26 @@ def op3_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS, (*SHARDS, 1.0))
 
 
+def op4_archive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_measure(documents(spark, sf_dir))
+
+
+def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def op6_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(documents(spark, sf_dir), threshold=0.8)
 
 
+def op8_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(documents(spark, sf_dir))
 
@@ -37,5 +53,11 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir), max_repeats=MAX_REPEATS)
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards, op7_bag_minhash, op9_line_frequency, op10_temperature_mix)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards, op4_archive_media, op5_factorization_machine,
+        op6_layered_secrets, op7_bag_minhash, op8_quotation_links, op9_line_frequency, op10_temperature_mix,
+    )
+}
 ORACLES = {"op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS)}
