@@ -91,6 +91,7 @@ def test_against_all_pairs(spark):
 def test_a_group_across_blocks(spark, monkeypatch):
     """A chain of edits: neighbours are linked, ends are far apart; small blocks and leaders alone don't find it."""
     monkeypatch.setattr(bag, "BLOCK", 4)
+    monkeypatch.setattr(bag, "PART", 3)
     r = random.Random(5)
     words = [f"w{i}" for i in range(120)]
     docs = []

@@ -15,8 +15,9 @@ at least the threshold, and classes are the connected components of links:
 1. in each bucket every node is compared with the bucket's lowest and highest;
 2. components are found;
 3. in buckets that still hold several components, nodes are compared across
-   components in blocks, by signature, and those that may be similar exactly.
-   Nodes of one component need no further comparison.
+   components in blocks: those that the signatures allow exactly. A pair is
+   looked at in the first band that it shares, nodes that a link has brought
+   together are not compared further, and a block returns such links alone.
 
 Null, empty or white text: no shingles; equal texts share a class, others of
 this kind don't. Repeated rows and ties share a class. Empty table: no rows.
@@ -42,7 +43,10 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Standard deviations that an estimate may lie below the threshold.
 MARGIN = 5.5
-BLOCK = 512
+#: Most nodes, and about the most shingles, of one side of a block.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Pairs of one node that are verified in one part.
+PART = 512
 _U = np.uint64
 
 
@@ -164,18 +168,24 @@ def sign(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key binary, id long, weight long, signature binary")
 
 
+def _band_keys(signature: pa.Array) -> np.ndarray:
+    """A hash of each band of each signature."""
+    sig = np.frombuffer(b"".join(signature.to_pylist()), "<u4").reshape(len(signature), BANDS, ROWS).astype(_U)
+    h = np.broadcast_to(np.arange(BANDS, dtype=_U), sig.shape[:2])
+    for k in range(ROWS):
+        h = _mix(h * _U(0x9E3779B97F4A7C15) + sig[:, :, k])
+    return h.view(np.int64)
+
+
 def _bands(nodes: DataFrame) -> DataFrame:
-    """bucket, node: one row for each band of a node with shingles."""
+    """bucket, band, node: one row for each band of a node with shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u4").reshape(batch.num_rows, BANDS, ROWS).astype(_U)
-            h = np.broadcast_to(np.arange(BANDS, dtype=_U), sig.shape[:2])
-            for k in range(ROWS):
-                h = _mix(h * _U(0x9E3779B97F4A7C15) + sig[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["bucket", "node"])
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(_band_keys(batch.column("signature")).reshape(-1)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), n)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], names=["bucket", "band", "node"])
 
-    return nodes.filter("weight > 0").select("node", "signature").mapInArrow(run, "bucket long, node long")
+    return nodes.filter("weight > 0").select("node", "signature").mapInArrow(run, "bucket long, band int, node long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -206,38 +216,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 similar = weighted_jaccard(part.column("text_a"), part.column("text_b")) >= threshold
                 yield part.select(["a", "b"]).filter(pa.array(similar))
 
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).filter("parts > 1")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts")).filter("parts > 1")
     dealt = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).select("a", "b", "part")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(parts, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and may be similar by their signatures.
+def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components of nodes that share a bucket: enough of them to join what is linked.
 
     Only nodes outside the bucket's largest component are compared with the
-    others, in blocks of BLOCK by BLOCK nodes.
+    others. members(bucket, band, node).
     """
-    m = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    m = materialise(m, "members")
-    sizes = m.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("top")).filter("labels > 1")
-    rows = m.join(sizes.select("bucket", "n", "top"), "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = rows.join(nodes.select("node", "signature"), "node")
+    m = members.join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label"))
+    m = materialise(m.join(nodes.select("node", "weight"), "node"), "members")
+    by_label = m.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    sizes = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("top")).filter("labels > 1")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES))
+    rows = m.join(sizes.select("bucket", "top", blocks.alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.join(nodes.select("node", "signature"), "node").join(texts, "node")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    build = rows.select("bucket", F.col("mine").alias("block"), every.alias("other"), "node", "label", "signature", F.lit(False).alias("probe"))
-    probe = rows.filter("label <> top").select("bucket", every.alias("block"), F.col("mine").alias("other"), "node", "label", "signature", F.lit(True).alias("probe"))
+    columns = ["band", "node", "label", "signature", "text"]
+    build = rows.select("bucket", F.col("mine").alias("block"), every.alias("other"), *columns, F.lit(False).alias("probe"))
+    probe = rows.filter("label <> top").select("bucket", every.alias("block"), F.col("mine").alias("other"), *columns, F.lit(True).alias("probe"))
     least = max(1, math.floor(REGISTERS * threshold - MARGIN * math.sqrt(REGISTERS * threshold * (1 - threshold))))
 
     def compare(table: pa.Table) -> pa.Table:
-        label, node, is_probe = (table[c].to_numpy() for c in ("label", "node", "probe"))
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(table.num_rows, REGISTERS)
-        there, a, b = np.flatnonzero(~is_probe), [], []
-        for i in np.flatnonzero(is_probe):
-            hit = there[((sig[there] == sig[i]).sum(axis=1) >= least) & (label[there] != label[i])]
-            a.append(np.minimum(node[hit], node[i]))
-            b.append(np.maximum(node[hit], node[i]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        table = table.combine_chunks().sort_by("node")
+        root, node, is_probe = (table[c].to_numpy().copy() for c in ("label", "node", "probe"))
+        a, b = [], []
+        if is_probe.any() and not is_probe.all():
+            signature = table["signature"].combine_chunks()
+            sig = np.frombuffer(b"".join(signature.to_pylist()), "<u4").reshape(table.num_rows, REGISTERS)
+            keys, band = _band_keys(signature), table["band"][0].as_py()
+            doc, h, w = shingles(table["text"].combine_chunks())
+            codes, code = np.unique(h, return_inverse=True)
+            total = np.bincount(doc, weights=w, minlength=len(node))
+            first = np.searchsorted(doc, np.arange(len(node) + 1))
+            mine = np.zeros(len(codes), np.int64)
+            there = np.flatnonzero(~is_probe)
+            for i in np.flatnonzero(is_probe):
+                left = there[root[there] != root[i]]
+                left = left[(sig[left] == sig[i]).sum(axis=1) >= least]
+                left = left[(keys[left] == keys[i]).argmax(axis=1) == band]
+                if not len(left):
+                    continue
+                mine[code[first[i] : first[i + 1]]] = w[first[i] : first[i + 1]]
+                n = first[left + 1] - first[left]
+                at = np.arange(n.sum()) + np.repeat(first[left] - (np.cumsum(n) - n), n)
+                common = np.bincount(np.repeat(np.arange(len(left)), n), weights=np.minimum(w[at], mine[code[at]]), minlength=len(left))
+                mine[code[first[i] : first[i + 1]]] = 0
+                for j in left[common / (total[left] + total[i] - common) >= threshold]:
+                    if root[j] != root[i]:
+                        a.append(min(node[i], node[j]))
+                        b.append(max(node[i], node[j]))
+                        root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return build.unionByName(probe).groupBy("bucket", "block", "other").applyInArrow(compare, "a long, b long").distinct()
 
@@ -259,8 +294,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     links = materialise(_verify(stars, texts, threshold), "links")
     labels = components(links)
     # up to three nodes have all been compared
-    pairs = materialise(_across(members.filter("n > 3").select("bucket", "node"), labels, nodes, threshold), "pairs")
-    more = materialise(_verify(pairs, texts, threshold), "more-links")
+    more = materialise(_across(members.filter("n > 3").select("bucket", "band", "node"), labels, nodes, texts, threshold), "more-links")
     if more.limit(1).count():
         # between components only: their labels are the nodes of a smaller graph
         of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
