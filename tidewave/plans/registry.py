@@ -6,13 +6,16 @@ the amplitude. Decimals are rounded where summation order shows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewave.functions import scalars
 from tidewave.functions.timeline import HOUR
-from tidewave.operators import alignment, correlograms, information, models, neighbours, periods, quality, trains, waveforms
+from tidewave.operators import alignment, behaviour, correlograms, information, models, neighbours, periods, quality, rates, significance, trains, waveforms
+from tidewave.sources import units
 from tidewave.sources.tables import spikes, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,5 +586,133 @@ def q_membership(spark, d):
     return table(spark, d, "orders").join(poor, "o_custkey", "left_semi").join(returned, "o_orderkey", "left_anti").select("o_orderkey")
 
 
+# --- behaviour
+
+@query(f"WITH {CLICKS}, g AS (SELECT *, t - lag(t) OVER w AS b, lead(t) OVER w - t AS f FROM c WINDOW w AS (PARTITION BY unit ORDER BY t)) SELECT unit, id, t FROM g WHERE coalesce(b, {24 * HOUR} + 1) > {24 * HOUR} AND f > {HOUR} AND f < {24 * HOUR}")
+def q_bout_onsets(spark, d):
+    return behaviour.bout_onsets(spikes(spark, d, "click"), 24 * HOUR, HOUR, 24 * HOUR).select("unit", "id", "t")
+
+
+@query(f"""WITH {SPIKES} SELECT r.unit, r.id, r.t, min(q.t) AS cue, min(l.t) AS lick FROM s r JOIN s q ON q.unit = r.unit AND q.e = 'signup' AND q.t > r.t - {48 * HOUR} AND q.t < r.t
+JOIN s l ON l.unit = r.unit AND l.e = 'click' AND l.t > r.t AND l.t < r.t + {48 * HOUR} WHERE r.e = 'purchase' GROUP BY ALL""")
+def q_cued_rewards(spark, d):
+    return behaviour.cued_rewards(spikes(spark, d, "purchase"), spikes(spark, d, "signup"), spikes(spark, d, "click"), 48 * HOUR)
+
+
+@query(f"WITH {SPIKES} SELECT unit, id, t, (SELECT min(r.t) FROM s r WHERE r.unit = o.unit AND r.e = 'purchase' AND r.t >= o.t AND r.t < o.t + {24 * HOUR}) AS reward FROM s o WHERE e = 'signup'")
+def q_trial_rewards(spark, d):
+    return behaviour.trial_rewards(spikes(spark, d, "signup"), spikes(spark, d, "purchase"), 24 * HOUR)
+
+
+@query(f"""WITH {SPIKES}, r AS (SELECT unit, (t // {HOUR}) % 24 / 24.0::DOUBLE * 2 * pi() AS angle, count(*)::DOUBLE AS rate FROM s GROUP BY ALL), v AS (SELECT unit, sum(rate * cos(angle)) AS x, sum(rate * sin(angle)) AS y, sum(rate) AS n FROM r GROUP BY unit)
+SELECT unit, round(CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END, 6) AS direction, round(sqrt(x * x + y * y) / n, 6) AS selectivity FROM v WHERE sqrt(x * x + y * y) > 1e-6""")
+def q_preferred_direction(spark, d):
+    hour = F.floor(F.col("t") / HOUR) % 24
+    by_hour = spikes(spark, d).groupBy("unit", (hour / 24.0 * (2 * math.pi)).alias("angle")).agg(F.count("*").cast("double").alias("rate"))
+    return behaviour.preferred_direction(by_hour).filter("selectivity > 1e-8").select("unit", r6("direction", "direction"), r6("selectivity", "selectivity"))
+
+
+# --- rates
+
+SMOOTH_SD = 1.5
+DAILY = f"k AS (SELECT unit, (t - {START}) // {DAY} AS bin, count(*) AS n FROM c GROUP BY ALL), g AS (SELECT unit, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT unit FROM c) CROSS JOIN (SELECT unnest(range(0, 30)) AS bin) LEFT JOIN k USING (unit, bin))"
+SMOOTHED = DAILY + f""", o AS (SELECT o, exp(-0.5 * (o / {SMOOTH_SD}) ^ 2) AS w FROM range(-6, 7) AS r(o)), wt AS (SELECT o, w / (SELECT sum(w) FROM o) AS w FROM o),
+sm AS (SELECT a.unit, a.bin, a.n, sum(b.n * w) AS smooth FROM g a CROSS JOIN wt JOIN g b ON b.unit = a.unit AND b.bin = CASE WHEN a.bin + o < 0 THEN -(a.bin + o) - 1 WHEN a.bin + o >= 30 THEN 59 - (a.bin + o) ELSE a.bin + o END GROUP BY ALL)"""
+
+
+def _from_start(spark, d):
+    return spikes(spark, d, "click").withColumn("t", F.col("t") - START)
+
+
+@query(f"WITH {CLICKS}, {SMOOTHED} SELECT unit, bin, round(smooth, 6) AS smooth FROM sm")
+def q_instant_rate(spark, d):
+    return rates.gaussian_smoothed(trains.binned(_from_start(spark, d), DAY, 30 * DAY), SMOOTH_SD).select("unit", "bin", r6("smooth", "smooth"))
+
+
+@query(f"""WITH {CLICKS}, {SMOOTHED}, f AS (SELECT sm.unit, bin, smooth >= m * 0.9 AS flag FROM sm JOIN (SELECT unit, avg(n) AS m FROM g GROUP BY unit) USING (unit)),
+i AS (SELECT *, sum(ch) OVER (PARTITION BY unit ORDER BY bin) AS run FROM (SELECT *, CASE WHEN flag <> lag(flag) OVER (PARTITION BY unit ORDER BY bin) THEN 1 ELSE 0 END AS ch FROM f)),
+r AS (SELECT unit, min(bin) * {DAY} AS start, (max(bin) + 1) * {DAY} AS stop FROM i WHERE flag GROUP BY unit, run)
+SELECT * FROM r UNION ALL SELECT DISTINCT unit, 0, {30 * DAY} FROM g WHERE unit NOT IN (SELECT unit FROM r)""")
+def q_firing_periods(spark, d):
+    return rates.firing_periods(_from_start(spark, d), DAY, 30 * DAY, SMOOTH_SD, 0.9)
+
+
+@query(f"""WITH {SPIKES}, r AS (SELECT *, 1 / ((lead(t) OVER w - lag(t) OVER w) / 2.0::DOUBLE) AS rate FROM s WINDOW w AS (PARTITION BY unit ORDER BY t)),
+e AS (SELECT unit, quantile_cont(rate, [0.2, 0.4, 0.6, 0.8]) AS e FROM r WHERE rate IS NOT NULL GROUP BY unit),
+l AS (SELECT r.unit, id, t, least(len(list_filter(e.e, lambda x: x < rate)), 3) AS level FROM r JOIN e USING (unit) WHERE rate IS NOT NULL),
+p AS (SELECT l.unit, level, CASE WHEN s.t >= l.t THEN (s.t - l.t) // {6 * HOUR} ELSE -((l.t - s.t) // {6 * HOUR}) END AS bin FROM l JOIN s ON s.unit = l.unit AND s.id <> l.id AND abs(s.t - l.t) < {42 * HOUR})
+SELECT p.unit, p.level, bin, round(count(*) / any_value(refs)::DOUBLE, 6) AS p FROM p JOIN (SELECT unit, level, count(*) AS refs FROM l GROUP BY ALL) k USING (unit, level) WHERE bin <> 0 GROUP BY ALL""")
+def q_acg_by_rate(spark, d):
+    out = rates.autocorrelogram_by_rate(spikes(spark, d), 6 * HOUR, 6, 4)
+    return out.select("unit", F.col("level").cast("long").alias("level"), "bin", r6("p", "p"))
+
+
+@query(f"""WITH {ISI}, e AS (SELECT unit, min(isi) AS lo, max(isi) AS hi FROM i GROUP BY unit), k AS (SELECT unit, lo, hi, least(isi_lo * 20 // (hi - lo), 19) AS k, count(*) AS n FROM (SELECT i.unit, lo, hi, isi - lo AS isi_lo FROM i JOIN e USING (unit) WHERE isi IS NOT NULL AND hi > lo) GROUP BY ALL)
+SELECT unit, round(lo + k * (hi - lo) / 20.0::DOUBLE, 3) AS mode FROM k QUALIFY row_number() OVER (PARTITION BY unit ORDER BY n DESC, k) = 1""")
+def q_interval_mode(spark, d):
+    return rates.interval_mode(spikes(spark, d), 20).select("unit", F.round("mode", 3).alias("mode"))
+
+
+@query(f"WITH {SPIKES}, e AS (SELECT unit, min(a) AS lo, max(a) AS hi FROM s GROUP BY unit) SELECT unit, id, CASE WHEN hi > lo THEN least(floor((a - lo) * 4 / (hi - lo)), 3) ELSE 0 END::BIGINT AS part FROM s JOIN e USING (unit)")
+def q_split_distribution(spark, d):
+    return rates.split_by_value(spikes(spark, d), "a", 4).select("unit", "id", "part")
+
+
+@query()
+def q_log_isi_entropy(spark, d):
+    return rates.log_interval_entropy(spikes(spark, d)).select("unit", r6("entropy", "entropy"))
+
+
+# --- correlograms against a predictor
+
+_KERNEL = significance.hollow_kernel(4)
+PREDICTED = FULL + f""", g AS (SELECT u1, u2, bin, coalesce(n, 0) AS n FROM (SELECT DISTINCT u1, u2 FROM f) CROSS JOIN (SELECT unnest(range({-HALF}, {HALF + 1})) AS bin) LEFT JOIN f USING (u1, u2, bin)),
+wt AS (SELECT unnest(range({-(len(_KERNEL) // 2)}, {len(_KERNEL) // 2 + 1})) AS o, unnest([{', '.join(f'{w!r}::DOUBLE' for w in _KERNEL)}]) AS w),
+x AS (SELECT a.u1, a.u2, a.bin, a.n, sum(b.n * w) AS expected FROM g a CROSS JOIN wt JOIN g b ON b.u1 = a.u1 AND b.u2 = a.u2 AND b.bin + {HALF} = CASE WHEN a.bin + {HALF} + o < 0 THEN -(a.bin + {HALF} + o) - 1 WHEN a.bin + {HALF} + o >= {2 * HALF + 1} THEN {4 * HALF + 1} - (a.bin + {HALF} + o) ELSE a.bin + {HALF} + o END GROUP BY ALL)"""
+
+
+@query(f"WITH {CLICKS}, {PREDICTED} SELECT u1, u2, bin, round(expected, 6) AS expected, round(CASE WHEN expected > 0 THEN 1 - coalesce((SELECT sum(exp(i * ln(expected) - expected - lgamma(i + 1))) FROM range(0, 60) AS r(i) WHERE i < n), 0) - 0.5 * exp(n * ln(expected) - expected - lgamma(n + 1)) WHEN n > 0 THEN 0 ELSE 1 END, 6) AS p_excess FROM x")
+def q_ccg_poisson(spark, d):
+    full = correlograms.dense_bins(correlograms.symmetric(correlograms.half_counts(spikes(spark, d, "click"), HOUR, HALF)), HALF)
+    return significance.poisson_test(full, 4, HALF).select("u1", "u2", "bin", r6("expected", "expected"), r6("p_excess", "p_excess"))
+
+
+# --- scalar and array functions on the relational tables
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount - 0.05 < 0 THEN -1 ELSE 1 END AS side, floor(l_quantity / pow(2, 2))::BIGINT % 2 AS third_bit, ceil(l_quantity / 5)::BIGINT - 1 AS bin,
+  round(sqrt(l_quantity * l_quantity + l_tax * l_tax), 6) AS r, l_quantity * l_quantity / 900 + l_discount * l_discount / 0.0049 <= 1 AS inside, round(2 * 0.07 * sqrt(greatest(0, 1 - l_quantity * l_quantity / 2500)), 6) AS chord FROM lineitem""")
+def q_scalar_functions(spark, d):
+    q, tax, disc = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", scalars.sign(disc - 0.05).alias("side"), F.get(scalars.bits(q, 3), F.lit(2)).cast("long").alias("third_bit"), scalars.open_bin(q, 0.0, 5.0).cast("long").alias("bin"),
+        r6(scalars.polar(q, tax)[0], "r"), scalars.in_ellipse(q, disc, 30.0, 0.07).alias("inside"), r6(scalars.ellipse_chord(q, 50.0, 0.07), "chord"),
+    )
+
+
+@query("""WITH w AS (SELECT vec_id, embedding::DOUBLE[] AS w FROM embeddings) SELECT vec_id, round(list_avg(w), 6) AS mean, round(list_aggregate(w, 'stddev_pop'), 6) AS sd, round(list_avg(w[9:24]), 6) AS second_piece, (len(w) - 16) // 8 + 1 AS n_pieces, round((w[1] + w[2]) / 2, 6) AS between FROM w""")
+def q_array_functions(spark, d):
+    w = F.col("w")
+    x = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    p = scalars.pieces(w, 16, 8)
+    return x.select("vec_id", r6(scalars.array_mean(w), "mean"), r6(scalars.array_std(w), "sd"), r6(scalars.array_mean(F.get(p, F.lit(1))), "second_piece"), F.size(p).cast("long").alias("n_pieces"), r6(F.get(scalars.interpolated(w, 2), F.lit(1)), "between"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_discount = 0)::INT + (l_tax = 0)::INT > 1 OR l_discount IS NULL OR l_tax IS NULL")
+def q_unusable_features(spark, d):
+    return units.unusable(table(spark, d, "lineitem"), ["l_discount", "l_tax"], 1).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, o_custkey, c_acctbal, n FROM orders o LEFT JOIN (SELECT c_custkey AS o_custkey, c_acctbal, 1 AS n FROM customer WHERE c_acctbal > 0) USING (o_custkey)")
+def q_combined_features(spark, d):
+    c = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("int").alias("o_custkey"), "c_acctbal", F.lit(1).alias("n"))
+    return units.combined_features(table(spark, d, "orders").select("o_orderkey", "o_custkey"), c)
+
+
+@query(f"WITH {SPIKES} SELECT unit, CASE WHEN unit IN (SELECT l_suppkey FROM lineitem WHERE l_quantity = 50) THEN 'good' ELSE 'unsorted' END AS \"group\" FROM (SELECT DISTINCT unit FROM s)")
+def q_unit_qualities(spark, d):
+    known = table(spark, d, "lineitem").filter("l_quantity = 50").select(F.col("l_suppkey").alias("unit"), F.lit("good").alias("group")).distinct()
+    return units.repaired(known, spikes(spark, d))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ccg_counts(spark, sf_dir)
