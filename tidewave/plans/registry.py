@@ -17,6 +17,8 @@ from tidewave.functions.timeline import HOUR
 from tidewave.operators import alignment, behaviour, correlograms, information, models, neighbours, periods, quality, rates, significance, trains, waveforms
 from tidewave.sources import units
 from tidewave.sources.tables import spikes, table
+from tidewave.streaming import live
+from tidewave.streaming.drain import drained
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -714,5 +716,33 @@ def q_unit_qualities(spark, d):
     return units.repaired(known, spikes(spark, d))
 
 
+# --- streams over the same table
+
+def live_events(spark, d):
+    """unit, id, t, ts of events, as a stream."""
+    schema = table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    ts = F.col("ts").cast("timestamp")
+    return e.select(F.col("user_id").alias("unit"), F.col("event_id").alias("id"), F.unix_micros(ts).alias("t"), ts.alias("ts"), F.col("event_type").alias("e"))
+
+
+@query(f"WITH {SPIKES} SELECT unit, t // {DAY} AS day, count(*) AS n FROM s GROUP BY ALL")
+def q_stream_daily_counts(spark, d):
+    counts = drained(live.windowed_counts(live_events(spark, d), "1 day", late="40 days"), "update")
+    return counts.groupBy("unit", F.floor(F.unix_micros("start") / DAY).alias("day")).agg(F.max("n").alias("n"))
+
+
+@query(f"WITH {ISI} SELECT unit, id, t FROM i WHERE coalesce(isi > {HOUR}, true)")
+def q_stream_dedup_rp(spark, d):
+    return drained(live.refractory(live_events(spark, d), HOUR, late="40 days"))
+
+
+@query(f"WITH {SPIKES} SELECT p.unit, p.id AS event_id, c.id FROM s p JOIN s c ON c.unit = p.unit AND c.e = 'click' AND c.t BETWEEN p.t - {6 * HOUR} AND p.t + {6 * HOUR} WHERE p.e = 'purchase'")
+def q_stream_aligned(spark, d):
+    e = live_events(spark, d)
+    events = e.filter("e = 'purchase'").select("unit", F.col("id").alias("event_id"), F.col("ts").alias("event_ts"))
+    return drained(live.aligned(events, e.filter("e = 'click'").select("unit", "id", "ts"), "6 hours", "6 hours", late="40 days"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_ccg_counts(spark, sf_dir)
