@@ -182,7 +182,7 @@ def from_bytes(data: bytes) -> Grammar:
 BLOCKS = "part int, block int, start_in_part long, n_tokens long, doc_ids array<long>, data binary"
 
 
-def write_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int = 1 << 21, vocabulary: int = 49_408) -> str:
+def write_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_tokens: int = 1 << 20, vocabulary: int = 49_408) -> str:
     """Encodes documents in ascending doc_id order and returns the folder of the blocks.
 
     The folder is Parquet, written with Spark's commit protocol; ``data``
@@ -207,7 +207,7 @@ def write_token_blocks(docs: DataFrame, tokenizer_path: str, end_id: int, block_
             return pa.RecordBatch.from_arrays(columns, names=["part", "block", "start_in_part", "n_tokens", "doc_ids", "data"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 4 * block_tokens):
+            for piece in slices(batch, "text"):
                 ids, offsets = enc.encode(piece.column("text"))
                 # the end id goes after each document's ids
                 ids = np.insert(ids, offsets[1:], end_id)

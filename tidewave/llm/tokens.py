@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Runs kept by a worker process.
 CACHE_RUNS = 2_000_000
 #: Characters of text encoded at once.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 #: Runs that lower-casing and NFC leave as long as they are; the rest are encoded one by one.
 PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
 
