@@ -43,7 +43,7 @@ class Grammar:
     bounds: np.ndarray  # first symbol of each document, and the end
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, least: int = 4, rounds: int = 6) -> Grammar:
+def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, least: int = 4, rounds: int = 24) -> Grammar:
     """Replaces frequent pairs until a round saves less than a 25th of the symbols.
 
     In a round, each pair's rank is that of its count; where occurrences
