@@ -20,11 +20,11 @@ def over_chance(trials: DataFrame) -> DataFrame:
 
 
 def total_synchrony(dense: DataFrame, base: float = 2.0) -> DataFrame:
-    """total (E[Z^2] over its value for independent units), variance (root of var Z over the sum of variances) and mgf (E[base^Z] over the product of E[base^x])."""
+    """Null where a denominator is 0: total (E[Z^2] over its value for independent units), variance (root of var Z over the sum of variances) and mgf (E[base^Z] over the product of E[base^x])."""
     z = dense.groupBy("bin").agg(F.sum("x").alias("z")).agg(F.avg(F.col("z") * F.col("z")).alias("z2"), F.var_pop("z").alias("vz"), F.avg(F.pow(F.lit(base), "z")).alias("gz"))
     units = dense.groupBy("unit").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.log(F.avg(F.pow(F.lit(base), "x"))).alias("g"))
     ind = units.agg((F.sum("v") + F.pow(F.sum("m"), F.lit(2))).alias("i2"), F.sum("v").alias("sv"), F.sum("g").alias("sg"), F.count("*").alias("n"))
-    return z.join(F.broadcast(ind)).select((F.col("z2") / F.col("i2")).alias("total"), F.sqrt(F.col("vz") / F.col("sv") / F.col("n")).alias("variance"), (F.col("gz") / F.exp("sg")).alias("mgf"))
+    return z.join(F.broadcast(ind)).select(F.try_divide("z2", "i2").alias("total"), F.sqrt(F.try_divide("vz", F.col("sv") * F.col("n"))).alias("variance"), (F.col("gz") / F.exp("sg")).alias("mgf"))
 
 
 def words(dense: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def total_correlation(dense: DataFrame) -> DataFrame:
     each = dense.groupBy("unit").agg(p.alias("p")).select((-F.when(F.col("p") > 0, F.col("p") * F.log("p")).otherwise(0.0) - F.when(F.col("p") < 1, (1 - F.col("p")) * F.log(1 - F.col("p"))).otherwise(0.0)).alias("h1"))
     units = each.agg(F.sum("h1").alias("h_units"), F.max("h1").alias("h_max"))
     tc = F.col("h_units") - F.col("h")
-    return joint.join(F.broadcast(units)).select("h", "h_units", tc.alias("total_correlation"), (tc / (F.col("h_units") - F.col("h_max"))).alias("normalised"))
+    return joint.join(F.broadcast(units)).select("h", "h_units", tc.alias("total_correlation"), F.try_divide(tc, F.col("h_units") - F.col("h_max")).alias("normalised"))
 
 
 def lagged_correlation(dense: DataFrame, lag: int, bins: int) -> DataFrame:

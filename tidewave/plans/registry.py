@@ -446,7 +446,7 @@ def q_sync_chance(spark, d):
 
 
 @query(f"""WITH {DENSE}, z AS (SELECT sum(x) AS z FROM x GROUP BY bin), u AS (SELECT avg(x) AS m, var_pop(x) AS v, ln(avg(pow(2, x))) AS g FROM x GROUP BY unit)
-SELECT round((SELECT avg(z * z) FROM z) / (sum(v) + sum(m) ^ 2), 6) AS total, round(sqrt((SELECT var_pop(z) FROM z) / sum(v) / count(*)), 6) AS variance, round((SELECT avg(pow(2, z)) FROM z) / exp(sum(g)), 6) AS mgf FROM u""")
+SELECT round((SELECT avg(z * z) FROM z) / nullif(sum(v) + sum(m) ^ 2, 0), 6) AS total, round(sqrt((SELECT var_pop(z) FROM z) / nullif(sum(v) * count(*), 0)), 6) AS variance, round((SELECT avg(pow(2, z)) FROM z) / exp(sum(g)), 6) AS mgf FROM u""")
 def q_total_synchrony(spark, d):
     return information.total_synchrony(types_by_hour(spark, d)).select(r6("total", "total"), r6("variance", "variance"), r6("mgf", "mgf"))
 
@@ -460,7 +460,7 @@ def q_p_joint(spark, d):
 
 
 @query(f"""WITH {WORDS}, u AS (SELECT avg(x) AS p FROM x GROUP BY unit), h AS (SELECT -(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) - (CASE WHEN p < 1 THEN (1 - p) * ln(1 - p) ELSE 0 END) AS h FROM u), t AS (SELECT (SELECT -sum(p * ln(p)) FROM j) AS h, sum(h) AS hu, max(h) AS hm FROM h)
-SELECT round(h, 6) AS h, round(hu, 6) AS h_units, round(hu - h, 6) AS total_correlation, round((hu - h) / (hu - hm), 6) AS normalised FROM t""")
+SELECT round(h, 6) AS h, round(hu, 6) AS h_units, round(hu - h, 6) AS total_correlation, round((hu - h) / nullif(hu - hm, 0), 6) AS normalised FROM t""")
 def q_total_correlation(spark, d):
     out = information.total_correlation(types_by_hour(spark, d))
     return out.select(*(r6(c, c) for c in out.columns))
