@@ -1,7 +1,7 @@
 """Token operators against whole-text encoding and exact round trips."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -127,3 +127,20 @@ def test_best_fit_takes_the_fullest_bin():
     bins, offsets = packing.best_fit(np.array([6, 7, 3, 4, 10]), 10)
     assert len(set(bins)) == 3
     assert bins[1] == bins[2] and bins[0] == bins[3] and offsets[2] == 7
+
+
+def test_no_frequent_pair_is_left():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.geometric(0.02, 60_000), 999).astype(np.uint32)
+    bounds = np.array([0, 25_000, 25_000, 60_000])
+    g = repair.compress(ids, bounds, 1000, 60_000)
+    assert (repair.expand(g, g.symbols) == ids).all()
+    pairs = Counter(p for a, b in zip(g.bounds, g.bounds[1:], strict=False) for p in zip(g.symbols[a:b].tolist(), g.symbols[a + 1 : b].tolist(), strict=False))
+    assert max(pairs.values()) < 6
+
+
+def test_rounds_that_save_little_go_on():
+    ids = np.random.default_rng(5).integers(0, 120, 60_000).astype(np.uint32)
+    g = repair.compress(ids, np.array([0, 60_000]), 120, 200)
+    assert len(g.left) == 199
+    assert (repair.expand(g, g.symbols) == ids).all()

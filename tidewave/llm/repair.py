@@ -43,8 +43,8 @@ class Grammar:
     bounds: np.ndarray  # first symbol of each document, and the end
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, least: int = 4, rounds: int = 24) -> Grammar:
-    """Replaces frequent pairs until a round saves less than a 25th of the symbols.
+def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, least: int = 4) -> Grammar:
+    """Replaces frequent pairs until none is left or there are most_rules rules.
 
     In a round, each pair's rank is that of its count; where occurrences
     overlap, the more frequent pair wins, and the left one of equal pairs.
@@ -59,9 +59,7 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, le
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     used = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or used >= most_rules:
-            break
+    while len(seq) > 1 and used < most_rules:
         key = (seq[:-1] << shift) | seq[1:]
         key[last[:-1]] = none
         ordered = np.sort(key)
@@ -96,18 +94,14 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, le
             break
         name = np.cumsum(kept) - 1 + base + used
         where = where[kept[r[where]]]
-        saved = len(where)
         seq[where] = name[r[where]].astype(word)
         last[where] = last[where + 1]
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
-        before = len(seq)
         seq, last = seq[stay], last[stay]
         left.append((pairs[kept] >> shift).astype(np.uint32))
         right.append((pairs[kept] & low).astype(np.uint32))
         used += int(kept.sum())
-        if saved < before / 25:
-            break
     lefts = np.concatenate(left) if left else np.zeros(0, np.uint32)
     rights = np.concatenate(right) if right else np.zeros(0, np.uint32)
     length = np.ones(base + used, np.uint32)
