@@ -1,6 +1,10 @@
+import random
 import re
+import time
 from collections import Counter
 
+import duckdb
+import pyarrow as pa
 from tidewave.llm import quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, place long, hash string, level int"
@@ -92,6 +96,51 @@ def test_sources_across_blocks(spark, monkeypatch):
     assert result(quotes.link_quotations(frame(spark, rows))) == brute(rows)
 
 
+def quoted_table(n=3_000, seed=3):
+    """Conversations whose messages quote earlier ones, at several levels, whole passages or lines, or what nobody said."""
+    rng = random.Random(seed)
+    words = ["point", "plan", "cost", "Line", "é", "data", "2024", "we", "think"]
+    rows, said = [], {}
+    for i in range(n):
+        conv = rng.randrange(n // 40) if rng.random() < 0.7 else 0  # one has a third of all
+        mine = said.setdefault(conv, [])
+        lines = []
+        for _ in range(rng.randrange(4)):
+            if mine and rng.random() < 0.7:
+                old = rng.choice(mine).split("\n")
+                a = rng.randrange(len(old))
+                mark = rng.choice(["> ", ">", "> > ", ">>"])
+                if rng.random() < 0.3:
+                    lines.append("On that day somebody wrote: ")
+                lines += [mark + x for x in old[a : a + rng.randrange(1, 4)]]
+            if rng.random() < 0.3:
+                lines.append("")
+            lines += [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(3))]
+        text = "\n".join(lines)
+        rows.append((conv, len(mine), rng.choice("ab"), text))
+        mine.append(text)
+    return rows
+
+
+def test_a_quoted_table_against_brute_force_and_sql(spark):
+    rows = quoted_table()
+    got = quotes.link_quotations(frame(spark, rows))
+    assert result(got) == brute(rows)
+    assert got.filter("linked").count() > 1000
+    con = duckdb.connect()
+    con.register("conversations", pa.table({c: [r[k] for r in rows] for k, c in enumerate(["conv_id", "turn", "role", "text"])}))
+    names = ["conv_id", "turn", "role", "body", "reply_to", "linked", "depth", "place"]
+    assert Counter(tuple(r) for r in got.select(*names).collect()) == Counter(con.execute(f"SELECT {', '.join(names)} FROM ({quotes.oracle()})").fetchall())
+
+
+def test_long_messages_take_linear_time(spark):
+    long = "\n".join(f"own line {i}" for i in range(40_000))
+    rows = [(1, 0, "a", long), (1, 1, "b", "\n".join("> " + x for x in long.split("\n"))), (1, 2, "c", "\n\n".join(f"> own line {i}" for i in range(20_000)))]
+    began = time.time()
+    got = {r.turn: (r.reply_to, r.linked) for r in quotes.link_quotations(frame(spark, rows)).collect()}
+    assert got == {0: (None, False), 1: (0, True), 2: (0, True)} and time.time() - began < 60
+
+
 def test_the_table_and_nothing(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in docs.collect()]

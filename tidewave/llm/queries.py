@@ -30,7 +30,7 @@ def op4_archive_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factorization.classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+    return factorization.classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3, metadata=["n_chars"])
 
 
 def op6_layered_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,4 @@ QUERIES = {
         op6_layered_secrets, op7_bag_minhash, op8_quotation_links, op9_line_frequency, op10_temperature_mix,
     )
 }
-ORACLES = {"op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS)}
+ORACLES = {"op8_quotation_links": quotes.oracle(), "op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS)}

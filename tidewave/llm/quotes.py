@@ -9,9 +9,10 @@ most of its links at its shallowest linked level name (on a tie the latest);
 one without links replies to the message before it.
 
 Equal turns of a conversation are ordered by text; repeated rows are messages
-of their own. Null text: an empty message. Null turn: before the others. A
-null conv_id is a conversation of its own. Empty table: no rows. Other columns
-are not read.
+of their own, in any order. Null text: an empty message. Null turn: before the
+others. A null conv_id is a conversation of its own. Null role: stays null.
+Very long messages take time in proportion to their length. Empty table: no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_or_empty
+from .shared import materialise, sums_before, text_or_empty
 
 QUOTE = r"^((?:[ \t]*>)+)"
 #: A line that introduces a quotation.
@@ -27,43 +28,24 @@ INTRODUCTION = r"(?i)(wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 BLOCK = 1024
 
 
-def number_rows(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """Adds the place of each row in its group, from 0, without gathering a group in one task.
-
-    Rows are range-partitioned by group and order, numbered in each partition,
-    and moved on by the group's counts in the partitions before.
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialise(rows.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), name)
-    counts = ranged.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n")
-    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1)
-    return placed.join(before, [*group, "_part"]).withColumn(name, (F.col("_place") + F.col("_before")).cast("long")).drop("_part", "_place", "_before")
-
-
 def normalise(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
 
 
 def _passages(messages: DataFrame) -> DataFrame:
     """conv, place, level, hash of each distinct line and passage with a letter or digit."""
-    text_line = F.transform(F.split("text", "\n"), lambda x: F.struct((F.length(F.regexp_extract(x, QUOTE, 1)) - F.length(F.replace(F.regexp_extract(x, QUOTE, 1), F.lit(">"), F.lit("")))).alias("level"), normalise(F.regexp_replace(x, QUOTE, "")).alias("body")))
-    rows = messages.select("conv", "place", text_line.alias("l"))
-    # a passage ends where the level changes or a line is empty
-    fold = F.aggregate(
-        "l",
-        F.struct(F.array().cast("array<struct<level:int,body:string>>").alias("done"), F.lit(-1).alias("level"), F.array().cast("array<string>").alias("open")),
-        lambda a, x: F.when((x["level"] == a["level"]) & (x["body"] != ""), F.struct(a["done"].alias("done"), a["level"].alias("level"), F.concat(a["open"], F.array(x["body"])).alias("open"))).otherwise(
-            F.struct(
-                F.when(F.size(a["open"]) > 1, F.concat(a["done"], F.array(F.struct(a["level"].alias("level"), F.array_join(a["open"], " ").alias("body"))))).otherwise(a["done"]).alias("done"),
-                F.when(x["body"] == "", F.lit(-1)).otherwise(x["level"]).alias("level"),
-                F.when(x["body"] == "", F.array().cast("array<string>")).otherwise(F.array(x["body"])).alias("open"),
-            )
-        ),
-        lambda a: F.when(F.size(a["open"]) > 1, F.concat(a["done"], F.array(F.struct(a["level"].alias("level"), F.array_join(a["open"], " ").alias("body"))))).otherwise(a["done"]),
-    )
-    some = F.array_distinct(F.concat(F.col("l"), fold))
-    return rows.select("conv", "place", F.explode(some).alias("x")).filter(F.col("x.body").rlike(r"[\p{L}\p{N}]")).select("conv", "place", "x.level", F.xxhash64("x.body").alias("hash"))
+    quote = lambda x: F.regexp_extract(x, QUOTE, 1)
+    level = lambda x: F.length(quote(x)) - F.length(F.replace(quote(x), F.lit(">"), F.lit("")))
+    text_line = F.transform(F.split("text", "\n"), lambda x: F.struct(level(x).alias("level"), normalise(F.regexp_replace(x, QUOTE, "")).alias("body")))
+    rows = materialise(messages.select("conv", "place", text_line.alias("l")), "lines")
+    # a passage goes on while the level stays and no line is empty: places of its first and of its last line
+    apart = lambda i, j: F.coalesce((F.get("l", i)["level"] != F.get("l", j)["level"]) | (F.get("l", j)["body"] == ""), F.lit(True))
+    places = F.filter(F.sequence(F.lit(0), F.size("l") - 1), lambda i: F.get("l", i)["body"] != "")
+    rows = rows.withColumn("first", F.filter(places, lambda i: apart(i, i - 1))).withColumn("last", F.filter(places, lambda i: apart(i, i + 1)))
+    several = F.filter(F.arrays_zip("first", "last"), lambda x: x["last"] > x["first"])
+    passage = lambda x: F.struct(F.get("l", x["first"])["level"].alias("level"), F.array_join(F.transform(F.slice("l", x["first"] + 1, x["last"] - x["first"] + 1), lambda y: y["body"]), " ").alias("body"))
+    some = rows.select("conv", "place", F.explode(F.concat(F.col("l"), F.transform(several, passage))).alias("x"))
+    return some.filter(F.col("x.body").rlike(r"[\p{L}\p{N}]")).select("conv", "place", "x.level", F.xxhash64("x.body").alias("hash")).distinct()
 
 
 def _latest_source(own: DataFrame, quoted: DataFrame) -> DataFrame:
@@ -85,8 +67,9 @@ def _latest_source(own: DataFrame, quoted: DataFrame) -> DataFrame:
 def _body(text: Column) -> Column:
     """The text without quoted lines and the lines that introduce them."""
     lines = F.split(text, "\n")
-    own = F.filter(lines, lambda x, i: ~x.rlike(QUOTE) & ~(x.rlike(INTRODUCTION) & F.coalesce(F.get(lines, i + 1).rlike(QUOTE), F.lit(False))))
-    return F.trim(F.array_join(own, "\n"))
+    pairs = F.zip_with(lines, F.slice(lines, F.lit(2), F.size(lines)), lambda x, y: F.struct(x.alias("line"), F.coalesce(y, F.lit("")).alias("next")))
+    own = F.filter(pairs, lambda x: ~x["line"].rlike(QUOTE) & ~(x["line"].rlike(INTRODUCTION) & x["next"].rlike(QUOTE)))
+    return F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"))
 
 
 def link_quotations(conversations: DataFrame) -> DataFrame:
@@ -96,7 +79,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     follows the message that it replies to.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("turn").cast("long").alias("turn"), "role", text_or_empty().alias("text"), F.monotonically_increasing_id().alias("tie"))
-    messages = materialise(number_rows(rows, ["conv"], ["turn", "text", "tie"], "place").drop("tie"), "messages")
+    messages = materialise(sums_before(rows, ["conv"], ["turn", "text", "tie"], {"place": F.lit(1)}, "message-places").drop("tie"), "messages")
     passages = materialise(_passages(messages), "passages")
     quoted = passages.filter("level > 0")
     own = passages.filter("level = 0").join(quoted.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
@@ -115,4 +98,38 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     said = messages.select("conv", F.col("place").alias("parent"), F.col("turn").alias("reply_to"))
     full = messages.join(parents, ["conv", "place"]).join(state.select("conv", "place", "depth"), ["conv", "place"]).join(said, ["conv", "parent"], "left")
     out = full.select("conv", "conv_id", "turn", "role", _body(F.col("text")).alias("body"), "reply_to", "linked", "depth", F.col("place").alias("said"))
-    return number_rows(out, ["conv"], ["depth", "said"], "place").select("conv_id", "turn", "role", "body", "reply_to", "linked", "depth", "place")
+    return sums_before(out, ["conv"], ["depth", "said"], {"place": F.lit(1)}, "places").select("conv_id", "turn", "role", "body", "reply_to", "linked", "depth", "place")
+
+
+def oracle() -> str:
+    """link_quotations in DuckDB SQL, where no two messages have one conversation, turn and text."""
+    quote = r"^((?:[ \t]*>)+)"
+    quoted = f"regexp_matches({{}}, '{quote}')"
+    introduction = INTRODUCTION.replace(r"\s", r"[ \t\n\x0B\f\r]")
+    return f"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, '') AS conv, turn, role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(text, '')) - 1 AS place FROM conversations),
+r AS (SELECT conv, place, unnest(range(0, len(lines))) AS i, unnest(lines) AS line FROM (SELECT conv, place, str_split(text, chr(10)) AS lines FROM m)),
+l AS (
+  SELECT conv, place, i, line, length(regexp_extract(line, '{quote}', 1)) - length(replace(regexp_extract(line, '{quote}', 1), '>', '')) AS level,
+    lower(trim(regexp_replace(regexp_replace(line, '{quote}', ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS body FROM r),
+b AS (SELECT *, CASE WHEN body = '' OR coalesce(lag(body) OVER w, '') = '' OR lag(level) OVER w <> level THEN 1 ELSE 0 END AS cut FROM l WINDOW w AS (PARTITION BY conv, place ORDER BY i)),
+k AS (SELECT *, sum(cut) OVER (PARTITION BY conv, place ORDER BY i) AS run FROM b),
+x AS (
+  SELECT conv, place, level, body FROM l WHERE regexp_matches(body, '[\\p{{L}}\\p{{N}}]')
+  UNION
+  SELECT conv, place, level, body FROM (SELECT conv, place, level, string_agg(body, ' ' ORDER BY i) AS body FROM k WHERE body <> '' GROUP BY conv, place, level, run HAVING count(*) > 1) WHERE regexp_matches(body, '[\\p{{L}}\\p{{N}}]')),
+links AS (SELECT q.conv, q.place, q.level, q.body, max(o.place) AS source FROM x q JOIN x o ON o.conv = q.conv AND o.body = q.body AND o.level = 0 AND o.place < q.place WHERE q.level > 0 GROUP BY ALL),
+votes AS (SELECT conv, place, level, source, count(*) AS n FROM links GROUP BY ALL),
+named AS (SELECT conv, place, source FROM votes QUALIFY row_number() OVER (PARTITION BY conv, place ORDER BY level, n DESC, source DESC) = 1),
+parents AS (SELECT m.conv, m.place, coalesce(source, CASE WHEN m.place > 0 THEN m.place - 1 END) AS parent, source IS NOT NULL AS linked FROM m LEFT JOIN named USING (conv, place)),
+depths AS (
+  SELECT conv, place, 0::BIGINT AS depth FROM parents WHERE parent IS NULL
+  UNION ALL
+  SELECT p.conv, p.place, d.depth + 1 FROM parents p JOIN depths d ON d.conv = p.conv AND d.place = p.parent),
+own AS (SELECT conv, place, i, line FROM (SELECT *, coalesce({quoted.format('lead(line) OVER (PARTITION BY conv, place ORDER BY i)')}, false) AS quotes FROM l) WHERE NOT {quoted.format('line')} AND NOT (regexp_matches(line, '{introduction}') AND quotes)),
+bodies AS (SELECT conv, place, trim(string_agg(line, chr(10) ORDER BY i)) AS body FROM own GROUP BY ALL)
+SELECT conv_id, turn, role, coalesce(body, '') AS body, said.turn_of AS reply_to, linked, depth, row_number() OVER (PARTITION BY m.conv ORDER BY depth, m.place) - 1 AS place
+FROM m JOIN parents USING (conv, place) JOIN depths USING (conv, place) LEFT JOIN bodies USING (conv, place) LEFT JOIN (SELECT conv, place AS parent, turn AS turn_of FROM m) said ON said.conv = m.conv AND said.parent = parents.parent
+"""

@@ -5,16 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Where that setting is absent (a test session) the session gets a
-    temporary folder of its own; a cluster without the setting is refused,
-    for a machine-local folder would lose rows there.
+    Where that setting is absent in a local session (tests only) the session
+    gets a temporary folder of its own; a cluster without the setting is
+    refused, for a machine-local folder would lose rows there. Nothing here
+    deletes these tables, which results may still be read from: they live until
+    the folder is cleared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -34,6 +36,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sums_before(rows: DataFrame, group: list[str], order: list[str], sums: dict[str, Column], name: str) -> DataFrame:
+    """Adds sums over the rows before each row in its group, 0 at the first, without gathering a group in one task.
+
+    Rows are range-partitioned by group and order, summed in each partition,
+    and moved on by the group's sums in the partitions before, of which there
+    is one row for each group and partition. rows have no null in group and no
+    column of the name ``_part``.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(rows.repartitionByRange(n, *group, *order).withColumn("_part", F.spark_partition_id()), name)
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    totals = ranged.groupBy(*group, "_part").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    before = totals.select(*group, "_part", *(F.coalesce(F.sum(k).over(earlier), zero).alias(f"_{k}") for k in sums))
+    here = ranged.select("*", *(F.coalesce(F.sum(v).over(inside), zero).alias(k) for k, v in sums.items()))
+    return here.join(before, [*group, "_part"]).select(*rows.columns, *((F.col(k) + F.col(f"_{k}")).alias(k) for k in sums))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
