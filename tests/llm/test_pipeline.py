@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_near_duplicates import brute as classes
 from test_quality_and_mixing import WORD, base
 from test_secrets import brute as base_spans
@@ -17,14 +18,14 @@ def line_key(line):
     return re.sub("[0-9]+", "0", " ".join(WORD.findall(line)).lower())
 
 
-def cleaned(rows, least=10, share=0.1, lost=0.5):
+def cleaned(rows, least=20, lost=0.5):
     """doc_id -> text of what the quality rules keep."""
-    hosts, holders = Counter(r.source for r in rows), defaultdict(set)
+    holders = defaultdict(set)
     for r in rows:
         for line in r.text.split("\n"):
             if WORD.search(line):
-                holders[r.source, line_key(line)].add(r.doc_id)
-    gone = {k for k, v in holders.items() if len(v) >= least and len(v) > share * hosts[k[0]]}
+                holders[r.source, line_key(line)].add(r.text)
+    gone = {k for k, v in holders.items() if len(v) >= least}
     out = {}
     for r in rows:
         n = base(r.text)
@@ -98,3 +99,43 @@ def test_packing_and_run(spark, stages):
     whole = corpus_pipeline.run(spark, DIR)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert Counter(tuple(r[c] for c in key) for r in whole.collect()) == Counter(tuple(r[c] for c in key) for r in stages[5].collect())
+
+
+NAMES = ["tokens", "block", "epoch", "slot", "key", "id", "row", "gone", "of", "name", "first", "_key", "_id", "_gone", "_block", "_tokens", "_source", "_epoch", "_room", "_part", "part", "node", "label", "host", "copy", "lines"]
+
+
+def awkward(spark, rows):
+    """The rows with further columns whose names the stages use themselves."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({c: F.concat_ws("-", F.lit(c), "doc_id") for c in NAMES})
+
+
+def test_awkward_rows_and_clashing_columns(spark):
+    own = lambda i, n=60: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, own(i), "en", f"s{i % 3}", i) for i in range(30)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s0", 0), (102, own(3), "en", "s1", 1), (103, own(103, 40_000), "en", None, 1), (None, own(104), "en", "s0", 1), (None, own(105), None, None, None)]
+    rows += [(106, own(106), "en", "s2", 1)] * 3 + [(106, own(106), "de", "s2", 2)]
+    docs = awkward(spark, rows)
+    before = {(r.doc_id, r.text): r for r in docs.collect() if (r.doc_id, r.lang) != (106, "en")}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, DIR)
+        assert docs.columns == [*["doc_id", "text", "lang", "source", "n_chars"], *NAMES]
+        got = docs.collect()
+        assert all(r == before[r.doc_id, r.text] for r in got if (r.doc_id, r.lang) != (106, "en")), name
+        ids = Counter(r.doc_id for r in got)
+        if k == 0:
+            assert ids == Counter({**{i: 1 for i in range(30)}, 102: 1, 103: 1, None: 2, 106: 4})
+        elif k < 3:
+            assert ids == Counter({**{i: 1 for i in range(30)}, 103: 1, None: 2, 106: 1})
+        else:
+            assert set(ids) == {*range(30), 103, 106, None}
+        assert [r.lang for r in got if r.doc_id == 106][:1] == ["de"] or k == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    check_packing(pieces.collect(), [(r.doc_id, r.text) for r in docs.collect()], 2048)
+
+
+def test_an_empty_table(spark):
+    docs = awkward(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DIR)
+        assert docs.count() == 0

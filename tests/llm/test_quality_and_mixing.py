@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 from corpora import ROWS, SCHEMA, table
+from pyspark.sql import functions as F
 from tidewave.llm import mixing, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -44,9 +45,9 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     rows = host(20, 8) + [(100 + i, boiler + f"\nonly {name(i)}", "en", "h", 1, 1, "n", 0.5, "b", "h") for i in range(12)]
     rows += [(200, boiler, "en", "other", 1, 1, "n", 0.5, "b", "h")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    kept = {r.doc_id: r.kept for r in quality.judge_documents(docs).collect()}
+    kept = {r.doc_id: r.kept for r in quality.judge_documents(docs, least_docs=10).collect()}
     assert all(kept[i] for i in range(20)) and not any(kept[100 + i] for i in range(12)) and kept[200]
-    clean = quality.clean_documents(docs)
+    clean = quality.clean_documents(docs, least_docs=10)
     assert clean.schema == docs.schema
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert set(texts) == {*range(20), 200} and texts[200] == boiler
@@ -60,6 +61,26 @@ def test_few_documents_lose_nothing(spark):
     assert quality.clean_documents(table(spark, [])).count() == 0
 
 
+def test_depleted_documents_among_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    boiler = "\n".join(f"Boiler {name(k)} " + " ".join(name(k, j) for j in range(10)) for k in range(6))
+    row = lambda i, text: (1_000_000 + i, text, "en", "src0", 1)
+    page = lambda i, n: boiler + f"\nonly {name(i)} " + " ".join(name(i, j) for j in range(n))
+    planted = [row(i, page(i, 20)) for i in range(30)] + [row(100 + i, page(i, 200)) for i in range(30)] + [row(200, boiler)] * 50
+    before = {r.doc_id: r for r in quality.judge_documents(docs).collect()}
+    after = {r.doc_id: r for r in quality.judge_documents(docs.unionByName(spark.createDataFrame(planted, docs.schema))).collect()}
+    assert {k: r for k, r in after.items() if k < 1_000_000} == before
+    assert not any(after[1_000_000 + i].kept or after[1_000_000 + i].base_failed for i in [*range(30), 200])
+    assert all(after[1_000_100 + i].kept and after[1_000_100 + i].lost_words == 72 for i in range(30))
+    assert sum(r.lost_words > 0 for r in before.values()) > 1000
+
+
+def test_copies_make_no_line_frequent(spark):
+    text = "\n".join(f"line {name(k)} " + " ".join(name(k, j) for j in range(10)) for k in range(8))
+    docs = spark.createDataFrame([(i, text, "en", "h", 1, 1, "n", 0.5, "b", "h") for i in range(100)], SCHEMA)
+    assert {(r.kept, r.lost_words) for r in quality.judge_documents(docs).collect()} == {(True, 0)}
+
+
 def check_sql(df, sql):
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.01/documents.parquet')")
@@ -71,6 +92,7 @@ def check_sql(df, sql):
 def test_against_sql(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check_sql(quality.judge_documents(docs, least_docs=3, share=0.02, most_lost=0.1), quality.oracle(3, 0.02, 0.1))
+    check_sql(quality.judge_documents(docs), quality.oracle())
     check_sql(mixing.mix_sources(docs, max_repeats=3.0, block_docs=50), mixing.oracle(3.0, 50))
 
 
@@ -98,6 +120,20 @@ def test_mix_of_awkward_rows(spark):
         places[r.source, r.epoch].add(key)
 
 
+def test_null_ids_are_dealt_over_blocks_and_repeats_keep_all_columns(spark):
+    rows = [(None, f"text number {i}", "en", f"s{i % 3 == 0}", i) for i in range(600)]
+    docs = table(spark, rows).withColumns({c: F.lit(1) for c in mixing.PLACES[2:]})
+    got = mixing.mix_sources(docs, max_repeats=2.0, block_docs=20)
+    sizes = Counter((r.source, r.epoch, r.block) for r in got.collect())
+    assert max(sizes.values()) < 40 and len({b for _, _, b in sizes}) == 30
+    again = mixing.repeat_documents(docs, max_repeats=2.0, block_docs=20)
+    assert again.schema == docs.schema
+    n = Counter(again.collect())
+    assert set(n) == set(docs.collect()) and set(n.values()) <= {1, 2} and sum(n.values()) == got.count() > 600
+    with pytest.raises(ValueError):
+        mixing.mix_sources(docs, max_repeats=2.0, keep=["tokens"])
+
+
 @pytest.mark.parametrize("target", [0.8, 0.95])
 def test_entropy_target_and_budget(spark, target):
     sizes = [(f"s{k}", 10_000 // (k + 1) ** 2) for k in range(8)]

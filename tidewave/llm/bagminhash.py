@@ -15,13 +15,15 @@ at least the threshold, and classes are the connected components of links:
 1. in each bucket every node is compared with the bucket's lowest and highest;
 2. components are found;
 3. in buckets that still hold several components, nodes are compared across
-   components in blocks: those that the signatures allow exactly. A pair is
+   components in blocks: those that the signatures allow, by a margin that a
+   pair at the threshold misses with a chance of 2e-8. A pair is
    looked at in the first band that it shares, nodes that a link has brought
    together are not compared further, and a block returns such links alone.
 
 Null, empty or white text: no shingles; equal texts share a class, others of
-this kind don't. Repeated rows and ties share a class. Empty table: no rows.
-Other columns are not read.
+this kind don't. Null doc_id: counts as the lowest. Repeated rows and ties
+share a class. Empty table: no rows. Other columns, whatever their names, are
+not read by near_duplicates and pass through drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -316,9 +318,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row of each class, of the least doc_id, with all columns."""
+    """One row of each class, of the least doc_id, with all columns.
+
+    Of rows with that doc_id and one text the one whose other columns come
+    first as JSON.
+    """
     _, classes = _classes(docs, threshold)
     least = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "key")).alias("least"))
-    keep = least.select(F.col("least.key").alias("_key"), F.coalesce("least.id", F.lit(-(1 << 63))).alias("_id"))
-    rows = docs.withColumn("_key", _node_key()).withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    return rows.join(keep, ["_key", "_id"]).dropDuplicates(["_key", "_id"]).select(*docs.columns)
+    keep = least.select(F.col("least.key").alias("key"), _known("least.id").alias("id"))
+    # the row is carried as one column, so its names can't clash with these
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    first = F.to_json(F.struct(*others)) if others else F.lit("")
+    rows = docs.select(_node_key().alias("key"), _known("doc_id").alias("id"), first.alias("first"), F.struct("*").alias("row"))
+    return rows.join(keep, ["key", "id"]).groupBy("key", "id").agg(F.min_by("row", "first").alias("row")).select("row.*")
+
+
+def _known(c: str) -> Column:
+    """doc_id with null as the lowest number."""
+    return F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))

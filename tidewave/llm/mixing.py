@@ -8,21 +8,25 @@ budget: whole passes over its documents and a last pass over a part of them,
 each pass in an order of its own, by permuted blocks of permuted documents.
 
 A document's tokens are its words and an end mark, so no source has none.
-Null source: a source of its own. Null text: as empty. Repeated rows: each is
-a document. Empty table: no rows. Other columns are not read.
+Null or empty source: one source of its own. Null text: as empty. Null doc_id:
+as an empty one; blocks are dealt by doc_id and text, so such rows are spread
+like others. Repeated rows: each is a document; rows equal in both are in one
+block, in any order. Empty table: no rows. Other columns, whatever their
+names, are not read by mix_sources and pass through repeat_documents.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quality import _words
-from .shared import materialise, text_or_empty
+from .shared import materialise, sums_before, text_or_empty
 
-STEPS = 24
+#: Halvings of the exponent's range, and how many of them one job looks ahead.
+STEPS, AHEAD = 24, 6
 
 
 def bisect_exponent(sources: DataFrame, max_repeats: float | None = None, entropy: float | None = None, budget: int | None = None) -> tuple[float, float]:
@@ -30,8 +34,9 @@ def bisect_exponent(sources: DataFrame, max_repeats: float | None = None, entrop
 
     budget None: the least with which no source is cut, so that only the
     repetition of smaller sources makes the mix. entropy: as a part of the
-    largest possible, the logarithm of the number of sources. Each step is an
-    aggregation over the sources; only its sums come to the driver.
+    largest possible, the logarithm of the number of sources. A job sums over
+    the sources for every exponent that the next AHEAD steps may ask for; only
+    these sums come to the driver.
     """
     if (max_repeats is None) == (entropy is None):
         raise ValueError("give max_repeats or entropy")
@@ -39,71 +44,94 @@ def bisect_exponent(sources: DataFrame, max_repeats: float | None = None, entrop
     if not n:
         return 1.0, 0.0
 
-    def at(alpha: float) -> tuple[float, float, float]:
-        share = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(alpha))
-        z, h, top, least = sources.agg(F.sum(share), F.sum(share * F.log(share)), F.max(share / F.col("tokens")), F.min(share / F.col("tokens"))).first()
-        tokens = float(budget) if budget is not None else z / least
-        return math.log(z) - h / z, top / z * tokens, tokens
+    known: dict[float, tuple[float, float, float]] = {}
+
+    def at(alpha: float, low: float, high: float) -> tuple[float, float, float]:
+        if alpha not in known:
+            asked = [alpha] if low == high else [low + (high - low) * k / (1 << AHEAD) for k in range((1 << AHEAD) + 1)]
+            share = F.pow(F.col("tokens") / F.lit(float(total)), F.col("alpha"))
+            each = sources.select("tokens", F.explode(F.array(*(F.lit(a) for a in asked))).alias("alpha"))
+            sums = each.groupBy("alpha").agg(F.sum(share), F.sum(share * F.log(share)), F.max(share / F.col("tokens")), F.min(share / F.col("tokens")))
+            for a, z, h, top, least in sums.collect():
+                tokens = float(budget) if budget is not None else z / least
+                known[a] = math.log(z) - h / z, top / z * tokens, tokens
+        return known[alpha]
 
     low, high = 0.0, 1.0  # the mix at high is allowed, or the limit can't be met
     wanted = None if entropy is None else entropy * math.log(n)
     for _ in range(STEPS):
         mid = (low + high) / 2
-        h, repeats, _ = at(mid)
+        h, repeats, _ = at(mid, low, high)
         if wanted is None:
             low, high = (low, mid) if repeats <= max_repeats else (mid, high)
         else:
             low, high = (mid, high) if h >= wanted else (low, mid)
     alpha = high if wanted is None else low
-    return alpha, at(alpha)[2]
+    return alpha, at(alpha, alpha, alpha)[2]
 
 
-def mix_sources(docs: DataFrame, max_repeats: float | None = None, entropy: float | None = None, budget: int | None = None, block_docs: int = 1_000, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, source, tokens, epoch, block, block_place, slot: a row for each document and pass that takes it.
+PLACES = ("doc_id", "source", "tokens", "epoch", "block", "block_place", "slot")
 
-    Passes over a source are epoch 0, 1 ...; within one, blocks are ordered by
-    block_place and a block's documents by slot. The last pass takes whole
-    blocks while they fit into what is left of the source's tokens, and of the
-    next block the documents that fit, in order. keep: further columns of docs
-    to carry along.
-    """
-    rest = [c for c in keep or [] if c not in ("doc_id", "source")]
-    columns = [F.col("doc_id"), F.coalesce("source", F.lit("")).alias("_source"), F.col("source"), (F.size(_words(text_or_empty())) + 1).cast("long").alias("_tokens")]
+
+def _digest(*c) -> Column:
+    return F.md5(F.concat_ws("|", *c).cast("binary"))
+
+
+def _mixed(docs: DataFrame, row: Column | None, max_repeats: float | None, entropy: float | None, budget: int | None, block_docs: int) -> DataFrame:
+    """PLACES of each document and pass that takes it, and row of docs with them."""
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    columns = [F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.coalesce("source", F.lit("")).alias("of"), (F.size(_words(text_or_empty())) + 1).cast("long").alias("tokens"), _digest(doc_id, F.md5(text_or_empty().cast("binary"))).alias("name")]
     narrow = materialise(docs.select(*columns), "document-tokens")
-    rows = docs.select(*columns, *rest) if rest else narrow
-    stats = materialise(narrow.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")), "source-tokens")
+    rows = narrow if row is None else docs.select(*columns, row.alias("row"))
+    stats = materialise(narrow.groupBy("of").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")), "source-tokens")
     alpha, tokens = bisect_exponent(stats.select("tokens"), max_repeats, entropy, budget)
     n_docs, total = stats.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(1))).first()
     n_blocks = max(1, -(-n_docs // block_docs))
     share = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(alpha))
     norm = stats.agg(F.coalesce(F.sum(share), F.lit(1.0))).first()[0]
-    plan = stats.select("_source", "tokens", F.floor(share / F.lit(norm) * F.lit(tokens) + 0.5).alias("part")).select("_source", F.floor(F.col("part") / F.col("tokens")).alias("full"), (F.col("part") % F.col("tokens")).alias("left"))
-    number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    block = (number % n_blocks).cast("int")
-    rows = rows.withColumn("_block", block)
-    sizes = narrow.withColumn("_block", block).groupBy("_source", "_block").agg(F.sum("_tokens").alias("_size")).join(plan, "_source")
+    plan = stats.select("of", "tokens", F.floor(share / F.lit(norm) * F.lit(tokens) + 0.5).alias("part")).select("of", F.floor(F.col("part") / F.col("tokens")).alias("full"), (F.col("part") % F.col("tokens")).alias("left"))
+    block = (F.conv(F.substring("name", 1, 8), 16, 10).cast("long") % n_blocks).cast("int")
+    sizes = narrow.groupBy("of", block.alias("block")).agg(F.sum("tokens").alias("size")).join(plan, "of")
     passes = F.sequence(F.lit(0).cast("long"), F.col("full"))
-    sizes = sizes.withColumn("_epoch", F.explode(passes)).filter("_epoch < full OR left > 0")
-    digest = lambda *c: F.md5(F.concat_ws("|", *c).cast("binary"))
-    order = Window.partitionBy("_source", "_epoch").orderBy(digest("_source", "_epoch", "_block"))
-    sizes = sizes.withColumn("_place", F.row_number().over(order) - 1).withColumn("_before", F.sum("_size").over(order) - F.col("_size"))
+    sizes = sizes.withColumn("epoch", F.explode(passes)).filter("epoch < full OR left > 0").withColumn("turn", _digest("of", "epoch", "block"))
+    placed = sums_before(sizes, ["of", "epoch"], ["turn", "block"], {"block_place": F.lit(1), "before": F.col("size")}, "block-places")
     # what the last pass leaves for a block: null in whole passes, for a block that fits too
-    sizes = sizes.withColumn("_room", F.when(F.col("_epoch") == F.col("full"), F.col("left") - F.col("_before"))).filter("_room IS NULL OR _room > 0")
-    chosen = sizes.select("_source", "_block", F.col("_epoch").cast("int").alias("_epoch"), "_place", "_room")
-    taken = rows.join(chosen, ["_source", "_block"])
-    inside = Window.partitionBy("_source", "_epoch", "_block").orderBy(digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_epoch")), "doc_id")
-    taken = taken.withColumn("_slot", F.row_number().over(inside) - 1).withColumn("_sum", F.sum("_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    taken = taken.filter("_room IS NULL OR _sum <= _room")
-    return taken.select("doc_id", "source", F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("block_place"), F.col("_slot").alias("slot"), *rest)
+    placed = placed.withColumn("room", F.when(F.col("epoch") == F.col("full"), F.col("left") - F.col("before"))).filter("room IS NULL OR room > 0")
+    chosen = placed.select("of", "block", F.col("epoch").cast("int").alias("epoch"), "block_place", "room")
+    taken = rows.withColumn("block", block).join(chosen, ["of", "block"])
+    inside = Window.partitionBy("of", "epoch", "block").orderBy("turn", "name")
+    taken = taken.withColumn("turn", _digest("name", "epoch"))
+    taken = taken.withColumn("slot", F.row_number().over(inside) - 1).withColumn("sum", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return taken.filter("room IS NULL OR sum <= room").select(*PLACES, *(["row"] if row is not None else []))
+
+
+def mix_sources(docs: DataFrame, max_repeats: float | None = None, entropy: float | None = None, budget: int | None = None, block_docs: int = 1_000, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, source, tokens, epoch, block, block_place, slot: a row for each document and pass that takes it.
+
+    Passes over a source are epoch 0, 1 ...; within one, blocks are ordered by
+    block_place and a block's documents by slot. The last pass takes whole
+    blocks while they fit into what is left of the source's tokens, and of the
+    next block the documents that fit, in order. keep: further columns of docs
+    to carry along, of other names than these.
+    """
+    rest = [c for c in keep or [] if c not in ("doc_id", "source")]
+    if clash := set(rest) & set(PLACES):
+        raise ValueError(f"can't be kept under their names: {sorted(clash)}")
+    out = _mixed(docs, F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else None, max_repeats, entropy, budget, block_docs)
+    return out.select(*PLACES, "row.*") if rest else out
+
+
+def repeat_documents(docs: DataFrame, max_repeats: float | None = None, entropy: float | None = None, budget: int | None = None, block_docs: int = 1_000) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    return _mixed(docs, F.struct("*"), max_repeats, entropy, budget, block_docs).select("row.*")
 
 
 def oracle(max_repeats: float, block_docs: int = 1_000) -> str:
     """mix_sources with a limit of repeats and no budget, in DuckDB SQL."""
     return rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS tokens,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {block_docs}.0))::BIGINT FROM documents) AS block
-  FROM documents),
+  SELECT *, ('0x' || substr(name, 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {block_docs}.0))::BIGINT FROM documents) AS block
+  FROM (SELECT doc_id, source, coalesce(source, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS tokens, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS name FROM documents)),
 t AS (SELECT s, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE / (SELECT sum(tokens) FROM d) AS share FROM d GROUP BY s),
 steps AS (
   SELECT 0 AS k, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
@@ -118,10 +146,10 @@ sizes AS (SELECT s, block, sum(tokens)::BIGINT AS size, full_passes, rest FROM d
 passes AS (SELECT *, e::BIGINT AS epoch FROM (SELECT *, unnest(range(0, full_passes + 1)) AS e FROM sizes) WHERE e < full_passes OR rest > 0),
 placed AS (
   SELECT s, block, epoch, full_passes, rest, row_number() OVER o - 1 AS block_place, sum(size) OVER (o ROWS UNBOUNDED PRECEDING) - size AS before FROM passes
-  WINDOW o AS (PARTITION BY s, epoch ORDER BY md5(s || '|' || epoch || '|' || block))),
+  WINDOW o AS (PARTITION BY s, epoch ORDER BY md5(s || '|' || epoch || '|' || block), block)),
 chosen AS (SELECT s, block, epoch, block_place, CASE WHEN epoch = full_passes THEN rest - before END AS room FROM placed WHERE epoch < full_passes OR rest > before),
 taken AS (
   SELECT doc_id, source, tokens, epoch, block, block_place, room, row_number() OVER w - 1 AS slot, sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS so_far FROM d JOIN chosen USING (s, block)
-  WINDOW w AS (PARTITION BY s, epoch, block ORDER BY md5(coalesce(doc_id::VARCHAR, '') || '|' || epoch), doc_id))
-SELECT doc_id, source, tokens::BIGINT AS tokens, epoch::INTEGER AS epoch, block::INTEGER AS block, block_place::INTEGER AS block_place, slot::INTEGER AS slot FROM taken WHERE room IS NULL OR so_far <= room
+  WINDOW w AS (PARTITION BY s, epoch, block ORDER BY md5(name || '|' || epoch), name))
+SELECT doc_id, source, tokens::BIGINT AS tokens, epoch::INTEGER AS epoch, block::INTEGER AS block, block_place::BIGINT AS block_place, slot::INTEGER AS slot FROM taken WHERE room IS NULL OR so_far <= room
 """

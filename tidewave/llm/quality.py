@@ -1,15 +1,17 @@
 """Quality rules with the frequency of lines across a host's documents.
 
 Each document gets counts of words, symbols, repeated lines and words in
-repeated windows. Its lines are normalised and hashed; a line that more of a
-host's documents hold than the limits allow is removed, and a document that
-loses too many of its words with such lines is rejected.
-
-A document is a distinct row of doc_id, host and text: repeated rows count
-once for a line, and all get the same verdict. Null text: as empty, no words,
-so the base rule rejects it. A null host is a host of its own. Empty table:
-no rows. Ties don't arise. Other columns pass through clean_documents and are
-not read by judge_documents.
+repeated windows. Its lines are normalised and hashed; a line that as many of
+a host's documents hold as the limit says is removed, and a document that
+loses too many of its words with such lines is rejected. The limit is a count
+that does not grow with the host. Copies are one document for it: texts of a
+host are counted, each once, so that copies alone make no line frequent.
+
+Repeated rows all get the same verdict. Null text: as empty, no words, so the
+base rule rejects it. Null doc_id: stays null. A null or empty host is one
+host of its own. Very long texts are read whole. Ties don't arise. Empty
+table: no rows. Other columns, whatever their names, are not read by
+judge_documents and pass through clean_documents.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), _key().alias("key"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("source", F.lit("")).alias("host"), _key().alias("key"), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("copy"), text_or_empty().alias("text"))
     return materialise(text_statistics(rows).drop("text"), "line-statistics")
 
 
@@ -77,12 +79,14 @@ def _removed(measured: DataFrame, least_docs: int, share: float) -> DataFrame:
     """host, line of the lines to remove.
 
     Counting goes by (host, line), never by host alone, and starts before the
-    shuffle; the number of documents of a host is one row for each host.
+    shuffle; the number of texts of a host is one row for each host.
     """
-    distinct = measured.select("host", "key", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
+    distinct = measured.select("host", "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).distinct()
     counts = distinct.groupBy("host", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
-    hosts = measured.select("host", "key").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "host").filter(F.col("docs") > F.col("host_docs") * share).select("host", "line")
+    if share > 0:
+        hosts = measured.select("host", "copy").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+        counts = counts.join(hosts, "host").filter(F.col("docs") > F.col("host_docs") * share)
+    return counts.select("host", "line")
 
 
 def _verdicts(docs: DataFrame, least_docs: int, share: float, most_lost: float) -> DataFrame:
@@ -90,7 +94,6 @@ def _verdicts(docs: DataFrame, least_docs: int, share: float, most_lost: float)
     measured = _measure(docs)
     removed = _removed(measured, least_docs, share)
     lines = measured.select("key", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    # at most 1 / share times the lines of a mean document are removed in a host
     gone = lines.join(removed, ["host", "line"]).groupBy("key").agg(F.collect_set("line").alias("gone"))
     judged = measured.join(gone, "key", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<long>")))
     lost = F.aggregate(F.filter("lines", lambda x: F.array_contains("gone", x["line"])), F.lit(0).cast("long"), lambda a, x: a + x["words"])
@@ -99,26 +102,28 @@ def _verdicts(docs: DataFrame, least_docs: int, share: float, most_lost: float)
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= F.col("n_words") * most_lost))
 
 
-def judge_documents(docs: DataFrame, least_docs: int = 10, share: float = 0.1, most_lost: float = 0.5) -> DataFrame:
+def judge_documents(docs: DataFrame, least_docs: int = 20, share: float = 0.0, most_lost: float = 0.5) -> DataFrame:
     """doc_id, the counts, base_failed, kept and lost_words of each row.
 
-    least_docs, share: a line goes if at least so many and more than this
-    share of its host's documents hold it. most_lost: a document is rejected
-    that loses more than this share of its words.
+    least_docs, share: a line goes if at least so many, and if share is above 0
+    also more than this share, of its host's texts hold it. most_lost: a
+    document is rejected that loses more than this share of its words.
     """
     rows = _verdicts(docs, least_docs, share, most_lost)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost").alias("lost_words"))
 
 
-def clean_documents(docs: DataFrame, least_docs: int = 10, share: float = 0.1, most_lost: float = 0.5) -> DataFrame:
+def clean_documents(docs: DataFrame, least_docs: int = 20, share: float = 0.0, most_lost: float = 0.5) -> DataFrame:
     """The rows of the kept documents, all columns, without the removed lines in text."""
-    verdicts = _verdicts(docs, least_docs, share, most_lost).filter("kept").select(F.col("key").alias("_key"), F.col("gone").alias("_gone")).groupBy("_key").agg(F.first("_gone").alias("_gone"))
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_gone", F.xxhash64(normalise(x))))
-    rows = docs.withColumn("_key", _key()).join(verdicts, "_key")
-    return rows.withColumn("text", F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).select(*docs.columns)
+    verdicts = _verdicts(docs, least_docs, share, most_lost).filter("kept").select("key", "gone").groupBy("key").agg(F.first("gone").alias("gone"))
+    # the row is carried as one column, so its names can't clash with these
+    rows = docs.select(_key().alias("key"), F.struct("*").alias("row")).join(verdicts, "key")
+    left = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normalise(x))))
+    text = F.when(F.size("gone") > 0, F.array_join(left, "\n")).otherwise(F.col("row.text"))
+    return rows.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
-def oracle(least_docs: int = 10, share: float = 0.1, most_lost: float = 0.5) -> str:
+def oracle(least_docs: int = 20, share: float = 0.0, most_lost: float = 0.5) -> str:
     """judge_documents in DuckDB SQL."""
     word, has_word = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
     count_words = f"len(regexp_extract_all({{}}, '{word}'))"
@@ -132,9 +137,9 @@ twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n
 repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 3) AS s(k) GROUP BY r),
 lines AS (SELECT r, host, l, {normal} AS line, {count_words.format('l')} AS words FROM (SELECT r, host, unnest(str_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{has_word}')),
 dups AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY r),
-hosts AS (SELECT host, count(*) AS host_docs FROM (SELECT DISTINCT host, doc_id, t FROM d) GROUP BY host),
+hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host),
 frequent AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT (doc_id, t)) AS n FROM lines JOIN d USING (r, host) GROUP BY host, line) JOIN hosts USING (host)
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM lines JOIN d USING (r, host) GROUP BY host, line) JOIN hosts USING (host)
   WHERE n >= {least_docs} AND n > host_docs * {share!r}::DOUBLE),
 lost AS (SELECT r, sum(words) AS n FROM lines JOIN frequent USING (host, line) GROUP BY r),
 counted AS (
