@@ -61,11 +61,46 @@ def test_a_damaged_member_fails_alone(spark, tmp_path):
     archive.write_bytes(data)
     rows = media.read_media(spark, path, tries=1, on_error="record").collect()
     assert len(rows) == len(ROWS) and [r.member for r in rows if r.error] == [info.filename]
-    assert media.measure_media(media.read_media(spark, path, tries=1, on_error="record")).count() == len(ROWS) - 1
+    measured = media.measure_media(media.read_media(spark, path, tries=1, on_error="record")).collect()
+    assert len(measured) == len(ROWS) and [(r.error is None, r.feature is None) for r in measured].count((False, True)) == 1
     with pytest.raises(Exception):
         media.read_media(spark, path, tries=1).collect()
 
 
+def test_one_open_for_a_range_and_the_rest_again(monkeypatch, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(50):
+            z.writestr(f"{k}/0.png", bytes([k]) * (k * 10 + 1))
+    uri, real, opened, failing = f"file://{tmp_path}/a.zip", media._open, [], set()
+
+    def flaky(name):
+        opened.append(name)
+        if len(opened) in failing:
+            raise OSError("not now")
+        return real(name)
+
+    monkeypatch.setattr(media, "_open", flaky)
+    reader = media.ArchiveReader(str(tmp_path), {"batch_bytes": 3000, "wait": 0})
+    read = lambda: {r["doc_id"]: r["media"] for b in reader.read(media.Range([(uri, 0, 1 << 40)])) for r in b.to_pylist()}
+    want = {k: bytes([k]) * (k * 10 + 1) for k in range(50)}
+    assert read() == want and len(opened) == 2  # the directory, and the stretches
+    for n in (1, 2, 3, 4):
+        opened.clear()
+        failing = {n, n + 1}
+        assert read() == want
+    parts = [media.Range([(uri, a, a + 500)]) for a in range(0, 40_000, 500)]
+    got = [r["doc_id"] for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(got) == list(range(50))
+
+
+def test_small_archives_share_a_partition(tmp_path):
+    (tmp_path / "commit-1.json").write_text(str([[f"{k}.zip", 100] for k in range(20)]).replace("'", '"'))
+    plan = lambda **o: [sum(b - a for _, a, b in r.parts) for r in media.ArchiveReader(f"file://{tmp_path}", o).partitions()]
+    assert plan(range_bytes=500) == [500] * 4
+    assert plan(range_bytes=50) == [50] * 40
+    assert plan(range_bytes=1, most_ranges=2) == [1000, 1000]
+
+
 def test_members_are_retried(monkeypatch, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("1/0.png", b"hello")

@@ -2,17 +2,22 @@
 
 Written, each task packs members into ZIP archives of bounded size; a commit
 writes the list of the archives of the tasks that succeeded, so leftovers of
-lost tasks are never read. Read, each archive is cut into byte ranges, one
-partition each; a partition takes the members that begin in its range, streams
-them as Arrow batches of bounded size, and reads each by its offset, again and
-by itself if that fails. Paths are URIs of any store that pyarrow.fs opens.
+lost tasks are never read (they stay until someone deletes them). Read,
+archives are cut into byte ranges; a partition has a range of a large archive
+or several small ones, more of them the larger the input. It reads an
+archive's directory, takes the members that begin in its range, reads these as
+one stream in stretches of bounded size, a stretch being an Arrow batch, and
+cuts members out by their offsets. A member that is not there whole is read
+again by itself, and a directory likewise. Paths are URIs of any store that
+pyarrow.fs opens.
 
 Members here are PNG images, 8-bit grey, 64 samples a row, with the number of
 bytes that are not padding in a text chunk; equal payloads are equal members.
 
-Null text: as empty, one row of zeros. Null doc_id: stays null. Repeated rows:
-each is a member. Empty table: no archives, no rows. Other columns are not
-stored.
+Null text: as empty, one row of zeros. Null doc_id: stays null. Repeated rows
+and ties: each row is a member. A very long text is one member, held whole by
+one task. Empty table: no archives, no rows. Other columns, whatever their
+names, are not stored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import time
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,31 +98,46 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def read_member(uri: str, offset: int, size: int, crc: int, tries: int = 4, wait: float = 0.5) -> bytes:
-    """The bytes of one stored member, whose local header is at offset."""
+def _again(act: Callable, tries: int, wait: float):
+    """What act returns, tried again where the store fails."""
     for left in reversed(range(tries)):
         try:
-            system, path = _open(uri)
-            with system.open_input_file(path) as f:
-                f.seek(offset)
-                head = _LOCAL.unpack(f.read(_LOCAL.size))
-                f.seek(offset + _LOCAL.size + head[-2] + head[-1])
-                data = f.read(size)
-            if head[0] != b"PK\x03\x04" or len(data) != size or zlib.crc32(data) != crc:
-                raise OSError(f"{uri} is damaged at {offset}")
-            return data
-        except (OSError, struct.error):
+            return act()
+        except (OSError, struct.error, zipfile.BadZipFile):
             if not left:
                 raise
             time.sleep(wait)
     raise AssertionError
 
 
+def _payload(data: bytes, at: int, size: int, crc: int, what: str) -> bytes:
+    """The bytes of a stored member whose local header is at a place of data."""
+    head = _LOCAL.unpack_from(data, at)
+    begin = at + _LOCAL.size + head[-2] + head[-1]
+    out = data[begin : begin + size]
+    if head[0] != b"PK\x03\x04" or len(out) != size or zlib.crc32(out) != crc:
+        raise OSError(f"{what} is damaged")
+    return out
+
+
+def read_member(uri: str, offset: int, size: int, crc: int, tries: int = 4, wait: float = 0.5) -> bytes:
+    """The bytes of one stored member, whose local header is at offset."""
+
+    def once() -> bytes:
+        system, path = _open(uri)
+        with system.open_input_file(path) as f:
+            f.seek(offset)
+            head = f.read(_LOCAL.size)
+            return _payload(head + f.read(sum(_LOCAL.unpack(head)[-2:]) + size), 0, size, crc, f"{uri} at {offset}")
+
+    return _again(once, tries, wait)
+
+
 @dataclass
 class Range(InputPartition):
-    uri: str
-    start: int
-    end: int
+    """Parts of archives: (uri, start, end)."""
+
+    parts: list[tuple[str, int, int]]
 
 
 @dataclass
@@ -130,44 +150,78 @@ class ArchiveReader(DataSourceReader):
         self.path = path
         self.range_bytes = int(options.get("range_bytes", 16 << 20))
         self.batch_bytes = int(options.get("batch_bytes", 4 << 20))
+        self.most_ranges = int(options.get("most_ranges", 100_000))
         self.tries = int(options.get("tries", 4))
+        self.wait = float(options.get("wait", 0.5))
         self.keep_errors = str(options.get("on_error", "fail")).lower() == "record"
 
     def partitions(self) -> list[Range]:
         from pyarrow import fs
 
         system, path = _open(self.path)
-        out = []
+        files: list[tuple[str, int]] = []
         for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
             if info.base_name.startswith("commit-"):
                 with system.open_input_stream(info.path) as f:
-                    for name, size in json.loads(f.read()):
-                        out += [Range(f"{self.path}/{name}", a, min(a + self.range_bytes, size)) for a in range(0, size, self.range_bytes)]
-        return out or [Range("", 0, 0)]
+                    files += [(name, size) for name, size in json.loads(f.read())]
+        size = max(self.range_bytes, -(-sum(n for _, n in files) // self.most_ranges))
+        out, room = [], 0
+        for name, n in sorted(files):
+            for a in range(0, n, size):
+                part = (f"{self.path}/{name}", a, min(a + size, n))
+                if part[2] - a > room:
+                    out.append(Range([]))
+                    room = size
+                out[-1].parts.append(part)
+                room -= part[2] - a
+        return out or [Range([])]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if not part.uri:
-            return
-        system, path = _open(part.uri)
-        with system.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
-            mine = [(i.filename, i.header_offset, i.compress_size, i.CRC) for i in archive.infolist() if part.start <= i.header_offset < part.end]
-        rows, held = [], 0
-        for name, offset, size, crc in mine:
-            media, error = None, None
+        for uri, start, end in part.parts:
+            yield from self._stretches(uri, start, end)
+
+    def _stretches(self, uri: str, start: int, end: int) -> Iterator[pa.RecordBatch]:
+        def directory() -> tuple[list[tuple], int]:
+            system, path = _open(uri)
+            with system.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
+                return sorted((i.header_offset, i.compress_size, i.CRC, i.filename, i.compress_type) for i in archive.infolist()), archive.start_dir
+
+        every, stop = _again(directory, self.tries, self.wait)
+        after = [m[0] for m in every[1:]] + [stop]
+        mine = [(*m, e) for m, e in zip(every, after, strict=True) if start <= m[0] < end]
+        k, source = 0, None
+        while k < len(mine):
+            first, n = mine[k][0], 1
+            while k + n < len(mine) and mine[k + n][-1] - first <= self.batch_bytes:
+                n += 1
+            members, k = mine[k : k + n], k + n
             try:
-                media = read_member(part.uri, offset, size, crc, self.tries)
-            except (OSError, struct.error) as e:
-                if not self.keep_errors:
-                    raise
-                error = str(e)
-            doc = name.split("/")[0]
-            rows.append((None if doc == "null" else int(doc), name, offset, media, error))
-            held += size
-            if held >= self.batch_bytes:
-                yield self._batch(rows)
-                rows, held = [], 0
-        if rows:
+                if source is None:
+                    system, path = _open(uri)
+                    source = system.open_input_file(path)
+                source.seek(first)
+                data = source.read(members[-1][-1] - first)
+            except OSError:
+                source, data = None, b""
+            rows = []
+            for offset, size, crc, name, kind, _ in members:
+                media, error = None, None
+                try:
+                    if kind != zipfile.ZIP_STORED:
+                        raise ValueError(f"{uri}: {name} is not stored as it is")
+                    try:
+                        media = _payload(data, offset - first, size, crc, f"{uri} at {offset}")
+                    except (OSError, struct.error):
+                        media = read_member(uri, offset, size, crc, self.tries, self.wait)
+                except (OSError, struct.error, ValueError) as e:
+                    if not self.keep_errors:
+                        raise
+                    error = str(e)
+                doc = name.split("/")[0]
+                rows.append((None if doc == "null" else int(doc), name, offset, media, error))
             yield self._batch(rows)
+        if source is not None:
+            source.close()
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -239,7 +293,7 @@ class _Plain:
 
 
 class ArchiveSource(DataSource):
-    """spark.read.format("tidewave_archive").load(uri), with range_bytes, batch_bytes, tries, on_error (fail or record)."""
+    """spark.read.format("tidewave_archive").load(uri), with range_bytes, most_ranges, batch_bytes, tries, wait, on_error (fail or record)."""
 
     @classmethod
     def name(cls) -> str:
@@ -283,23 +337,31 @@ MEASURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 
 def measure_media(members: DataFrame) -> DataFrame:
-    """Decodes members and describes payload and stored form."""
+    """Decodes members and describes payload and stored form.
+
+    A row for each member; of one that could not be read, doc_id and error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in (MEASURES + ", error string").split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         for batch in batches:
             out = []
-            for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
+            for doc_id, media, error in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), batch.column("error").to_pylist(), strict=True):
+                if media is None:
+                    out.append((doc_id, *[None] * 7, error))
+                    continue
                 payload, used = decode_png(media)
-                out.append((doc_id, used, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = list(zip(*out, strict=True)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MEASURES.split(", ")])
+                out.append((doc_id, used, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), None))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return members.filter("media IS NOT NULL").select("doc_id", "media").mapInArrow(run, MEASURES)
+    return members.select("doc_id", "media", "error").mapInArrow(run, MEASURES + ", error string")
 
 
 def store_and_measure(docs: DataFrame) -> DataFrame:
-    """Writes the texts as media to a shared folder and measures what is read back."""
+    """Writes the texts as media to a shared folder and measures what is read back; a member that can't be read fails the job."""
     path = shared_dir(docs.sparkSession, "media")
-    write_media(docs, path if "://" in path else f"file://{path}")
-    return measure_media(read_media(docs.sparkSession, path if "://" in path else f"file://{path}"))
+    uri = path if "://" in path else f"file://{path}"
+    write_media(docs, uri)
+    return measure_media(read_media(docs.sparkSession, uri)).drop("error")
