@@ -30,6 +30,15 @@ def test_features_of_a_text_don_t_depend_on_its_batch():
         assert np.allclose(one.value, whole.value[mine]) and np.allclose(one.statistics[0], whole.statistics[k])
 
 
+def test_metadata_are_features():
+    texts = pa.array(["same words"] * 4)
+    f = fm.extract(texts, [pa.array([3, None, 5, None])])
+    assert f.statistics.shape == (4, len(fm.STATISTICS) + 2)
+    m = fm.train(f, np.array([1.0, 0.0, 1.0, 0.0]), steps=200, batch=4)
+    scores = m.score(f)
+    assert min(scores[0], scores[2]) > 0.5 > max(scores[1], scores[3])
+
+
 def test_awkward_rows(spark):
     labels = spark.createDataFrame([(0, 1), (5, 0), (6, None), (None, 1)], "doc_id long, quality int")
     rows = fm.classify_quality(table(spark), labels).collect()
@@ -37,7 +46,9 @@ def test_awkward_rows(spark):
     for r in rows:
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
         assert r.held_out == (zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 == 0)
-    assert fm.classify_quality(table(spark, []), labels).count() == 0
+    assert fm.classify_quality(table(spark, []), labels, metadata=["n_chars", "score"]).count() == 0
+    with_metadata = fm.classify_quality(table(spark), labels, metadata=["n_chars", "score"]).collect()
+    assert len(with_metadata) == len(ROWS) and all(0 <= r.score <= 1 for r in with_metadata)
     none = labels.filter("doc_id > 100")
     assert {r.score for r in fm.classify_quality(table(spark), none).collect()} == {0.5}
 
@@ -45,7 +56,7 @@ def test_awkward_rows(spark):
 def test_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    got = fm.classify_quality(docs.join(labels.select("doc_id"), "doc_id"), labels).filter("held_out").join(labels, "doc_id").toPandas()
+    got = fm.classify_quality(docs.join(labels.select("doc_id"), "doc_id"), labels, metadata=["n_chars"]).filter("held_out").join(labels, "doc_id").toPandas()
     rank, good = got.score.rank(), got.quality == 1
     auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / good.sum() / (~good).sum()
     assert auc > 0.99 and (got.predicted == got.quality).mean() > 0.97

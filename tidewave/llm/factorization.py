@@ -1,8 +1,8 @@
 """A factorisation machine for text quality.
 
-Features: hashed words by their share of the text, and statistics of its
-structure and length in steps of the training rows' quantiles. The score of
-features x is the logistic function of
+Features: hashed words by their share of the text, statistics of its structure
+and length, and numbers of the row's metadata, both in steps of the training
+rows' quantiles. The score of features x is the logistic function of
 
     w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)
 
@@ -10,14 +10,16 @@ which takes time linear in the features. It is trained on a bounded number of
 labelled rows, and scores every row of whole texts.
 
 Null or empty text: no words, statistics of zero, and a score like any other.
-Labels, language, source and doc_id are no inputs. Repeated rows score alike.
-Empty table: no rows; no labelled rows: every score is one half. Rows whose
-label is null aren't trained on.
+Null or NaN metadata: a feature of their own. Labels, language, source and
+doc_id are no inputs. Null doc_id: scored, never trained on. Repeated rows and
+ties score alike. Empty table: no rows; no labelled rows: every score is one
+half. Rows whose label is null aren't trained on. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,8 +50,8 @@ class Features:
     statistics: np.ndarray  # one row a text
 
 
-def extract(texts: pa.Array) -> Features:
-    """Hashed words (value: square root of the share, so rows have length 1) and statistics of each text."""
+def extract(texts: pa.Array, metadata: Sequence[pa.Array] = ()) -> Features:
+    """Hashed words (value: square root of the share, so rows have length 1) and statistics of each text; of metadata, logarithm and whether there is any."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     split = pc.ascii_split_whitespace(texts)
@@ -94,12 +96,18 @@ def extract(texts: pa.Array) -> Features:
         ],
         axis=1,
     )
-    return Features(owner, keys % BUCKETS, value, statistics.astype(np.float32))
+    more = []
+    for column in metadata:
+        x = column.cast(pa.float64()).to_numpy(zero_copy_only=False)
+        known = np.isfinite(x)
+        x = np.where(known, x, 0.0)
+        more += [np.sign(x) * np.log1p(np.abs(x)), known.astype(float)]
+    return Features(owner, keys % BUCKETS, value, np.column_stack([statistics, *more]).astype(np.float32))
 
 
 @dataclass
 class Machine:
-    edges: np.ndarray  # statistics x steps
+    edges: np.ndarray  # statistics and metadata x steps
     bias: float
     weights: np.ndarray
     factors: np.ndarray
@@ -132,9 +140,9 @@ class Machine:
 def train(f: Features, label: np.ndarray, factors: int = 8, steps: int = 1000, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
     """By stochastic gradients with a step size for each parameter (Adagrad)."""
     rng = np.random.default_rng(seed)
-    size = BUCKETS + len(STATISTICS) * (STEPS + 1)
+    size = BUCKETS + f.statistics.shape[1] * (STEPS + 1)
     if not len(label):
-        return Machine(np.zeros((len(STATISTICS), STEPS), np.float32), 0.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
+        return Machine(np.zeros((f.statistics.shape[1], STEPS), np.float32), 0.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     edges = np.quantile(f.statistics, np.arange(1, STEPS + 1) / (STEPS + 1), axis=0).T.astype(np.float32)
     share = np.clip(label.mean(), 0.01, 0.99)
     m = Machine(edges, float(np.log(share / (1 - share))), np.zeros(size, np.float32), rng.normal(0, 0.05, (size, factors)).astype(np.float32))
@@ -163,46 +171,52 @@ def train(f: Features, label: np.ndarray, factors: int = 8, steps: int = 1000, b
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = 6_000) -> Machine:
-    """Trains on at most most_rows labelled rows, those of the lowest hash of doc_id; labels(doc_id, label)."""
+def _inputs(docs: DataFrame, metadata: Sequence[str]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *(F.col(f"`{c}`").cast("double").alias(f"m{k}") for k, c in enumerate(metadata)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, most_rows: int = 6_000, metadata: Sequence[str] = ()) -> Machine:
+    """Trains on at most most_rows labelled rows, those of the lowest hash of doc_id; labels(doc_id, label). metadata: columns of numbers."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(some), "doc_id")
+    rows = _inputs(docs, metadata).join(F.broadcast(some), "doc_id")
+    width, names = len(STATISTICS) + 2 * len(metadata), [f"m{k}" for k in range(len(metadata))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                f, n = extract(part.column("text")), part.num_rows
+                f, n = extract(part.column("text"), [part.column(c) for c in names]), part.num_rows
                 lists = pa.array(np.searchsorted(f.row, np.arange(n + 1)).astype(np.int32))
-                statistics = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(STATISTICS)), pa.array(f.statistics.reshape(-1)))
+                statistics = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(f.statistics.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.ListArray.from_arrays(lists, pa.array(f.bucket.astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(f.value)), statistics], names=["doc_id", "y", "bucket", "value", "statistics"])
 
     # repeated documents add no more than the bound again
     table = rows.mapInArrow(run, "doc_id long, y double, bucket array<int>, value array<float>, statistics array<float>").orderBy("doc_id", "y").limit(most_rows).toArrow()
     lists = table.column("bucket").combine_chunks()
     if not table.num_rows:
-        return train(Features(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32), np.zeros((0, len(STATISTICS)), np.float32)), np.zeros(0))
+        return train(Features(np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32), np.zeros((0, width), np.float32)), np.zeros(0))
     row = np.repeat(np.arange(table.num_rows), pc.list_value_length(lists).to_numpy())
-    f = Features(row, lists.flatten().to_numpy().astype(np.int64), table.column("value").combine_chunks().flatten().to_numpy(), table.column("statistics").combine_chunks().flatten().to_numpy().reshape(-1, len(STATISTICS)))
+    f = Features(row, lists.flatten().to_numpy().astype(np.int64), table.column("value").combine_chunks().flatten().to_numpy(), table.column("statistics").combine_chunks().flatten().to_numpy().reshape(-1, width))
     return train(f, table.column("y").to_numpy())
 
 
-def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
-    """doc_id, score of each row."""
+def score_documents(docs: DataFrame, machine: Machine, metadata: Sequence[str] = ()) -> DataFrame:
+    """doc_id, score of each row; metadata as in fit."""
+    names = [f"m{k}" for k in range(len(metadata))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(machine.score(extract(part.column("text"))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(machine.score(extract(part.column("text"), [part.column(c) for c in names])))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
+    return _inputs(docs, metadata).mapInArrow(run, "doc_id long, score double")
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 6_000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 6_000, metadata: Sequence[str] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted; rows held out are never trained on."""
-    machine = fit(docs, labels.filter(~held_out()), "quality", most_rows)
-    return score_documents(docs, machine).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    machine = fit(docs, labels.filter(~held_out()), "quality", most_rows, metadata)
+    return score_documents(docs, machine, metadata).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
