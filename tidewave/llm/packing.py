@@ -6,8 +6,20 @@ become items for its parent, which packs the items of its children best-fit
 in turn, until the root. A node passes on a bounded number of its least full
 bins and finishes the rest, so no task's input grows with the corpus.
 
-Null or empty text: one piece, of the end id alone. Empty table: no rows.
-Repeated rows are packed as often as they occur. Other columns are not read.
+That bound costs no sequence. Best fit opens a bin only for an item that no
+open bin has room for, so at most one bin of a node is at most half full: a
+second one would have gone into the first. Two bins of over half never share a
+sequence. A parent can thus only join the one such bin of each child, whose
+number is fan, with a bin each; the carry least full bins of a node hold its
+half-full one and carry - 1 partners, far more than the fan that can be used.
+The best partners are the fullest that still have room: to leave these out
+changes how full the joined bins get, not how many remain, as long as carry is
+at least fan.
+
+Null or empty text: one piece, of the end id alone. Null doc_id: stays null.
+Empty table: no rows. Repeated rows, and rows of one doc_id, are packed as
+often as they occur. Very long texts are encoded a few million characters at
+a time and cut. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

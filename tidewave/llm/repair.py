@@ -6,8 +6,10 @@ grammar of its own: in rounds, frequent pairs of adjacent symbols are replaced
 by new symbols, and each rule keeps the length of its expansion. No rule spans
 two documents, so any stretch of any document decodes from the block alone.
 
-Null text: no ids but the end id. Empty table: no blocks, no rows. Rows that
-share a doc_id follow each other in any order. Other columns are not read.
+Null text: no ids but the end id. Null doc_id: before the others, stays null.
+Empty table: no blocks, no rows. Rows that share a doc_id follow each other in
+any order. A very long text is one document of one block. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -124,7 +126,19 @@ def _slot(pairs: np.ndarray) -> np.ndarray:
 
 
 def expand(g: Grammar, symbols: np.ndarray) -> np.ndarray:
-    """The ids that symbols stand for: a rule's two sides take its place until no rule is left."""
+    """The ids that symbols stand for. Of many symbols each rule is expanded once and then copied."""
+    if len(symbols) > len(g.left):
+        ids = np.concatenate([np.arange(g.base, dtype=np.uint32), _unfold(g, np.arange(g.base, g.base + len(g.left), dtype=np.uint32))])
+        size = np.concatenate([np.ones(g.base, np.int64), g.length.astype(np.int64)])
+        first = (np.cumsum(size) - size)[symbols]
+        n = size[symbols]
+        done = np.cumsum(n)
+        return ids[np.arange(done[-1]) + np.repeat(first - (done - n), n)] if len(n) else ids[:0]
+    return _unfold(g, symbols)
+
+
+def _unfold(g: Grammar, symbols: np.ndarray) -> np.ndarray:
+    """A rule's two sides take its place until no rule is left."""
     out = symbols
     while len(out) and (is_rule := out >= g.base).any():
         n = 1 + is_rule
