@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written and read again as the next one's input.
+
+Further columns, whatever their names, pass through all stages but the last,
+which returns pieces. Null text: as empty, so the first stage drops it. Null
+doc_id and null source: kept, as an id and a source of their own. Repeated
+rows: one of them stays. Empty table: no rows from any stage.
+"""
 
 from __future__ import annotations
 
@@ -27,8 +33,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Smaller sources repeat, at most twice in all; no document goes. A repeat is a row of its own."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    return mixing.mix_sources(docs, max_repeats=2.0, keep=rest).select(*docs.columns)
+    return mixing.repeat_documents(docs, max_repeats=2.0)
 
 
 def residual_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
