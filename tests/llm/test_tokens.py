@@ -144,3 +144,13 @@ def test_rounds_that_save_little_go_on():
     g = repair.compress(ids, np.array([0, 60_000]), 120, 200)
     assert len(g.left) == 199
     assert (repair.expand(g, g.symbols) == ids).all()
+
+
+def test_runs_of_one_hash_are_told_apart(monkeypatch):
+    enc = tokens.WordEncoder(tokens.word_bpe_path())
+    monkeypatch.setattr(tokens.pd.util, "hash_array", lambda x, categorize: np.array([len(s) % 3 for s in x], np.uint64))
+    texts = [f"word{k} other{k % 7} été {'x' * (k % 5)} 12{k}" for k in range(40)]
+    for part in (texts[:20], texts, texts[10:]):
+        ids, offsets = enc.encode(pa.array(part))
+        want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want

@@ -12,6 +12,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -39,6 +40,8 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.runs = pa.array([], pa.large_string())
+        self.keys = np.zeros(0, np.uint64)  # hashes of runs, ascending, and the places of the runs
+        self.places = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.offsets = np.zeros(1, np.int64)
 
@@ -61,18 +64,29 @@ class WordEncoder:
     def _lookup(self, runs: pa.Array) -> np.ndarray:
         if len(self.runs) + len(runs) > CACHE_RUNS:
             self.forget()
-        known = pc.index_in(runs, value_set=self.runs)
-        new = runs.filter(pc.is_null(known))
+        h = pd.util.hash_array(runs.to_numpy(zero_copy_only=False), categorize=False)
+        known = np.full(len(runs), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            same = np.flatnonzero(self.keys[at] == h)
+            place = self.places[at[same]]
+            # runs of one hash that differ are not known
+            equal = pc.equal(self.runs.take(pa.array(place)), runs.take(pa.array(same))).to_numpy(zero_copy_only=False)
+            known[same[equal]] = place[equal]
+        new = np.flatnonzero(known < 0)
         if len(new):
-            ids, lengths = self._encode_runs(new)
-            self.runs = pa.concat_arrays([self.runs, new])
+            ids, lengths = self._encode_runs(runs.take(pa.array(new)))
+            known[new] = np.arange(len(self.runs), len(self.runs) + len(new))
+            self.runs = pa.concat_arrays([self.runs, runs.take(pa.array(new))])
             self.ids = np.concatenate([self.ids, ids])
-            first = len(self.offsets) - 1
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            known = known.fill_null(-1).to_numpy().astype(np.int64)
-            known[known < 0] = np.arange(first, first + len(new))
-            return known
-        return known.to_numpy().astype(np.int64)
+            keys, first = np.unique(h[new], return_index=True)
+            at = np.searchsorted(self.keys, keys)
+            fresh = np.append(self.keys, np.uint64(0))[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+            fresh |= at == len(self.keys)
+            self.keys = np.insert(self.keys, at[fresh], keys[fresh])
+            self.places = np.insert(self.places, at[fresh], known[new[first[fresh]]])
+        return known
 
     def _encode_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Plain runs are encoded many at a time: each of their words ends with
