@@ -6,7 +6,7 @@ import re
 import duckdb
 import pandas as pd
 import pytest
-from tidewave.plans import registry
+from tidewave.plans import catalog as registry
 
 DIR = "/root/testdata/sf0.001"
 

@@ -70,9 +70,9 @@ def test_quadrature(spark):
 
 
 def test_frames_and_analogue_events(spark):
-    frames = spark.createDataFrame([(0,), (9,), (10,), (14,)], "frame long")
-    videos = spark.createDataFrame([("a", 10, 0), ("b", 5, 1)], "video string, frames long, place int")
-    assert sorted(tuple(r) for r in behaviour.frame_of(frames, videos).collect()) == [(0, "a", 0), (9, "a", 9), (10, "b", 0), (14, "b", 4)]
+    frames = spark.createDataFrame([(1, 0), (1, 9), (1, 10), (1, 14), (1, 15), (2, 2), (2, 2), (3, 0)], "session int, frame long")
+    videos = spark.createDataFrame([(1, "a", 10, 0), (1, "b", 5, 1), (2, "c", 0, 0), (2, "d", 3, 1)], "session int, video string, frames long, place int")
+    assert sorted(tuple(r) for r in behaviour.frame_of(frames, videos).collect()) == [(1, 0, "a", 0), (1, 9, "a", 9), (1, 10, "b", 0), (1, 14, "b", 4), (2, 2, "d", 2), (2, 2, "d", 2)]
     df = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate([0, 0, 5, 5, 0, 5])], "channel string, i long, v double")
     assert sorted((r.i, r.edge) for r in behaviour.threshold_events(df).collect()) == [(2, 1), (4, -1), (5, 1)]
 

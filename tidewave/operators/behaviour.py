@@ -51,10 +51,12 @@ def preferred_direction(rates: DataFrame) -> DataFrame:
 
 
 def frame_of(frames: DataFrame, videos: DataFrame) -> DataFrame:
-    """frame, video, at: which video holds a frame of a session whose videos follow each other. videos(video, frames, place)."""
-    w = Window.orderBy("place")
-    ends = videos.withColumn("stop", F.sum("frames").over(w)).withColumn("start", F.col("stop") - F.col("frames"))
-    return frames.join(F.broadcast(ends), (F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("stop"))).select("frame", "video", (F.col("frame") - F.col("start")).alias("at"))
+    """session, frame, video, at: which video holds a frame of a session whose videos follow each other. frames(session, frame), videos(session, video, frames, place)."""
+    w = Window.partitionBy("session").orderBy("place")
+    starts = videos.filter("frames > 0").withColumn("stop", F.sum("frames").over(w)).withColumn("start", F.col("stop") - F.col("frames"))
+    found = as_of(frames.select("session", "frame"), starts.select("session", F.col("start").alias("frame")), ["session"], "frame")
+    held = found.join(starts.select("session", F.col("start").alias("previous"), "stop", "video"), ["session", "previous"])
+    return held.filter("frame < stop").select("session", "frame", "video", (F.col("frame") - F.col("previous")).alias("at"))
 
 
 def threshold_events(signal: DataFrame, share: float = 0.2) -> DataFrame:

@@ -61,6 +61,28 @@ def synchrony(z: DataFrame, reach: int) -> DataFrame:
     return z.filter(F.abs("bin") <= reach).groupBy("u1", "u2").agg(F.avg("z").alias("synchrony"))
 
 
+def synchrony_ratio(dense_full: DataFrame, half: int, reach: int, share: float = 0.4) -> DataFrame:
+    """u1, u2, ratio: mean count of the bins within reach of 0 over that of a baseline: the bins before a part share / 2 of all, and those from a part (1 - share) / 2 on."""
+    size = 2 * half + 1
+    index = F.col("bin") + half
+    base = (index < int(size * share / 2)) | (index >= int(size * (1 - share) / 2))
+    means = dense_full.groupBy("u1", "u2").agg(F.avg(F.when(F.abs("bin") <= reach, F.col("n"))).alias("_s"), F.avg(F.when(base, F.col("n"))).alias("_b"))
+    return means.select("u1", "u2", F.try_divide("_s", "_b").alias("ratio"))
+
+
+def over_chance(dense_full: DataFrame, counts: DataFrame, width: float, length: float) -> DataFrame:
+    """Adds dp (spikes of u2 for each of u1, less what its mean rate gives) and covariance (dp times u1's spikes in a bin). counts: unit, total."""
+    a = counts.select(F.col("unit").alias("u1"), F.col("total").alias("n1"))
+    b = counts.select(F.col("unit").alias("u2"), F.col("total").alias("n2"))
+    out = dense_full.join(a, "u1").join(b, "u2").withColumn("dp", F.col("n") / F.col("n1") - F.col("n2") * F.lit(width / length))
+    return out.withColumn("covariance", F.col("dp") * F.col("n1") * F.lit(width / length))
+
+
+def central_mean(df: DataFrame, value: str, reach: int) -> DataFrame:
+    """u1, u2, mean of a value of the bins within reach of 0."""
+    return df.filter(F.abs("bin") <= reach).groupBy("u1", "u2").agg(F.avg(value).alias("mean"))
+
+
 def by_reference(df1: DataFrame, df2: DataFrame, width: int, half: int) -> DataFrame:
     """id, bin, n: for each spike of df1 the spikes of df2 after it, same unit."""
     left = df1.select("unit", "id", F.col("t").alias("t1"))

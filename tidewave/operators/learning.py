@@ -21,10 +21,17 @@ def fit_glm(df: DataFrame, features: list[str], target: str, family: str = "gaus
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="features", withMean=True), model]).fit(df)
 
 
-def folded(df: DataFrame, folds: int, label: str, seed: int = 0) -> DataFrame:
-    """Adds fold: each label's rows, shuffled by a hash of their id, are dealt in turn."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id")
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % folds).cast("int"))
+def folded(df: DataFrame, folds: int, label: str, seed: int = 0, parts: int = 256) -> DataFrame:
+    """Adds fold: each label's rows, shuffled by a hash of their id, are dealt in turn.
+
+    A label's rows are numbered in parts of the range of hashes, so that no
+    task sorts a label whole. Null labels count as one.
+    """
+    h = F.xxhash64(F.col("id"), F.lit(seed))
+    rows = df.withColumn("_part", F.shiftright(h, 64 - (parts - 1).bit_length())).withColumn("_key", F.coalesce(F.col(label).cast("string"), F.lit("\x00")))
+    before = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_key", "_part").orderBy(h, "id")) - 1
+    return rows.withColumn("_place", place).join(before, ["_key", "_part"]).withColumn("fold", ((F.col("_place") + F.col("_before")) % folds).cast("int")).drop("_key", "_part", "_place", "_before")
 
 
 def balanced(df: DataFrame, label: str, seed: int = 0) -> DataFrame:
@@ -51,9 +58,19 @@ def cross_validated(df: DataFrame, features: list[str], label: str, folds: int =
     return out
 
 
-def kolmogorov_smirnov(df: DataFrame, value: str, group: str) -> DataFrame:
-    """d: the largest difference of the two groups' (0 and 1) cumulative shares of a value."""
+def kolmogorov_smirnov(df: DataFrame, value: str, group: str, parts: int = 200) -> DataFrame:
+    """d: the largest difference of the two groups' (0 and 1) cumulative shares of a value.
+
+    Values are cut at approximate quantiles into parts that are summed up by
+    themselves and moved on by the parts before, so no task sees all values.
+    """
     n = df.groupBy().agg(F.count_if(F.col(group) == 0).alias("n0"), F.count_if(F.col(group) == 1).alias("n1"))
-    steps = df.groupBy(value).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(F.broadcast(n)).select(F.abs(F.sum("a").over(w) / F.col("n0") - F.sum("b").over(w) / F.col("n1")).alias("x")).agg(F.max("x").alias("d"))
+    edges = sorted(set(df.approxQuantile(value, [k / parts for k in range(1, parts)], 1 / (4 * parts))))
+    part = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)).cast("array<double>"), lambda e: e < F.col(value)))
+    steps = df.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == 0).alias("a"), F.count_if(F.col(group) == 1).alias("b"))
+    steps = steps.withColumnRenamed("v", value).filter(F.col(value).isNotNull()).withColumn("part", part)
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over the parts, of which there are few
+    before = steps.groupBy("part").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("part", F.coalesce(F.sum("a").over(ahead), F.lit(0)).alias("a0"), F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b0"))
+    w = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    summed = steps.select("part", F.sum("a").over(w).alias("a"), F.sum("b").over(w).alias("b")).join(F.broadcast(before), "part")
+    return summed.join(F.broadcast(n)).select(F.abs((F.col("a") + F.col("a0")) / F.col("n0") - (F.col("b") + F.col("b0")) / F.col("n1")).alias("x")).agg(F.max("x").alias("d"))

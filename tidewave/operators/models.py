@@ -57,6 +57,20 @@ def poisson_cdf(k: Column, rate: Column) -> Column:
     return F.when(k < 0, 0.0).otherwise(F.aggregate(terms, start, step, lambda s: s["sum"]) * F.exp(-rate))
 
 
+def normal_pdf(x: Column, mean: float | Column = 0.0, sd: float | Column = 1.0) -> Column:
+    z = (x - mean) / sd
+    return F.exp(-0.5 * z * z) / (sd * F.sqrt(F.lit(2 * np.pi)))
+
+
+def normal_cdf(x: Column, mean: float | Column = 0.0, sd: float | Column = 1.0) -> Column:
+    """0.5 + pdf(z) (z + z^3 / 3 + z^5 / 15 ...); 0 or 1 where |z| is over 8."""
+    z = (x - mean) / sd
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    step = lambda s, k: F.struct((s["term"] * z * z / (2 * k + 1)).alias("term"), (s["sum"] + s["term"] * z * z / (2 * k + 1)).alias("sum"))
+    near = 0.5 + normal_pdf(z) * F.aggregate(F.sequence(F.lit(1), F.lit(120)), start, step, lambda s: s["sum"])
+    return F.when(z > 8, 1.0).when(z < -8, 0.0).otherwise(near)
+
+
 def modulations(z: DataFrame, threshold: float, least: int) -> DataFrame:
     """u1, u2, first, last, n, amplitude, at: runs of bins beyond the threshold (either sign), with the largest |z| and its bin."""
     from tidewave.functions.timeline import islands

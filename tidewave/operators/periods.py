@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidewave.functions.timeline import islands
 
 
-def inside(df: DataFrame, periods: DataFrame, unit: str = "unit") -> DataFrame:
-    """Rows in any closed period of their unit; each once. periods(unit, start, stop), disjoint within a unit.
+def marked(df: DataFrame, periods: DataFrame, unit: str = "unit") -> DataFrame:
+    """Adds inside: whether a row is in any closed period of its unit. periods(unit, start, stop), disjoint within a unit.
 
     The latest period that starts at or before a row is the only one that can
     hold it: an as-of lookup, not a pair for each period.
@@ -18,7 +18,18 @@ def inside(df: DataFrame, periods: DataFrame, unit: str = "unit") -> DataFrame:
     both = df.withColumn("_stop", F.lit(None).cast("long")).unionByName(periods.select(unit, F.col("start").alias("t"), F.col("stop").alias("_stop")), allowMissingColumns=True)
     # at equal times the period comes first; of several the longest last
     w = Window.partitionBy(unit).orderBy("t", F.col("_stop").isNull(), "_stop").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_until", F.last("_stop", ignorenulls=True).over(w)).filter("_stop IS NULL AND t <= _until").select(unit, *rest)
+    return both.withColumn("_until", F.last("_stop", ignorenulls=True).over(w)).filter("_stop IS NULL").select(unit, *rest, F.coalesce(F.col("t") <= F.col("_until"), F.lit(False)).alias("inside"))
+
+
+def inside(df: DataFrame, periods: DataFrame, unit: str = "unit") -> DataFrame:
+    """Rows in any closed period of their unit; each once. periods as in marked."""
+    return marked(df, periods, unit).filter("inside").drop("inside")
+
+
+def checked(periods: DataFrame) -> DataFrame:
+    """The periods; one that doesn't end after it starts fails the job."""
+    bad = F.raise_error(F.lit("a period must end after it starts")).cast(dict(periods.dtypes)["stop"])
+    return periods.withColumn("stop", F.when(F.col("start") < F.col("stop"), F.col("stop")).otherwise(bad))
 
 
 def complement(periods: DataFrame, first: int, last: int, unit: str = "unit") -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.operators.rates import gaussian_smoothed
 from tidewave.operators.trains import with_intervals
+from tidewave.operators.waveforms import missing_spikes
 
 
 def violations(df: DataFrame, threshold: float, least: float, ticks_per_second: float) -> DataFrame:
@@ -28,10 +35,45 @@ def chunk_votes(df: DataFrame, size: int, span: int, first: int, threshold: int,
     w = Window.partitionBy("unit", "chunk").orderBy("t")
     chunks = sliding_chunks(df, size, span, first).withColumn("isi", F.col("t") - F.lag("t").over(w))
     passed = chunks.groupBy("unit", "chunk").agg((F.count_if(F.col("isi") < threshold) <= F.lit(most_share) * F.count("*")).alias("ok"))
+    return _votes(passed, span, any_passes)
+
+
+def _votes(passed: DataFrame, span: int, any_passes: bool) -> DataFrame:
     votes = passed.select("unit", F.explode(F.sequence(F.col("chunk"), F.col("chunk") + (span - 1))).alias("chunk"), "ok")
     return votes.groupBy("unit", "chunk").agg((F.bool_or("ok") if any_passes else F.bool_and("ok")).alias("good"))
 
 
+def missing_votes(df: DataFrame, size: int, span: int, first: int, most_missing: float, any_passes: bool) -> DataFrame:
+    """unit, chunk, good: as chunk_votes, by the share of amplitudes that the fit of a chunk says are missing; chunks that can't be fitted don't vote."""
+    fitted = missing_spikes(sliding_chunks(df, size, span, first).select("unit", "chunk", "a"), ["unit", "chunk"])
+    passed = fitted.filter(~F.isnan("missing")).select("unit", "chunk", (F.col("missing") <= most_missing).alias("ok"))
+    return _votes(passed, span, any_passes)
+
+
+def filtered_train(df: DataFrame, first: int, violation: int, size_fp: int, span_fp: int, size_fn: int, span_fn: int, most_fp: float = 0.05, most_fn: float = 0.05, any_passes: bool = True) -> DataFrame:
+    """The spikes in a chunk that is good by its short intervals and in one that is good by its amplitudes. df(unit, t, a, ...)."""
+    fp = chunk_votes(df, size_fp, span_fp, first, violation, most_fp, any_passes).filter("good").select("unit", F.col("chunk").alias("_fp"))
+    fn = missing_votes(df, size_fn, span_fn, first, most_fn, any_passes).filter("good").select("unit", F.col("chunk").alias("_fn"))
+    rows = df.withColumn("_fp", F.floor((F.col("t") - first) / size_fp)).withColumn("_fn", F.floor((F.col("t") - first) / size_fn))
+    return rows.join(fp, ["unit", "_fp"], "left_semi").join(fn, ["unit", "_fn"], "left_semi").select(*df.columns)
+
+
+def amplitude_cutoff(df: DataFrame, bins: int = 500, sd: float = 3.0) -> DataFrame:
+    """unit, missing: the mass of the smoothed density of amplitudes beyond the point opposite its lower end, 0.5 at most."""
+    ends = df.groupBy("unit").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.count("*").alias("size")).filter("hi > lo")
+    k = F.least(F.floor((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    counts = df.join(ends, "unit").groupBy("unit", k.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    grid = ends.select("unit", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    full = gaussian_smoothed(grid.join(counts, ["unit", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), sd)
+    # to 9 places, so that equal bins are equal
+    shape = full.groupBy("unit", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "smooth"))), lambda x: F.round(x["smooth"], 9)).alias("p"))
+    top = shape.withColumn("top", F.array_position("p", F.array_max("p")).cast("int"))
+    tail = top.withColumn("tail", F.transform(F.slice("p", F.col("top"), F.lit(bins)), lambda x: F.abs(x - F.get("p", F.lit(0)))))
+    begin = F.col("top") + F.array_position("tail", F.array_min("tail")).cast("int") - 1
+    mass = F.aggregate(F.slice("p", begin, F.lit(bins)), F.lit(0.0), lambda s, x: s + x)
+    return tail.select("unit", F.least(mass / F.col("size"), F.lit(0.5)).alias("missing"))
+
+
 def drift(df: DataFrame, value: str, interval: int, least: int) -> DataFrame:
     """unit, max_drift, cumulative_drift of a value's median over intervals with enough spikes."""
     medians = df.groupBy("unit", F.floor(F.col("t") / interval).alias("k")).agg(F.percentile(value, F.lit(0.5)).alias("m"), F.count("*").alias("n")).filter(F.col("n") >= least)
@@ -40,20 +82,144 @@ def drift(df: DataFrame, value: str, interval: int, least: int) -> DataFrame:
     return steps.groupBy("unit").agg((F.max("m") - F.min("m")).alias("max_drift"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("cumulative_drift"))
 
 
-def neighbour_rates(queries: DataFrame, points: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def neighbour_rates(queries: DataFrame, points: DataFrame, k: int, query_block: int = 2_000, point_block: int = 20_000) -> DataFrame:
     """label, hit, miss: the share of a label's query points' k nearest others that have its label, and of other labels' that do.
 
     points(id, label, features array<double>). queries are a part of them;
-    each meets every point, in blocks: a block keeps its k nearest before they
-    are merged.
+    each meets every point, in blocks of bounded size whose number follows the
+    tables: a block keeps its k nearest before they are merged. Equal distances
+    go by id.
     """
-    q = queries.select(F.col("id").alias("qid"), F.col("label").alias("qlabel"), F.col("features").alias("qf")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    p = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    d = F.aggregate(F.zip_with("qf", "features", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    near = q.join(p, "block").filter("qid <> id").select("qid", "qlabel", "block", "id", "label", d.alias("d"))
-    inside = near.withColumn("r", F.row_number().over(Window.partitionBy("qid", "block").orderBy("d", "id"))).filter(F.col("r") <= k)
+    n_points, n_queries = max(1, -(-points.count() // point_block)), max(1, -(-queries.count() // query_block))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # all columns anew: queries often come from points, and the sides of a cogroup must not share any
+    q = queries.select(F.col("id").alias("qid"), F.col("label").alias("qlabel"), F.col("features").alias("qf"), block("id", n_queries).alias("qblock"), every(n_points).alias("pblock"))
+    p = points.select(F.col("id").alias("pid"), F.col("label").alias("plabel"), F.col("features").alias("pf"), block("id", n_points).alias("pblock"), every(n_queries).alias("qblock"))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("pid")
+            x, ids, labels = np.stack(right.pf), right.pid.to_numpy(), right.plabel.to_numpy()
+            for qid, qlabel, f in zip(left.qid, left.qlabel, left.qf, strict=True):
+                d = ((x - f) ** 2).sum(axis=1)
+                d[ids == qid] = np.inf
+                near = np.argsort(d, kind="stable")[:k]
+                out += [(qid, qlabel, i, c, v) for i, c, v in zip(ids[near], labels[near], d[near], strict=True) if v < np.inf]
+        return pd.DataFrame(out, columns=["qid", "qlabel", "id", "label", "d"])
+
+    types = dict(points.dtypes)
+    schema = f"qid {types['id']}, qlabel {types['label']}, id {types['id']}, label {types['label']}, d double"
+    inside = q.groupBy("qblock", "pblock").cogroup(p.groupBy("qblock", "pblock")).applyInPandas(nearest, schema)
     best = inside.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).filter(F.col("r") <= k)
     own = best.groupBy("qlabel").agg(F.avg((F.col("label") == F.col("qlabel")).cast("double")).alias("hit"), F.count("*").alias("n"))
     crossed = best.filter("label <> qlabel").groupBy(F.col("label").alias("qlabel")).agg(F.count("*").alias("c"))
     total = best.agg(F.count("*").alias("all"))
     return own.join(crossed, "qlabel", "left").join(F.broadcast(total)).select(F.col("qlabel").alias("label"), "hit", (F.coalesce("c", F.lit(0)) / (F.col("all") - F.col("n"))).alias("miss"))
+
+
+def moments(points: DataFrame) -> DataFrame:
+    """label, n, mean, covariance (row by row, over n - 1; NaN for one point) of points(label, features array<double>): partial sums in each batch, then sums of these."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for label, part in pdf.groupby("label"):
+                x = np.stack(part.features)
+                sums = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).reshape(-1)])
+                rows.append(pd.DataFrame({"label": label, "k": np.arange(len(sums)), "v": sums}))
+            yield pd.concat(rows) if rows else pd.DataFrame({"label": [], "k": [], "v": []})
+
+    kind = dict(points.dtypes)["label"]
+    sums = points.select("label", "features").mapInPandas(partial, f"label {kind}, k int, v double").groupBy("label", "k").agg(F.sum("v").alias("v"))
+    flat = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("s"))
+    d = ((F.sqrt(4 * F.size("s") - 3) - 1) / 2).cast("int")
+    out = flat.withColumn("d", d).withColumn("n", F.get("s", F.lit(0))).withColumn("mean", F.transform(F.slice("s", F.lit(2), F.col("d")), lambda x: x / F.col("n")))
+    at = lambda i: F.get("mean", F.floor(i / F.col("d")).cast("int")) * F.get("mean", (i % F.col("d")).cast("int"))
+    cov = F.transform(F.slice("s", F.col("d") + 2, F.col("d") * F.col("d")), lambda x, i: F.when(F.col("n") > 1, (x - F.col("n") * at(i)) / F.greatest(F.col("n") - 1, F.lit(1.0))).otherwise(float("nan")))
+    return out.select("label", F.col("n").cast("long").alias("n"), "mean", cov.alias("covariance"))
+
+
+def _chi2_above(x: np.ndarray, degrees: int) -> np.ndarray:
+    """The chance that a chi-square of so many degrees is above x, by the recurrence in steps of two degrees."""
+    if degrees % 2 == 0:
+        term = tail = np.exp(-x / 2)
+        first = 2
+    else:
+        tail = np.array([math.erfc(math.sqrt(v / 2)) for v in x])
+        term = np.exp(-x / 2) * np.sqrt(2 * x / math.pi)
+        first = 1
+        if degrees >= 3:
+            tail = tail + term
+            first = 3
+    for k in range(first, degrees, 2):
+        term = term * x / k
+        tail = tail + term
+    return tail
+
+
+def separation(points: DataFrame) -> DataFrame:
+    """label, isolation, l_ratio, d_prime of each label's points against all others'. points(id, label, features array<double>).
+
+    Mahalanobis distances are from a label's mean by its covariance. isolation:
+    that (squared) of as many of the others as the label has points, or of all
+    of them; l_ratio: their chi-square tails over the label's points; d_prime:
+    along Fisher's direction, by population deviations. Labels are as few as
+    the units of a probe: their means and covariances go to every task. Null
+    where a covariance is singular or a side has under two points. The rank
+    that isolation asks for is found in a histogram of distances, so that only
+    one bin's rows are sorted.
+    """
+    spark = points.sparkSession
+    rows = moments(points).collect()
+    if sum(len(r.covariance) for r in rows) > 1 << 24:
+        raise ValueError("too many labels or features for one table in each task")
+    models, kind = {}, dict(points.dtypes)["label"]
+    total = sum(r.n for r in rows)
+    for r in rows:
+        n, m = r.n, np.array(r.mean)
+        cov = np.array(r.covariance).reshape(len(m), len(m))
+        others = [(o.n, np.array(o.mean), np.array(o.covariance).reshape(len(m), len(m))) for o in rows if o.label != r.label]
+        if n < 2 or total - n < 2 or not np.isfinite(cov).all() or np.linalg.matrix_rank(cov) < len(m):
+            continue
+        # scatter of the rest from its parts
+        weight = total - n
+        mo = sum(k * mu for k, mu, _ in others) / weight
+        so = sum((k - 1) * np.nan_to_num(c) + k * np.outer(mu - mo, mu - mo) for k, mu, c in others)
+        within = (n - 1) * cov + so
+        w = np.linalg.pinv(within) @ (m - mo)
+        spread = 0.5 * (w @ cov @ w * (n - 1) / n + w @ so @ w / weight)
+        models[r.label] = (m, np.linalg.inv(cov), n, float(w @ (m - mo) / np.sqrt(spread)) if spread > 0 else None)
+    few = spark.createDataFrame([(k, n, d) for k, (_, _, n, d) in models.items()], f"label {kind}, n long, d_prime double")
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, label = np.stack(pdf.features), pdf.label.to_numpy()
+            for name, (m, inverse, _, _) in models.items():
+                other = x[label != name] - m
+                if len(other):
+                    d = np.einsum("ij,jk,ik->i", other, inverse, other)
+                    yield pd.DataFrame({"label": name, "d": d, "tail": _chi2_above(np.maximum(d, 0), len(m))})
+
+    far = points.select("label", "features").mapInPandas(distances, f"label {kind}, d double, tail double")
+    # bins of the distances' logarithm: 64 to each doubling
+    binned = far.withColumn("bin", F.floor(F.log2(F.greatest(F.col("d"), F.lit(1e-300))) * 64))
+    sums = binned.groupBy("label", "bin").agg(F.count("*").alias("c"), F.sum("tail").alias("tail"))
+    w = Window.partitionBy("label").orderBy("bin")
+    ranked = sums.join(few.select("label", "n"), "label").withColumn("upto", F.sum("c").over(w)).withColumn("all", F.sum("c").over(Window.partitionBy("label")))
+    wanted = F.least("n", "all")
+    hit = ranked.filter((F.col("upto") >= wanted) & (F.col("upto") - F.col("c") < wanted)).select("label", "bin", (wanted - F.col("upto") + F.col("c")).alias("rank"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("d"))
+    isolation = binned.join(hit, ["label", "bin"]).withColumn("place", place).filter("place = rank").select("label", F.col("d").alias("isolation"))
+    l_ratio = sums.groupBy("label").agg(F.sum("tail").alias("tail"))
+    return few.join(isolation, "label", "left").join(l_ratio, "label", "left").select("label", "isolation", (F.col("tail") / F.col("n")).alias("l_ratio"), "d_prime")
+
+
+def spike_depth(features: DataFrame, pitch: float = 10.0) -> DataFrame:
+    """id, depth: the mean place of a spike's channels, weighted by the squares of their positive first components. features(id, channels array, values array)."""
+    power = F.transform("values", lambda v: F.when(v > 0, v * v).otherwise(0.0))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return features.withColumn("_p", power).select("id", (F.try_divide(add(F.zip_with("channels", "_p", lambda c, p: c * p)), add("_p")) * F.lit(pitch)).alias("depth"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewave.functions.timeline import range_join
 from tidewave.operators.periods import runs
-from tidewave.operators.trains import binned, with_intervals
+from tidewave.operators.trains import binned, regularity, with_intervals
 
 
 def gaussian_smoothed(dense: DataFrame, sd: float, value: str = "n") -> DataFrame:
@@ -78,7 +78,7 @@ def interval_mode(df: DataFrame, bins: int = 199) -> DataFrame:
     return best.select("unit", (F.col("lo") + (-F.col("x.k")) * (F.col("hi") - F.col("lo")) / bins).alias("mode"))
 
 
-def log_interval_entropy(df: DataFrame, bins: int = 20, sd: float = 1.0) -> DataFrame:
+def log_interval_entropy(df: DataFrame, bins: int = 199, sd: float = 2.0) -> DataFrame:
     """unit, entropy in bits of the intervals' histogram in equal steps of their logarithm, smoothed."""
     isi = with_intervals(df).filter("isi > 0").withColumn("l", F.log10("isi"))
     ends = isi.groupBy("unit").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("hi > lo")
@@ -89,6 +89,18 @@ def log_interval_entropy(df: DataFrame, bins: int = 20, sd: float = 1.0) -> Data
     return s.groupBy("unit").agg((-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log2("p")).otherwise(0.0))).alias("entropy"))
 
 
+def interval_features(df: DataFrame, ticks_per_second: float) -> DataFrame:
+    """The intervals' 17 features of each unit: those of regularity, mode (in seconds) and log-interval entropy."""
+    mode = interval_mode(df).select("unit", (F.col("mode") / F.lit(ticks_per_second)).alias("mode"))
+    return regularity(df, ticks_per_second).join(mode, "unit", "left").join(log_interval_entropy(df), "unit", "left")
+
+
+def up_to_median(df: DataFrame, value: str, low: float, width: float, by: str = "unit") -> DataFrame:
+    """Rows under low + median * width, the median of their group's values: a value is a place in bins of that width."""
+    middle = df.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    return df.join(middle, by).filter(F.col(value) < F.lit(low) + F.col("_m") * F.lit(width)).drop("_m")
+
+
 def split_by_value(df: DataFrame, value: str, n: int, by: str = "unit") -> DataFrame:
     """Adds part: which of n equal-width slices between a group's least and greatest value a row is in, from 0."""
     ends = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -1,8 +1,8 @@
 """Recorded signals in chunks: filters with halos, whitening, spectra, resampling.
 
 A signal is a table (channel, chunk, samples array); chunks of a channel
-follow each other without gaps. Each operator needs at most the neighbouring
-chunks of its own.
+follow each other without gaps. An operator needs a halo of neighbouring
+samples, or the channels of one chunk.
 """
 
 from __future__ import annotations
@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 
 
 def with_halo(signal: DataFrame, halo: int) -> DataFrame:
-    """Adds before and after: the last and first samples of the chunks next to each, empty at the ends."""
+    """Adds before and after: the halo samples on each side of a chunk, fewer at the ends of a channel.
+
+    As many neighbouring chunks are taken as the shortest one inside a channel
+    makes necessary.
+    """
     w = Window.partitionBy("channel").orderBy("chunk")
-    none = F.array().cast(dict(signal.dtypes)["samples"])
-    both = signal.withColumn("_p", F.lag("samples").over(w)).withColumn("_n", F.lead("samples").over(w))
-    before = F.coalesce(F.slice("_p", F.greatest(F.size("_p") - halo + 1, F.lit(1)), F.lit(halo)), none)
-    after = F.coalesce(F.slice("_n", F.lit(1), F.lit(halo)), none)
-    return both.withColumn("before", before).withColumn("after", after).drop("_p", "_n")
+    inside = signal.select(F.size("samples").alias("n"), F.lead("chunk").over(w).isNotNull().alias("more")).filter("more")
+    shortest = inside.agg(F.min("n")).first()[0]
+    if shortest == 0:
+        raise ValueError("a chunk inside a channel is empty")
+    chunks = -(-halo // shortest) if shortest else 1
+    before = F.flatten(F.collect_list("samples").over(w.rowsBetween(-chunks, -1))) if halo else F.slice("samples", 1, 0)
+    after = F.flatten(F.collect_list("samples").over(w.rowsBetween(1, chunks))) if halo else F.slice("samples", 1, 0)
+    both = signal.withColumn("before", before).withColumn("after", after)
+    return both.withColumn("before", F.slice("before", F.greatest(F.size("before") - halo + 1, F.lit(1)), F.lit(halo))).withColumn("after", F.slice("after", F.lit(1), F.lit(halo)))
 
 
 def filtered(signal: DataFrame, kernel: np.ndarray) -> DataFrame:
@@ -56,22 +64,28 @@ def band_kernel(rate: float, low: float | None, high: float | None, taps: int =
 
 
 def common_average_removed(signal: DataFrame) -> DataFrame:
-    """Samples less the median over channels at the same moment."""
-    each = signal.select("channel", "chunk", F.posexplode("samples").alias("i", "v"))
-    median = each.groupBy("chunk", "i").agg(F.percentile("v", F.lit(0.5)).alias("m"))
-    gathered = median.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
-    return signal.join(gathered, "chunk").select("channel", "chunk", F.zip_with("samples", "m", lambda x, m: x - m).alias("samples"))
+    """Samples less the median over channels at the same moment. A chunk's channels meet in one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack([np.asarray(s, float) for s in pdf.samples])
+        return pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": list(x - np.median(x, axis=0))})
+
+    return signal.groupBy("chunk").applyInPandas(run, "channel long, chunk long, samples array<double>")
 
 
 def covariance(signal: DataFrame) -> DataFrame:
-    """c1 <= c2, covariance of the channels' samples."""
-    a = signal.select("chunk", F.col("channel").alias("c1"), F.col("samples").alias("x"))
-    b = signal.select("chunk", F.col("channel").alias("c2"), F.col("samples").alias("y"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
-    parts = a.join(b, "chunk").filter("c1 <= c2").groupBy("c1", "c2").agg(
-        F.sum(total(F.zip_with("x", "y", lambda p, q: p * q))).alias("xy"), F.sum(total(F.col("x"))).alias("sx"), F.sum(total(F.col("y"))).alias("sy"), F.sum(F.size("x")).alias("n")
-    )
-    return parts.select("c1", "c2", (F.col("xy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))).alias("covariance"))
+    """c1 <= c2, covariance of the channels' samples: one matrix product a chunk, then sums. All channels are in each chunk."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("channel")
+        x = np.stack([np.asarray(s, float) for s in pdf.samples])
+        i, j = np.triu_indices(len(x))
+        name, total = pdf.channel.to_numpy(), x.sum(axis=1)
+        return pd.DataFrame({"c1": name[i], "c2": name[j], "xy": (x @ x.T)[i, j], "sx": total[i], "sy": total[j], "n": x.shape[1]})
+
+    parts = signal.groupBy("chunk").applyInPandas(run, "c1 long, c2 long, xy double, sx double, sy double, n long")
+    sums = parts.groupBy("c1", "c2").agg(*(F.sum(c).alias(c) for c in ("xy", "sx", "sy", "n")))
+    return sums.select("c1", "c2", (F.col("xy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))).alias("covariance"))
 
 
 def whitening_matrix(signal: DataFrame, epsilon: float = 1e-6) -> np.ndarray:
@@ -114,15 +128,27 @@ def cross_spectrum(pairs: DataFrame, rate: float, segment: int) -> DataFrame:
     return spectra.groupBy("u1", "u2", "frequency").agg(F.hypot(F.avg("re"), F.avg("im")).alias("magnitude"))
 
 
-def shifted(signal: DataFrame, shifts: DataFrame) -> DataFrame:
-    """Chunks moved by a part of a sample, by their spectrum. shifts(channel, shift)."""
+def shifted(signal: DataFrame, shifts: DataFrame, halo: int = 128) -> DataFrame:
+    """Samples moved by a part of a sample, by the spectrum of each chunk with its halo, which fades out. shifts(channel, shift).
+
+    Beyond the ends of a channel its samples are mirrored; a channel of one
+    chunk counts as periodic.
+    """
+    fade = 0.5 - 0.5 * np.cos(np.pi * (np.arange(halo) + 0.5) / halo)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for x, s in zip(pdf.samples, pdf["shift"], strict=True):
-                n = len(x)
-                out.append(np.fft.irfft(np.fft.rfft(np.asarray(x, float)) * np.exp(-2j * np.pi * np.fft.rfftfreq(n) * s), n) if n else x)
+            for x, b, a, s in zip(pdf.samples, pdf.before, pdf.after, pdf["shift"], strict=True):
+                y, skip = np.asarray(x, float), 0
+                if len(b) or len(a):
+                    y, skip = np.concatenate([b, x, a]).astype(float), halo
+                    y = np.pad(y, (halo - len(b), halo - len(a)), mode="reflect" if len(y) > 1 else "edge")
+                    y[:halo] *= fade
+                    y[len(y) - halo :] *= fade[::-1]
+                n = len(y)
+                moved = np.fft.irfft(np.fft.rfft(y) * np.exp(-2j * np.pi * np.fft.rfftfreq(n) * s), n) if n else y
+                out.append(moved[skip : n - skip])
             yield pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": out})
 
-    return signal.join(shifts, "channel").mapInPandas(run, "channel long, chunk long, samples array<double>")
+    return with_halo(signal, halo).join(shifts, "channel").mapInPandas(run, "channel long, chunk long, samples array<double>")

@@ -36,13 +36,20 @@ def rates(df: DataFrame, ticks_per_second: float, exclude: float = 0.005) -> Dat
 
 
 def regularity(df: DataFrame, ticks_per_second: float, refractory: float = 0.8) -> DataFrame:
-    """cv2 mean and median, ir, lv, lvr, si, skewness, burst index of neighbouring intervals."""
+    """mfr, mifr, median, 5th percentile, cv2 mean and median, cv, ir, lv, lvr, lcv, si, skewness, deviation and burst index of the intervals."""
     x = (F.col("isi") / F.lit(ticks_per_second)).alias("x")
     isi = with_intervals(df).filter("isi > 0").select("unit", "t", x).withColumn("p", F.lag("x").over(in_order()))
     both = F.col("x") + F.col("p")
     cv2 = 2 * F.abs(F.col("x") - F.col("p")) / both
     local = 1 - 4 * F.col("x") * F.col("p") / (both * both)
     return isi.groupBy("unit").agg(
+        (1 / F.avg("x")).alias("mfr"),
+        F.avg(1 / F.col("x")).alias("mifr"),
+        F.percentile("x", F.lit(0.5)).alias("median"),
+        F.percentile("x", F.lit(0.05)).alias("prct5"),
+        (F.stddev_pop("x") / F.avg("x")).alias("cv"),
+        F.try_divide(F.stddev_pop(F.log10("x")), F.avg(F.log10("x"))).alias("lcv"),
+        F.stddev_pop("x").alias("sd"),
         F.avg(cv2).alias("cv2_mean"),
         F.percentile(cv2, F.lit(0.5)).alias("cv2_median"),
         F.avg(F.abs(F.log(F.col("x") / F.col("p")))).alias("ir"),

@@ -122,26 +122,67 @@ def waveform_features(waves: DataFrame, delta_share: float = 0.15) -> DataFrame:
     return waves.select(F.col("unit").cast("long").alias("unit"), F.col("channel").cast("long").alias("channel"), "wave").mapInPandas(run, FEATURES)
 
 
-def missing_spikes(df: DataFrame, bins: int = 40) -> DataFrame:
-    """unit, n, missing: the share of a unit's amplitudes under its threshold, by a gaussian fitted to their histogram's upper side.
-
-    Histograms are aggregated by Spark: the fit of a unit gets one row for each bin.
+def truncated_gaussian(x: np.ndarray, n: np.ndarray, height: float, mean: float, sd: float, cut: float, steps: int = 200) -> tuple[float, float, float]:
+    """height, mean and sd of a gaussian, 0 below cut, through counts n at x by least squares (Levenberg-Marquardt)."""
+    x, n = x[x >= cut], n[x >= cut]
+    p, damp = np.array([height, mean, sd], float), 1e-3
+
+    def model(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = (x - p[1]) / p[2]
+        g = np.exp(-0.5 * z * z)
+        return p[0] * g, np.stack([g, p[0] * g * z / p[2], p[0] * g * z * z / p[2]], axis=1)
+
+    y, j = model(p)
+    error = ((n - y) ** 2).sum()
+    for _ in range(steps):
+        a, b = j.T @ j, j.T @ (n - y)
+        try:
+            step = np.linalg.solve(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), b)
+        except np.linalg.LinAlgError:
+            break
+        q = p + step
+        y2, j2 = model(q) if q[2] != 0 else (y, j)
+        error2 = ((n - y2) ** 2).sum() if q[2] != 0 else np.inf
+        if error2 <= error:
+            done = error - error2 <= 1e-12 * max(error, 1e-12)
+            p, y, j, error, damp = q, y2, j2, error2, damp / 3
+            if done:
+                break
+        else:
+            damp *= 4
+            if damp > 1e12:
+                break
+    return float(p[0]), float(p[1]), abs(float(p[2]))
+
+
+def missing_spikes(df: DataFrame, by: list[str] | None = None, least: int = 16, least_bins: int = 4, most_bins: int = 100_000) -> DataFrame:
+    """by, n, bins, missing: the share of a group's amplitudes under its threshold, by a truncated gaussian fitted to their histogram.
+
+    df(*by, a); by: unit if not given. Bins follow Freedman and Diaconis; the
+    threshold is the first percentile. Groups of fewer amplitudes or bins, or
+    without spread, are left out. Histograms are aggregated by Spark: the fit
+    of a group gets one row for each bin that has any.
     """
-    edges = df.groupBy("unit").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
-    placed = df.join(edges, "unit").withColumn("k", F.least(F.floor((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
-    histogram = placed.groupBy("unit", "lo", "hi", "k").agg(F.count("*").alias("n"))
+    by = by or ["unit"]
+    q = lambda p: F.percentile("a", F.lit(p))
+    stats = df.groupBy(*by).agg(F.count("*").alias("size"), F.min("a").alias("lo"), F.max("a").alias("hi"), (q(0.75) - q(0.25)).alias("iqr"), F.stddev_pop("a").alias("sd"), q(0.01).alias("cut"))
+    stats = stats.filter((F.col("iqr") > 0) & (F.col("size") >= least)).withColumn("bins", F.least(F.floor((F.col("hi") - F.col("lo")) / (2 * F.col("iqr") / F.cbrt("size")) + 1), F.lit(most_bins)).cast("int")).filter(F.col("bins") >= least_bins)
+    k = F.least(F.floor((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)
+    kept = ["size", "lo", "hi", "sd", "cut", "bins"]
+    histogram = df.join(stats, by).groupBy(*by, *kept, k.cast("int").alias("k")).agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         from math import erf, sqrt
 
-        lo, hi = float(pdf.lo.iloc[0]), float(pdf.hi.iloc[0])
-        n = np.zeros(bins)
+        one = pdf.iloc[0]
+        width = (one.hi - one.lo) / one.bins
+        n = np.zeros(int(one.bins))
         n[pdf.k.to_numpy(int)] = pdf.n
-        x = lo + (np.arange(bins) + 0.5) * (hi - lo) / bins
-        top = int(np.argmax(np.convolve(n, np.ones(3) / 3, "same")))
-        mu = x[top]
-        upper = x >= mu
-        sigma = sqrt(max((n[upper] * (x[upper] - mu) ** 2).sum() / max(n[upper].sum(), 1), 1e-12))
-        return pd.DataFrame({"unit": [pdf.unit.iloc[0]], "n": [int(n.sum())], "missing": [0.5 * (1 + erf((lo - mu) / (sigma * sqrt(2))))]})
-
-    return histogram.filter("hi > lo").groupBy("unit").applyInPandas(fit, "unit long, n long, missing double")
+        mode = one.lo + width * np.flatnonzero(n == n.max()).mean()
+        x = one.lo + width * (np.arange(len(n)) + 0.5)
+        _, mean, sd = truncated_gaussian(x, n, n.max(), mode, one.sd, one.cut)
+        share = 0.5 * (1 + erf((one.cut - mean) / (sd * sqrt(2)))) if sd > 0 else float("nan")
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [int(one["size"])], "bins": [int(one.bins)], "missing": [round(share, 4)]})
+
+    types = dict(df.dtypes)
+    return histogram.groupBy(*by).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, bins int, missing double")

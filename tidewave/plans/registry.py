@@ -74,7 +74,7 @@ SELECT unit, round(avg(2 * abs(x - p) / (x + p)), 6) AS cv2_mean, round(quantile
 FROM p JOIN m USING (unit) GROUP BY unit""")
 def q_isi_features(spark, d):
     f = trains.regularity(spikes(spark, d), float(HOUR))
-    return f.select("unit", *(r6(c, c) for c in f.columns if c != "unit"))
+    return f.select("unit", *(r6(c, c) for c in ("cv2_mean", "cv2_median", "ir", "lv", "lvr", "si", "skew", "burst_index")))
 
 
 @query(f"""WITH {CLICKS}, k AS (SELECT unit, (t - {START}) // {DAY} AS bin, count(*) AS n FROM c GROUP BY ALL)
@@ -561,11 +561,6 @@ def q_wave_features(spark, d):
     return waveforms.waveform_features(waves(spark, d))
 
 
-@query()
-def q_wave_smoothed(spark, d):
-    return waveforms.smooth_arrays(waves(spark, d), "wave", 2.0)
-
-
 @query()
 def q_missing_spikes(spark, d):
     return waveforms.missing_spikes(spikes(spark, d))
@@ -660,11 +655,6 @@ def q_split_distribution(spark, d):
     return rates.split_by_value(spikes(spark, d), "a", 4).select("unit", "id", "part")
 
 
-@query()
-def q_log_isi_entropy(spark, d):
-    return rates.log_interval_entropy(spikes(spark, d)).select("unit", r6("entropy", "entropy"))
-
-
 # --- correlograms against a predictor
 
 _KERNEL = significance.hollow_kernel(4)

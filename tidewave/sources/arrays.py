@@ -21,34 +21,61 @@ def _header(f) -> tuple[int, str, tuple[int, ...]]:
     return (10 if major == 1 else 12) + n, info["descr"], info["shape"]
 
 
+def _ranges(spark: SparkSession, path: str, rows: int) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "length")
+    # a row has at least a byte, so there are at most so many ranges; those beyond the end are empty
+    return files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / rows))).alias("k")).repartition("path", "k")
+
+
+def _read_rows(name: str, k: int, rows: int):
+    """The kth stretch of rows of an array file, as an array of (rows, values of a row)."""
+    import numpy as np
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(name)
+    with system.open_input_file(at) as f:
+        offset, descr, shape = _header(f)
+        d = np.dtype(descr)
+        width = int(np.prod(shape[1:]))
+        n = max(0, min(rows, shape[0] - k * rows)) if shape else 0
+        f.seek(offset + k * rows * width * d.itemsize)
+        return np.frombuffer(f.read(n * width * d.itemsize), d).reshape(n, width)
+
+
 def read_npy(spark: SparkSession, path: str, kind: str = "double", rows: int = 1 << 20) -> DataFrame:
     """path, row, value of one-dimensional .npy files, each cut into ranges of rows that tasks seek to.
 
     kind: the type of value. A file of shape (n, 1) counts as one-dimensional.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "length")
-    # a row has at least a byte, so there are at most so many ranges; those beyond the end are empty
-    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("length") / rows))).alias("k")).repartition("path", "k")
 
     def read(batches):
         import numpy as np
         import pandas as pd
-        from pyarrow import fs
 
         for pdf in batches:
             for name, k in zip(pdf.path, pdf.k, strict=True):
-                system, at = fs.FileSystem.from_uri(name)
-                with system.open_input_file(at) as f:
-                    offset, descr, shape = _header(f)
-                    if int(np.prod(shape[1:])) != 1:
-                        raise ValueError("an array of one dimension is expected")
-                    d = np.dtype(descr)
-                    n = max(0, min(rows, shape[0] - k * rows))
-                    f.seek(offset + k * rows * d.itemsize)
-                    values = np.frombuffer(f.read(n * d.itemsize), d)
-                yield pd.DataFrame({"path": name, "row": np.arange(k * rows, k * rows + n), "value": values})
+                x = _read_rows(name, k, rows)
+                if x.shape[1] != 1:
+                    raise ValueError("an array of one dimension is expected")
+                yield pd.DataFrame({"path": name, "row": np.arange(k * rows, k * rows + len(x)), "value": x[:, 0]})
 
-    return ranges.mapInPandas(read, f"path string, row long, value {kind}")
+    return _ranges(spark, path, rows).mapInPandas(read, f"path string, row long, value {kind}")
+
+
+def read_npy_rows(spark: SparkSession, path: str, kind: str = "double", rows: int = 1 << 12) -> DataFrame:
+    """path, row, values of .npy files of any number of dimensions in C order: along the first one, the others flattened."""
+
+    def read(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for name, k in zip(pdf.path, pdf.k, strict=True):
+                x = _read_rows(name, k, rows).astype({"double": "f8", "float": "f4", "long": "i8", "int": "i4", "smallint": "i2"}[kind])
+                if len(x):
+                    yield pd.DataFrame({"path": name, "row": np.arange(k * rows, k * rows + len(x)), "values": list(x)})
+
+    return _ranges(spark, path, rows).mapInPandas(read, f"path string, row long, values array<{kind}>")
 
 
 def read_spike_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,14 +118,23 @@ def channel_map(spark: SparkSession, channels: int = 384, xs: tuple[int, ...] =
     return spark.range(channels).select(c.cast("int").alias("channel"), x.alias("x"), (F.floor(c / 2) * row_height + row_height).cast("int").alias("y"))
 
 
-def sync_edges(samples: DataFrame, bits: int = 16) -> DataFrame:
-    """bit, i, edge (1 on, -1 off) where a bit of the sync words changes. samples(i, word)."""
+def sync_edges(samples: DataFrame, bits: int = 16, block: int = 1 << 20) -> DataFrame:
+    """bit, i, edge (1 on, -1 off) where a bit of the sync words changes. samples(i, word), i without gaps.
+
+    Words are compared by blocks, each with the last word of the block before;
+    only changes are taken apart into bits.
+    """
     from pyspark.sql import Window
 
-    each = samples.select("i", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda k: F.shiftright(F.col("word"), 0).bitwiseAND(F.pow(F.lit(2), k).cast("int")) != 0)).alias("bit", "on"))
-    w = Window.partitionBy("bit").orderBy("i")
-    change = F.col("on").cast("int") - F.lag(F.col("on").cast("int")).over(w)
-    return each.withColumn("edge", change).filter("edge <> 0").select("bit", "i", "edge")
+    rows = samples.select("i", F.col("word").cast("long").alias("word"), F.floor(F.col("i") / block).alias("block"))
+    last = rows.groupBy("block").agg(F.max_by("word", "i").alias("carried")).select((F.col("block") + 1).alias("block"), "carried")
+    near = rows.withColumn("near", F.lag("word").over(Window.partitionBy("block").orderBy("i")))
+    firsts = near.filter("near IS NULL").join(last, "block").select("i", "word", F.col("carried").alias("old"))
+    changed = near.filter("near <> word").select("i", "word", F.col("near").alias("old")).unionByName(firsts.filter("old <> word"))
+    bit = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
+    each = changed.select("i", bit.alias("bit"), "word", "old")
+    on = lambda c: F.call_function("getbit", F.col(c), F.col("bit")).cast("int")
+    return each.withColumn("edge", on("word") - on("old")).filter("edge <> 0").select("bit", "i", "edge")
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:

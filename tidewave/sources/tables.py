@@ -56,3 +56,19 @@ def read_samples(spark: SparkSession, path: str, channels: int, frames: int = 65
             yield pd.DataFrame(out, columns=["path", "chunk", "frame0", "samples"])
 
     return ranges.mapInPandas(read, "path string, chunk int, frame0 long, samples array<smallint>")
+
+
+def by_channel(chunks: DataFrame, channels: int) -> DataFrame:
+    """channel, chunk, samples of chunks(chunk, samples frame by frame): the signal that the signal operators take."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for chunk, samples in zip(pdf.chunk, pdf.samples, strict=True):
+                x = np.asarray(samples).reshape(-1, channels).T
+                yield pd.DataFrame({"channel": np.arange(channels), "chunk": chunk, "samples": list(x)})
+
+    kind = dict(chunks.dtypes)["samples"]
+    return chunks.select("chunk", "samples").mapInPandas(run, f"channel long, chunk long, samples {kind}")

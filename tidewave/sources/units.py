@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,35 @@ def unusable(features: DataFrame, names: list[str], most_zeros: int = 5) -> Data
         x = F.col(c).cast("double")
         odd = odd | x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return features.filter((zeros > most_zeros) | odd)
+
+
+def decoded(u: Column) -> tuple[Column, Column]:
+    """(dataset, unit) of units named unit + dataset / 10."""
+    return F.round(F.pmod(u, F.lit(1.0)) * 10).cast("long"), F.floor(u).cast("long")
+
+
+def write_qualities(qualities: DataFrame, path: str) -> None:
+    """A tab-separated table cluster_id, group, in order of unit: rows are units."""
+    qualities.select(F.col("unit").alias("cluster_id"), "group").orderBy("cluster_id").coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def recording_length(spikes: DataFrame, ticks_per_second: float = 1.0) -> DataFrame:
+    """dataset, length: the time of a dataset's last spike."""
+    return spikes.groupBy("dataset").agg((F.max("t") / F.lit(ticks_per_second)).alias("length"))
+
+
+def without_labels(neurons: DataFrame) -> DataFrame:
+    return neurons.withColumn("label", F.lit(None).cast("string"))
+
+
+def union_of_stores(stores: list[DataFrame]) -> DataFrame:
+    """All stores' rows; of a dataset and unit that several have, those of the first one."""
+    out = stores[0]
+    for more in stores[1:]:
+        out = out.unionByName(more.join(out.select("dataset", "unit"), ["dataset", "unit"], "left_anti"), allowMissingColumns=True)
+    return out
+
+
+def connected_pairs(pairs: DataFrame, p: float) -> DataFrame:
+    """a, b, connected: whether a pair's least p value of any test is under p. pairs(a, b, p)."""
+    return pairs.groupBy("a", "b").agg((F.min("p") < p).alias("connected"))
