@@ -62,7 +62,7 @@ def test_signatures_are_unbiased():
     for i in range(5):
         for j in range(i):
             exact = similarity(sets[i], sets[j])
-            assert bag.weighted_jaccard(texts.slice(i, 1), texts.slice(j, 1))[0] == pytest.approx(exact)
+            assert bag.similarity_to(texts.slice(i, 1), texts.slice(j, 1))[0] == pytest.approx(exact)
             assert (sig[i] == sig[j]).mean() == pytest.approx(exact, abs=0.02)
 
 
@@ -91,7 +91,7 @@ def test_against_all_pairs(spark):
 def test_a_group_across_blocks(spark, monkeypatch):
     """A chain of edits: neighbours are linked, ends are far apart; small blocks and leaders alone don't find it."""
     monkeypatch.setattr(bag, "BLOCK", 4)
-    monkeypatch.setattr(bag, "PART", 3)
+    monkeypatch.setattr(bag, "PART_BYTES", 3_000)
     r = random.Random(5)
     words = [f"w{i}" for i in range(120)]
     docs = []

@@ -47,8 +47,8 @@ REGISTERS = BANDS * ROWS
 MARGIN = 5.5
 #: Most nodes, and about the most shingles, of one side of a block.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
-#: Pairs of one node that are verified in one part.
-PART = 512
+#: Bytes of texts that are verified against one node at once; a longer text is a part of its own.
+PART_BYTES = 2_000_000
 _U = np.uint64
 
 
@@ -136,20 +136,6 @@ def _first_points(row: np.ndarray, h: np.ndarray, level: np.ndarray, weight: np.
     return best.reshape(n, m)
 
 
-def weighted_jaccard(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Exact similarity of the shingle multisets of each pair of texts; 0 where one has none."""
-    a, b = shingles(left), shingles(right)
-    pair = np.concatenate([a[0], b[0]])
-    h = np.concatenate([a[1], b[1]])
-    w = np.concatenate([a[2], b[2]])
-    order = np.lexsort((h, pair))
-    pair, h, w = pair[order], h[order], w[order]
-    both = np.flatnonzero((pair[1:] == pair[:-1]) & (h[1:] == h[:-1]))
-    common = np.bincount(pair[both], weights=np.minimum(w[both], w[both + 1]), minlength=len(left))
-    total = np.bincount(pair, weights=w, minlength=len(left))
-    return common / np.maximum(total - common, 1)
-
-
 def _node_key() -> Column:
     return F.unhex(F.md5(text_or_empty().cast("binary")))
 
@@ -209,20 +195,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs(a, b) whose texts(node, text) are similar. A node of very many pairs is joined in parts."""
+def similarity_to(one: pa.Array, texts: pa.Array) -> np.ndarray:
+    """Exact similarity of the shingle multisets of one text and of each of the others; 0 where one has none."""
+    _, known, weight = shingles(one)
+    d, h, w = shingles(texts)
+    at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+    same = np.flatnonzero(known[at] == h) if len(known) else np.zeros(0, int)
+    common = np.bincount(d[same], weights=np.minimum(w[same], weight[at[same]]), minlength=len(texts))
+    return common / np.maximum(np.bincount(d, weights=w, minlength=len(texts)) + weight.sum() - common, 1)
+
+
+def _verify(stars: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """a < b of the pairs in stars(hub, node) whose texts(node, text, size) are similar.
+
+    A hub's text goes once to each part of its nodes; parts have a bound in
+    bytes.
+    """
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        hub, found = left["hub"][0].as_py(), []
+        one = left["hub_text"].combine_chunks().slice(0, 1)
+        for batch in right.select(["node", "text"]).combine_chunks().to_batches():
+            for part in slices(batch, "text", PART_BYTES):
+                found.append(part.column("node").filter(pa.array(similarity_to(one, part.column("text")) >= threshold)))
+        node = pa.concat_arrays(found).to_numpy() if found else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.minimum(node, hub)), "b": pa.array(np.maximum(node, hub))})
+
+    dealt = stars.join(texts.select("node", "size"), "node")
+    parts = dealt.groupBy("hub").agg(F.ceil(F.sum("size") / PART_BYTES).alias("parts"))
+    # the sides of a cogroup must not share columns, so all are named anew
+    node = dealt.join(parts, "hub").select(F.col("hub").alias("of"), F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
+    right = node.join(texts.select("node", F.col("text").alias("text")), "node").select("of", F.col("part").alias("of_part"), F.col("node").alias("node"), "text")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    left = parts.withColumn("part", every).join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub").select("hub", F.col("part").alias("hub_part"), "hub_text")
+    return left.groupBy("hub", "hub_part").cogroup(right.groupBy("of", "of_part")).applyInArrow(_if_both(compare), "a long, b long").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text_b", 2_000_000):
-                similar = weighted_jaccard(part.column("text_a"), part.column("text_b")) >= threshold
-                yield part.select(["a", "b"]).filter(pa.array(similar))
 
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("parts")).filter("parts > 1")
-    dealt = pairs.join(parts, "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))).select("a", "b", "part")
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(parts, "a", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+def _if_both(compare):
+    """compare, where a group has rows on both sides."""
+    return lambda left, right: compare(left, right) if left.num_rows and right.num_rows else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
 def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -237,7 +248,7 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Data
     sizes = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("top")).filter("labels > 1")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES))
     rows = m.join(sizes.select("bucket", "top", blocks.alias("blocks")), "bucket").withColumn("mine", F.pmod(F.xxhash64("node"), "blocks"))
-    rows = rows.join(nodes.select("node", "signature"), "node").join(texts, "node")
+    rows = rows.join(nodes.select("node", "signature"), "node").join(texts.select("node", "text"), "node")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     columns = ["band", "node", "label", "signature", "text"]
     build = rows.select("bucket", F.col("mine").alias("block"), every.alias("other"), *columns, F.lit(False).alias("probe"))
@@ -288,12 +299,12 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     bands = materialise(_bands(nodes), "bands")
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("n > 1")
     members = materialise(bands.join(buckets, "bucket"), "candidates")
-    stars = members.select(F.col("low").alias("a"), F.col("node").alias("b")).union(members.select(F.col("node").alias("a"), F.col("high").alias("b"))).filter("a < b").distinct()
+    stars = members.select(F.col("low").alias("hub"), "node").union(members.select(F.col("high").alias("hub"), "node")).filter("hub <> node").distinct()
     involved = members.select("node").distinct().join(nodes.select("node", "key", "id"), "node")
     source = docs.select(_node_key().alias("key"), F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
     same = (source["key"] == involved["key"]) & source["id"].eqNullSafe(involved["id"])
-    texts = materialise(source.join(involved, same).select("node", "text").dropDuplicates(["node"]), "texts")
-    links = materialise(_verify(stars, texts, threshold), "links")
+    texts = materialise(source.join(involved, same).select("node", "text", F.octet_length("text").cast("long").alias("size")).dropDuplicates(["node"]), "texts")
+    links = materialise(_verify(materialise(stars, "stars"), texts, threshold), "links")
     labels = components(links)
     # up to three nodes have all been compared
     more = materialise(_across(members.filter("n > 3").select("bucket", "band", "node"), labels, nodes, texts, threshold), "more-links")
