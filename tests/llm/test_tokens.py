@@ -154,3 +154,16 @@ def test_runs_of_one_hash_are_told_apart(monkeypatch):
         ids, offsets = enc.encode(pa.array(part))
         want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_bound_on_carried_bins_costs_no_sequence(spark, seed):
+    rng = np.random.default_rng(seed)
+    # hardly any piece fits to another: much is left over at each node
+    sizes = np.concatenate([rng.integers(52, 75, 900), rng.integers(1, 8, 40), rng.integers(20, 49, 30)])
+    deal = rng.integers(0, 1 << 40, len(sizes))
+    rows = [(i, 0, 0, int(n), 0, int(d)) for i, (n, d) in enumerate(zip(sizes, deal, strict=True))]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    count = lambda **o: packing.pack_pieces(pieces, 100, leaf_pieces=60, fan=4, **o).select("sequence_id").distinct().count()
+    few, all_ = count(carry=4), count(carry=1_000_000)
+    assert few <= all_ + 3
