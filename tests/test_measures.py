@@ -220,6 +220,16 @@ def test_wave_features_of_a_known_shape(spark):
     r = waveforms.waveform_features(spark.createDataFrame([(1, 2, wave.tolist())], "unit long, channel long, wave array<double>")).first()
     assert (r.trough, r.peak, r.width, r.n_troughs) == (60, 110, 50, 1) and r.ratio == pytest.approx(0.5, abs=0.01)
     assert r.trough_half_width == pytest.approx(2.355 * 6, abs=1.5) and r.peak_half_width == pytest.approx(2.355 * 12, abs=1.5)
+    assert r.trough_value == pytest.approx(wave[60] - np.median(wave)) and r.peak_value == pytest.approx(wave[110] - np.median(wave))
+    # a gaussian passes a share s of its height at sd * sqrt(-2 ln s) from its centre
+    at = lambda share: 6 * math.sqrt(-2 * math.log(share))
+    assert r.onset == pytest.approx(60 - at(0.05), abs=1.5) and r.fall_10_90 == pytest.approx(at(0.1) - at(0.9), abs=1.5)
+    y = wave - np.median(wave)
+    rise = y[60:111]
+    low, high = (int(np.argmax(rise > np.percentile(rise, q))) for q in (10, 90))
+    assert r.rise_10_90 == high - low
+    fall = y[60 - int(at(0.5)) - 1 : 61] / 3
+    assert r.depolarisation == pytest.approx(np.polyfit(np.arange(len(fall)), fall, 1)[0], rel=0.15)
     assert r.repolarisation == pytest.approx(np.polyfit(np.arange(51), wave[60:111], 1)[0], abs=1e-3)
 
 

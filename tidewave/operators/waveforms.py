@@ -91,11 +91,47 @@ def half_width(y: np.ndarray, at: int) -> int:
     return b - a + 1
 
 
-FEATURES = "unit long, channel long, n_peaks int, n_troughs int, trough int, peak int, width int, ratio double, trough_half_width int, peak_half_width int, repolarisation double, recovery_tau double"
+def passes(y: np.ndarray, level: float) -> np.ndarray:
+    """Places after which the wave is on the other side of a level."""
+    return np.flatnonzero(np.diff(np.sign(y - level)))
+
+
+def onset(y: np.ndarray, trough: int, share: float = 0.05) -> int:
+    """The last place before the trough where the wave passes a share of its value; 0 without one."""
+    before = passes(y[:trough], share * y[trough])
+    return int(before[-1]) if len(before) else 0
+
+
+def rise_time(y: np.ndarray) -> int:
+    """Samples between the first passes of the 10th and the 90th percentile of a stretch; 0 without them."""
+    if len(y) < 3:
+        return 0
+    low, high = passes(y, np.percentile(y, 10)), passes(y, np.percentile(y, 90))
+    return int(high[0] - low[0]) if len(low) and len(high) else 0
+
+
+def fall_time(y: np.ndarray, trough: int) -> int:
+    """Samples from where the wave passes a tenth of the trough's value to where it passes nine tenths, after its onset; 0 without them."""
+    start = onset(y, trough)
+    fall = y[start : trough + 1]
+    first, last = passes(fall, 0.1 * y[trough]), passes(fall, 0.9 * y[trough])
+    return int(last[0] - first[0]) if len(first) and len(last) else 0
+
+
+def half_fall_slope(y: np.ndarray, trough: int) -> float:
+    """The slope of a line through the wave, over its largest value, from half the trough's value to the trough; 0 without such a stretch."""
+    scaled = y / (np.abs(y).max() or 1.0)
+    start = onset(scaled, trough)
+    half = passes(scaled[start : trough + 1], 0.5 * scaled[trough])
+    fall = scaled[start + half[0] : trough + 1] if len(half) else scaled[:0]
+    return float(np.polyfit(np.arange(len(fall)), fall, 1)[0]) if len(fall) > 1 else 0.0
+
+
+FEATURES = "unit long, channel long, n_peaks int, n_troughs int, trough int, trough_value double, peak int, peak_value double, width int, ratio double, rise_10_90 int, fall_10_90 int, onset int, onset_value double, trough_half_width int, peak_half_width int, repolarisation double, depolarisation double, recovery_tau double, recovery_height double"
 
 
 def waveform_features(waves: DataFrame, delta_share: float = 0.15) -> DataFrame:
-    """Shape of each wave(unit, channel, wave): extremes, trough to peak, half widths, slope of repolarisation, time constant of the recovery."""
+    """Shape of each wave(unit, channel, wave) less its median: extremes, trough to peak, 10-90 times, onset, half widths, slopes, and the exponential of the recovery."""
 
     def describe(y: np.ndarray) -> tuple:
         y = y - np.median(y)
@@ -108,11 +144,13 @@ def waveform_features(waves: DataFrame, delta_share: float = 0.15) -> DataFrame:
         tail = y[p:]
         good = tail > 0
         tail = tail[: int(np.argmin(good)) if not good.all() else len(tail)]
-        tau = float("nan")
+        tau = height = float("nan")
         if len(tail) > 2:
-            fall = np.polyfit(np.arange(len(tail)), np.log(tail), 1)[0]
-            tau = float(-1 / fall) if fall < 0 else float("nan")
-        return len(peaks), len(troughs), t, p, p - t, float(abs(y[p] / y[t])) if y[t] else float("nan"), half_width(y, t), half_width(y, p), slope, tau
+            fall, start = np.polyfit(np.arange(len(tail)), np.log(tail), 1)
+            if fall < 0:
+                tau, height = float(-1 / fall), float(np.exp(start))
+        ratio = float(abs(y[p] / y[t])) if y[t] else float("nan")
+        return len(peaks), len(troughs), t, float(y[t]), p, float(y[p]), p - t, ratio, rise_time(rise), fall_time(y, t), onset(y, t), float(0.05 * y[t]), half_width(y, t), half_width(y, p), slope, half_fall_slope(y, t), tau, height
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in FEATURES.split(", ")]
