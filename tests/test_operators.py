@@ -164,7 +164,7 @@ def test_neighbours_by_blocks(spark):
     rng = np.random.default_rng(1)
     pts = [(i, i % 2, (rng.normal(size=3) + 3 * (i % 2)).tolist()) for i in range(60)]
     df = spark.createDataFrame(pts, "id long, label long, features array<double>")
-    got = {r.label: (r.hit, r.miss) for r in quality.neighbour_rates(df, df, 3, blocks=4).collect()}
+    got = {r.label: (r.hit, r.miss) for r in quality.neighbour_rates(df, df, 3, query_block=25, point_block=15).collect()}
     x = np.array([p[2] for p in pts])
     lab = np.array([p[1] for p in pts])
     d = ((x[:, None] - x[None]) ** 2).sum(2)
