@@ -72,31 +72,45 @@ def compress(ids: np.ndarray, bounds: np.ndarray, base: int, most_rules: int, le
         if not len(pairs):
             break
         best = np.argsort(-counts, kind="stable")[: min(most_rules - used, max(64, most_rules // 4))]
-        pairs = pairs[best]
-        # rank of the pair at each place; of pairs that share a slot the first stays for this round
-        slot = _slot(pairs)
-        _, firsts = np.unique(slot, return_index=True)
-        pairs = pairs[np.sort(firsts)]
-        slot = _slot(pairs)
-        rank = np.full(_TABLE, len(pairs), np.int32)
-        rank[slot] = np.arange(len(pairs))
-        held = np.zeros(_TABLE, word)
-        held[slot] = pairs
-        at = _slot(key)
-        r = np.where(held[at] == key, rank[at], len(pairs)).astype(np.int32)
-        take = r < len(pairs)
-        same = np.concatenate([[False], r[1:] == r[:-1]])  # as in x x x x: every second place
-        run = np.maximum.accumulate(np.where(same, 0, np.arange(len(r))))
-        take[1:] &= (r[1:] < r[:-1]) | (same & ((np.arange(len(r)) - run) % 2 == 0))[1:]
-        take[:-1] &= r[:-1] <= r[1:]
-        where = np.flatnonzero(take)
-        uses = np.bincount(r[where], minlength=len(pairs))
-        kept = uses >= 3
+        pairs, rest = pairs[best], pairs[:0]
+        while True:
+            # of pairs that share a slot the first stays; the others wait, but not beyond a round that would be the last
+            slot = _slot(pairs)
+            _, firsts = np.unique(slot, return_index=True)
+            waits = np.ones(len(pairs), bool)
+            waits[firsts] = False
+            pairs, rest = pairs[np.sort(firsts)], pairs[waits]
+            slot = _slot(pairs)
+            rank = np.zeros(_TABLE, np.int32)
+            rank[slot] = np.arange(len(pairs))
+            held = np.full(_TABLE, none, word)
+            held[slot] = pairs
+            at = _slot(key)
+            hit = np.flatnonzero((held[at] == key) & (key != none))
+            r = rank[at[hit]]
+            take = np.ones(len(hit), bool)
+            near = hit[1:] == hit[:-1] + 1
+            same = near & (r[1:] == r[:-1])  # as in x x x x: every second place
+            take[1:] &= ~near | (r[1:] < r[:-1])
+            take[:-1] &= ~near | (r[:-1] <= r[1:])
+            if same.any():
+                first = np.concatenate([[True], ~same])
+                odd = (np.arange(len(hit)) - np.maximum.accumulate(np.where(first, np.arange(len(hit)), 0))) % 2 == 1
+                inside = np.concatenate([[False], same])
+                after = np.concatenate([~near | (r[:-1] <= r[1:]), [True]])
+                take = np.where(inside, ~odd & after, take)
+            where = hit[take]
+            uses = np.bincount(r[take], minlength=len(pairs))
+            kept = uses >= 3
+            if kept.any() or not len(rest):
+                break
+            pairs = rest
         if not kept.any():
             break
+        ranks = r[take]
         name = np.cumsum(kept) - 1 + base + used
-        where = where[kept[r[where]]]
-        seq[where] = name[r[where]].astype(word)
+        where, ranks = where[kept[ranks]], ranks[kept[ranks]]
+        seq[where] = name[ranks].astype(word)
         last[where] = last[where + 1]
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
