@@ -5,8 +5,9 @@ md5 of key and shard number; the key goes to the shard of its highest score
 (the lower number on a tie). One more shard changes no other score, so rows
 move only into it. A null key hashes as the empty string.
 
-Empty table: no rows. Rows that repeat get places of their own. Other columns
-are not read.
+Null text: size 1 and the checksum of nothing. Very long texts are measured
+whole. Empty table: no rows. Rows that repeat, and ties, get places of their
+own. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
