@@ -70,6 +70,17 @@ def test_shift_of_a_tone_that_does_not_fit_its_chunks(spark):
     assert np.abs(got - want)[:, 130:-130].max() < 1e-3
 
 
+@pytest.mark.parametrize("low, high", [(None, 100.0), (100.0, None), (80.0, 200.0)])
+def test_butterworth_gains(low, high):
+    k, rate = signals.butterworth_kernel(1000.0, low, high, 2), 1000.0
+    assert len(k) % 2 == 1 and np.allclose(k, k[::-1])
+    for f in (20.0, 80.0, 100.0, 130.0, 200.0, 400.0):
+        gain = (k * np.cos(2 * np.pi * f / rate * (np.arange(len(k)) - len(k) // 2))).sum()
+        w, a, b = (None if x is None else math.tan(math.pi * x / rate) for x in (f, low, high))
+        x = w / b if a is None else a / w if b is None else (w * w - a * b) / (w * (b - a))
+        assert gain == pytest.approx(1 / (1 + x**4), abs=1e-4)
+
+
 def test_covariance_over_uneven_chunks(spark):
     x = np.random.default_rng(3).normal(size=(5, 333)) + np.arange(5)[:, None]
     cov = {(r.c1, r.c2): r.covariance for r in signals.covariance(signal(spark, x, 100)).collect()}

@@ -97,6 +97,19 @@ def interpolated(a: Column, times: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last * times), between)
 
 
+def log_resampled(a: Column, width: float, first: float, n: int) -> Column:
+    """An array of bins of a width as n values at times evenly spaced in logarithm from first to the last bin, on straight lines between bins."""
+    last = (F.size(a) - 1) * F.lit(width)
+    at = lambda i: F.get(a, i.cast("int"))
+
+    def value(k: Column) -> Column:
+        place = F.lit(first) * F.pow(last / F.lit(first), k / (n - 1)) / F.lit(width)
+        low = F.floor(place)
+        return at(low) + (F.coalesce(at(low + 1), at(low)) - at(low)) * (place - low)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), value)
+
+
 def is_number(x: Column) -> Column:
     return x.try_cast("double").isNotNull()
 

@@ -63,6 +63,38 @@ def band_kernel(rate: float, low: float | None, high: float | None, taps: int =
     return k - low_pass(low) if low else k
 
 
+def butterworth_kernel(rate: float, low: float | None, high: float | None, order: int = 3, taps: int = 2001) -> np.ndarray:
+    """The kernel of a Butterworth filter run forwards and backwards, so without a shift of phase; cut to an odd number of taps.
+
+    low None: low pass, high None: high pass, both: band pass.
+    """
+    size = 1 << (4 * taps).bit_length()
+    f = np.fft.rfftfreq(size, 1 / rate)
+    w = np.tan(np.pi * np.minimum(f, 0.499999 * rate) / rate)
+    a = None if low is None else np.tan(np.pi * low / rate)
+    b = None if high is None else np.tan(np.pi * high / rate)
+    with np.errstate(divide="ignore"):
+        x = w / b if a is None else a / w if b is None else (w * w - a * b) / (w * (b - a))
+    k = np.fft.irfft(1 / (1 + x ** (2 * order)), size)
+    return np.concatenate([k[-(taps // 2) :], k[: taps // 2 + 1]])
+
+
+def cross_correlated(pairs: DataFrame) -> DataFrame:
+    """u1, u2, lags, values of pairs(u1, u2, x, y arrays): the sum of x(t) y(t + lag) for each lag at which they overlap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lags, values = [], []
+            for x, y in zip(pdf.x, pdf.y, strict=True):
+                n = len(x) + len(y) - 1
+                f = np.fft.rfft(np.asarray(x, float)[::-1], n) * np.fft.rfft(np.asarray(y, float), n)
+                values.append(np.fft.irfft(f, n))
+                lags.append(np.arange(n) - (len(x) - 1))
+            yield pd.DataFrame({"u1": pdf.u1, "u2": pdf.u2, "lags": lags, "values": values})
+
+    return pairs.filter("size(x) > 0 AND size(y) > 0").mapInPandas(run, "u1 long, u2 long, lags array<long>, values array<double>")
+
+
 def common_average_removed(signal: DataFrame) -> DataFrame:
     """Samples less the median over channels at the same moment. A chunk's channels meet in one group."""
 

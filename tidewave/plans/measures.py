@@ -221,6 +221,22 @@ def q_wave_smoothed(spark, d):
     return waveforms.smooth_arrays(waves(spark, d), "wave", 2.0).select("unit", F.posexplode("wave").alias("i", "x")).select("unit", F.col("i").cast("long").alias("i"), r6("x", "x"))
 
 
+@query("""WITH w AS (SELECT vec_id, embedding::DOUBLE[] AS w FROM embeddings), p AS (SELECT vec_id, w, k, pow(63.0::DOUBLE, k / 15.0::DOUBLE) AS p FROM w, range(0, 16) AS r(k)), f AS (SELECT *, floor(p)::BIGINT AS i FROM p)
+SELECT vec_id, k, round(w[i + 1] + (coalesce(w[i + 2], w[i + 1]) - w[i + 1]) * (p - i), 6) AS x FROM f""")
+def q_log_resampled(spark, d):
+    w = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    return w.select("vec_id", F.posexplode(scalars.log_resampled(F.col("w"), 1.0, 1.0, 16)).alias("k", "x")).select("vec_id", F.col("k").cast("long").alias("k"), r6("x", "x"))
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(0, 64)) AS i FROM embeddings)
+SELECT a.vec_id AS u1, b.vec_id AS u2, b.i - a.i AS lag, round(sum(a.x * b.x), 6) AS value FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 GROUP BY ALL""")
+def q_cross_correlation(spark, d):
+    w = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("w"))
+    pairs = w.select(F.col("vec_id").alias("u1"), (F.col("vec_id") + 1).alias("u2"), F.col("w").alias("x")).join(w.select(F.col("vec_id").alias("u2"), F.col("w").alias("y")), "u2")
+    out = signals.cross_correlated(pairs.select("u1", "u2", "x", "y"))
+    return out.select("u1", "u2", F.explode(F.arrays_zip("lags", "values")).alias("z")).select("u1", "u2", F.col("z.lags").alias("lag"), r6("z.values", "value"))
+
+
 @query("SELECT channel, [43, 11, 59, 27][channel % 4 + 1]::INTEGER AS x, ((channel // 2) * 20 + 20)::INTEGER AS y, round((channel // 2 % 12) / 13.0::DOUBLE, 6) AS shift FROM (SELECT unnest(range(0, 384))::INTEGER AS channel)")
 def q_channel_map(spark, d):
     return arrays.channel_map(spark).withColumn("shift", F.round(scalars.adc_shift(F.col("channel")), 6))
