@@ -47,8 +47,8 @@ REGISTERS = BANDS * ROWS
 MARGIN = 5.5
 #: Most nodes, and about the most shingles, of one side of a block.
 BLOCK, BLOCK_SHINGLES = 1024, 500_000
-#: Bytes of texts that are verified against one node at once; a longer text is a part of its own.
-PART_BYTES = 2_000_000
+#: About the most bytes of texts, and nodes, that are verified against one node in a part.
+PART_BYTES, PART = 2_000_000, 512
 _U = np.uint64
 
 
@@ -208,8 +208,8 @@ def similarity_to(one: pa.Array, texts: pa.Array) -> np.ndarray:
 def _verify(stars: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """a < b of the pairs in stars(hub, node) whose texts(node, text, size) are similar.
 
-    A hub's text goes once to each part of its nodes; parts have a bound in
-    bytes.
+    A hub's text goes once to each part of its nodes; parts have bounds in
+    bytes and rows.
     """
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -222,7 +222,7 @@ def _verify(stars: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         return pa.table({"a": pa.array(np.minimum(node, hub)), "b": pa.array(np.maximum(node, hub))})
 
     dealt = stars.join(texts.select("node", "size"), "node")
-    parts = dealt.groupBy("hub").agg(F.ceil(F.sum("size") / PART_BYTES).alias("parts"))
+    parts = dealt.groupBy("hub").agg(F.greatest(F.ceil(F.sum("size") / PART_BYTES), F.ceil(F.count("*") / PART)).alias("parts"))
     # the sides of a cogroup must not share columns, so all are named anew
     node = dealt.join(parts, "hub").select(F.col("hub").alias("of"), F.pmod(F.xxhash64("node"), "parts").alias("part"), "node")
     right = node.join(texts.select("node", F.col("text").alias("text")), "node").select("of", F.col("part").alias("of_part"), F.col("node").alias("node"), "text")
