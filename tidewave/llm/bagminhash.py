@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, text_or_empty
+from .shared import materialise, mix, text_or_empty
 from .tokens import slices
 
 BANDS, ROWS = 30, 5
@@ -52,13 +52,6 @@ PART_BYTES, PART = 2_000_000, 512
 _U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def shingles(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text's place, 64-bit hash, weight) of each distinct shingle of each text, sorted by the first two."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -80,7 +73,7 @@ def shingles(texts: pa.Array, words: int = 5) -> tuple[np.ndarray, np.ndarray, n
     h = size.astype(_U)
     for k in range(words):
         inside = size > k
-        h[inside] = _mix(h[inside] * _U(0x9E3779B97F4A7C15) + w[starts[inside] + k])
+        h[inside] = mix(h[inside] * _U(0x9E3779B97F4A7C15) + w[starts[inside] + k])
     d = doc[starts]
     order = np.lexsort((h, d))
     d, h = d[order], h[order]
@@ -118,21 +111,21 @@ def _first_points(row: np.ndarray, h: np.ndarray, level: np.ndarray, weight: np.
     best = np.full(n * m, 0xFFFFFFFFFFFFFFFF, _U)
     base = np.where(level == 0, 0.0, 2.0 ** (level - 1))
     width = np.where(level == 0, 1.0, base)
-    seed = _mix(h + level.astype(_U) * _U(0x9E3779B97F4A7C15))
+    seed = mix(h + level.astype(_U) * _U(0x9E3779B97F4A7C15))
     t = np.zeros(len(row))
     j = 0
     while len(row):
         j += 1
-        x = _mix(seed + _U(j * 0xD1B54A32D192ED03 % (1 << 64)))
+        x = mix(seed + _U(j * 0xD1B54A32D192ED03 % (1 << 64)))
         t = t - np.log(((x >> _U(11)).astype(np.float64) + 0.5) / (1 << 53)) / (m * width)
         live = t <= limit[row]
         row, seed, t, base, width, weight, x = row[live], seed[live], t[live], base[live], width[live], weight[live], x[live]
-        y = _mix(x ^ _U(0xA5A5A5A5A5A5A5A5))
+        y = mix(x ^ _U(0xA5A5A5A5A5A5A5A5))
         register = ((y >> _U(32)) * _U(m)) >> _U(32)
         place = base + width * ((y & _U(0xFFFFFFFF)).astype(np.float64) / (1 << 32))
         hit = place < weight
         time = (t[hit] / limit[row[hit]] * 4294967294.0).astype(_U)
-        np.minimum.at(best, row[hit] * m + register[hit].astype(np.int64), (time << _U(32)) | (_mix(y[hit]) & _U(0xFFFFFFFF)))
+        np.minimum.at(best, row[hit] * m + register[hit].astype(np.int64), (time << _U(32)) | (mix(y[hit]) & _U(0xFFFFFFFF)))
     return best.reshape(n, m)
 
 
@@ -161,7 +154,7 @@ def _band_keys(signature: pa.Array) -> np.ndarray:
     sig = np.frombuffer(b"".join(signature.to_pylist()), "<u4").reshape(len(signature), BANDS, ROWS).astype(_U)
     h = np.broadcast_to(np.arange(BANDS, dtype=_U), sig.shape[:2])
     for k in range(ROWS):
-        h = _mix(h * _U(0x9E3779B97F4A7C15) + sig[:, :, k])
+        h = mix(h * _U(0x9E3779B97F4A7C15) + sig[:, :, k])
     return h.view(np.int64)
 
 

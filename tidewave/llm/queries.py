@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, factorization, media, mixing, packing, quality, quotes, repair, secrets, sharding
+from . import bagminhash, factorization, media, mixing, packing, quality, quotes, repair, secrets, sharding, spelling
 from .shared import documents
 from .tokens import word_bpe_path
 
@@ -53,11 +53,16 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir), max_repeats=MAX_REPEATS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards, op4_archive_media, op5_factorization_machine,
         op6_layered_secrets, op7_bag_minhash, op8_quotation_links, op9_line_frequency, op10_temperature_mix,
+        op11_spelling_variants,
     )
 }
-ORACLES = {"op8_quotation_links": quotes.oracle(), "op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS)}
+ORACLES = {"op8_quotation_links": quotes.oracle(), "op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS), "op11_spelling_variants": spelling.oracle()}
