@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, factorization, media, mixing, packing, quality, quotes, repair, secrets, sharding, spelling, turns
+from . import arc, bagminhash, factorization, media, mixing, packing, quality, quotes, repair, secrets, sharding, spelling, turns
 from .shared import documents
 from .tokens import word_bpe_path
 
@@ -61,12 +61,16 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.audit_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc.convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repair_tokens, op2_residual_packing, op3_rendezvous_shards, op4_archive_media, op5_factorization_machine,
         op6_layered_secrets, op7_bag_minhash, op8_quotation_links, op9_line_frequency, op10_temperature_mix,
-        op11_spelling_variants, op12_turn_repair,
+        op11_spelling_variants, op12_turn_repair, op13_arc_to_warc,
     )
 }
-ORACLES = {"op8_quotation_links": quotes.oracle(), "op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS), "op11_spelling_variants": spelling.oracle()}
+ORACLES = {"op8_quotation_links": quotes.oracle(), "op9_line_frequency": quality.oracle(), "op10_temperature_mix": mixing.oracle(MAX_REPEATS), "op11_spelling_variants": spelling.oracle(), "op13_arc_to_warc": arc.oracle()}
