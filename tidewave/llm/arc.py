@@ -191,7 +191,7 @@ def _store(uri: str):
 def open_archive(uri: str) -> io.BufferedIOBase:
     """An archive's unpacked bytes as a stream."""
     system, path = _store(uri)
-    raw = io.BufferedReader(system.open_input_stream(path), 1 << 20)
+    raw = io.BufferedReader(system.open_input_stream(path, compression=None), 1 << 20)
     return gzip.GzipFile(fileobj=raw) if uri.endswith(".gz") else raw
 
 
@@ -209,7 +209,7 @@ class _Files:
             self.name = f"{uuid.uuid4().hex}{self.ending}"
             system, path = _store(self.folder)
             system.create_dir(path, recursive=True)
-            self.out, self.size, self.records = system.open_output_stream(f"{path}/{self.name}"), 0, 0
+            self.out, self.size, self.records = system.open_output_stream(f"{path}/{self.name}", compression=None), 0, 0
             self._put(self.head(self.name))
         return self.name
 
