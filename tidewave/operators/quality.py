@@ -82,37 +82,61 @@ def drift(df: DataFrame, value: str, interval: int, least: int) -> DataFrame:
     return steps.groupBy("unit").agg((F.max("m") - F.min("m")).alias("max_drift"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("cumulative_drift"))
 
 
-def neighbour_rates(queries: DataFrame, points: DataFrame, k: int, query_block: int = 2_000, point_block: int = 20_000) -> DataFrame:
-    """label, hit, miss: the share of a label's query points' k nearest others that have its label, and of other labels' that do.
+def nearest_rows(x: np.ndarray, ids: np.ndarray, f: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, squared distance) of the k rows of x nearest to each query of f other than its own id; equal distances by place.
 
-    points(id, label, features array<double>). queries are a part of them;
-    each meets every point, in blocks of bounded size whose number follows the
-    tables: a block keeps its k nearest before they are merged. Equal distances
-    go by id.
+    A matrix product finds the rows that can be among the k; of these the
+    distances are then taken one by one, so rounding decides nothing.
+    """
+    near = (x * x).sum(axis=1)[None, :] - 2 * (f @ x.T) + (f * f).sum(axis=1)[:, None]
+    near[ids[None, :] == own[:, None]] = np.inf
+    m = min(k, near.shape[1])
+    slack = 1e-9 * ((x * x).sum(axis=1).max() + (f * f).sum(axis=1)) + 1e-300
+    limit = np.partition(near, m - 1, axis=1)[:, m - 1] + slack
+    q, row = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
+    d = ((x[row] - f[q]) ** 2).sum(axis=1)
+    order = np.lexsort((row, d, q))
+    q, row, d = q[order], row[order], d[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], row[keep], d[keep]
+
+
+def neighbours_in(queries: DataFrame, points: DataFrame, k: int, query_block: int = 2_000, point_block: int = 20_000) -> DataFrame:
+    """space, qid, qlabel, id, label, d: the k points of its space nearest to each query, other than itself. Equal distances go by id.
+
+    queries and points(space, id, label, features array<double>). Each query
+    meets every point of its space, in blocks of bounded size whose number
+    follows the space; a block keeps its k nearest before they are merged. Work
+    is the product of the sides: queries are a part of the points where these
+    are many.
     """
-    n_points, n_queries = max(1, -(-points.count() // point_block)), max(1, -(-queries.count() // query_block))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sizes = points.groupBy("space").agg(F.ceil(F.count("*") / point_block).cast("int").alias("pblocks")).join(queries.groupBy("space").agg(F.ceil(F.count("*") / query_block).cast("int").alias("qblocks")), "space")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # all columns anew: queries often come from points, and the sides of a cogroup must not share any
-    q = queries.select(F.col("id").alias("qid"), F.col("label").alias("qlabel"), F.col("features").alias("qf"), block("id", n_queries).alias("qblock"), every(n_points).alias("pblock"))
-    p = points.select(F.col("id").alias("pid"), F.col("label").alias("plabel"), F.col("features").alias("pf"), block("id", n_points).alias("pblock"), every(n_queries).alias("qblock"))
+    q = queries.join(sizes, "space").select(F.col("space").alias("qspace"), F.col("id").alias("qid"), F.col("label").alias("qlabel"), F.col("features").alias("qf"), block("qblocks").alias("qblock"), every("pblocks").alias("pblock"))
+    p = points.join(sizes, "space").select(F.col("space").alias("pspace"), F.col("id").alias("pid"), F.col("label").alias("plabel"), F.col("features").alias("pf"), block("pblocks").alias("pblock"), every("qblocks").alias("qblock"))
+    names = ["space", "qid", "qlabel", "id", "label", "d"]
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            right = right.sort_values("pid")
-            x, ids, labels = np.stack(right.pf), right.pid.to_numpy(), right.plabel.to_numpy()
-            for qid, qlabel, f in zip(left.qid, left.qlabel, left.qf, strict=True):
-                d = ((x - f) ** 2).sum(axis=1)
-                d[ids == qid] = np.inf
-                near = np.argsort(d, kind="stable")[:k]
-                out += [(qid, qlabel, i, c, v) for i, c, v in zip(ids[near], labels[near], d[near], strict=True) if v < np.inf]
-        return pd.DataFrame(out, columns=["qid", "qlabel", "id", "label", "d"])
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in names})
+        right = right.sort_values("pid")
+        i, j, d = nearest_rows(np.stack(right.pf), right.pid.to_numpy(), np.stack(left.qf), left.qid.to_numpy(), k)
+        return pd.DataFrame({"space": left.qspace.iloc[0], "qid": left.qid.to_numpy()[i], "qlabel": left.qlabel.to_numpy()[i], "id": right.pid.to_numpy()[j], "label": right.plabel.to_numpy()[j], "d": d})
 
     types = dict(points.dtypes)
-    schema = f"qid {types['id']}, qlabel {types['label']}, id {types['id']}, label {types['label']}, d double"
-    inside = q.groupBy("qblock", "pblock").cogroup(p.groupBy("qblock", "pblock")).applyInPandas(nearest, schema)
-    best = inside.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("d", "id"))).filter(F.col("r") <= k)
+    schema = f"space {types['space']}, qid {types['id']}, qlabel {types['label']}, id {types['id']}, label {types['label']}, d double"
+    inside = q.groupBy("qspace", "qblock", "pblock").cogroup(p.groupBy("pspace", "qblock", "pblock")).applyInPandas(nearest, schema)
+    return inside.withColumn("r", F.row_number().over(Window.partitionBy("space", "qid").orderBy("d", "id"))).filter(F.col("r") <= k).drop("r")
+
+
+def neighbour_rates(queries: DataFrame, points: DataFrame, k: int, query_block: int = 2_000, point_block: int = 20_000) -> DataFrame:
+    """label, hit, miss: the share of a label's query points' k nearest others that have its label, and of other labels' that do.
+
+    points(id, label, features array<double>); queries are a part of them.
+    """
+    best = neighbours_in(queries.withColumn("space", F.lit(0)), points.withColumn("space", F.lit(0)), k, query_block, point_block)
     own = best.groupBy("qlabel").agg(F.avg((F.col("label") == F.col("qlabel")).cast("double")).alias("hit"), F.count("*").alias("n"))
     crossed = best.filter("label <> qlabel").groupBy(F.col("label").alias("qlabel")).agg(F.count("*").alias("c"))
     total = best.agg(F.count("*").alias("all"))
@@ -141,7 +165,7 @@ def moments(points: DataFrame) -> DataFrame:
     return out.select("label", F.col("n").cast("long").alias("n"), "mean", cov.alias("covariance"))
 
 
-def _chi2_above(x: np.ndarray, degrees: int) -> np.ndarray:
+def chi2_above(x: np.ndarray, degrees: int) -> np.ndarray:
     """The chance that a chi-square of so many degrees is above x, by the recurrence in steps of two degrees."""
     if degrees % 2 == 0:
         term = tail = np.exp(-x / 2)
@@ -202,9 +226,14 @@ def separation(points: DataFrame) -> DataFrame:
                 other = x[label != name] - m
                 if len(other):
                     d = np.einsum("ij,jk,ik->i", other, inverse, other)
-                    yield pd.DataFrame({"label": name, "d": d, "tail": _chi2_above(np.maximum(d, 0), len(m))})
+                    yield pd.DataFrame({"label": name, "d": d, "tail": chi2_above(np.maximum(d, 0), len(m))})
 
     far = points.select("label", "features").mapInPandas(distances, f"label {kind}, d double, tail double")
+    return separation_measures(far, few)
+
+
+def separation_measures(far: DataFrame, few: DataFrame) -> DataFrame:
+    """label, isolation, l_ratio, d_prime from the others' squared distances far(label, d, tail) and few(label, n, d_prime)."""
     # bins of the distances' logarithm: 64 to each doubling
     binned = far.withColumn("bin", F.floor(F.log2(F.greatest(F.col("d"), F.lit(1e-300))) * 64))
     sums = binned.groupBy("label", "bin").agg(F.count("*").alias("c"), F.sum("tail").alias("tail"))

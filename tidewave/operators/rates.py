@@ -46,6 +46,106 @@ def firing_periods(df: DataFrame, width: int, length: int, sd: float, share: flo
     return found.unionByName(none)
 
 
+def stability_levels(most: float = 0.9, least: float = 0.4, step: float = 0.05) -> list[float]:
+    """Shares of the mean rate to try, from most down to above least."""
+    out, share = [], most
+    while share > least:
+        out.append(share)
+        share -= step
+    return out
+
+
+def stable_periods(df: DataFrame, width: int, length: int, sd: float, target: int, levels: list[float] | None = None, give_way: int = 2) -> DataFrame:
+    """unit, start, stop, level: of the runs above a share of the mean rate that are longer than target ticks the one of least deviation, cut to the target.
+
+    The highest share with such a run counts. Where none has one, target gives
+    way in steps until the lowest share has; a unit whose target comes to 1
+    tick has no row. Deviation is that of the smoothed counts from a run's
+    first bin to before its last, equal ones go by time. The runs of all shares
+    are found at once: a bin is in those of every share up to its own.
+    """
+    levels = levels or stability_levels()
+    dense = gaussian_smoothed(binned(df, width, length), sd)
+    mean = dense.groupBy("unit").agg(F.avg("n").alias("_m"))
+    passed = F.filter(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(float(x)).alias("share")) for k, x in enumerate(levels))), lambda x: F.col("smooth") >= F.col("_m") * x["share"])
+    marked = dense.join(mean, "unit").withColumn("x", F.explode(passed)).select("unit", "bin", "smooth", F.col("x.level").alias("level"))
+    run = F.col("bin") - F.row_number().over(Window.partitionBy("unit", "level").orderBy("bin"))
+    whole = Window.partitionBy("unit", "level", "run")
+    ended = marked.withColumn("run", run).withColumn("last", F.max("bin").over(whole))
+    found = ended.groupBy("unit", "level", "run").agg(F.min("bin").alias("first"), F.max("last").alias("last"), F.stddev_pop(F.when(F.col("bin") < F.col("last"), F.col("smooth"))).alias("deviation"))
+    found = found.withColumn("size", (F.col("last") - F.col("first")) * width)
+    longest = found.groupBy("unit").agg(F.min(F.when(F.col("size") > target, F.col("level"))).alias("_level"), F.max(F.when(F.col("level") == len(levels) - 1, F.col("size"))).alias("_size"))
+    less = F.lit(target) - give_way * (F.floor((F.lit(target) - F.col("_size")) / give_way) + 1)
+    wanted = longest.select("unit", F.coalesce("_level", F.lit(len(levels) - 1)).alias("level"), F.when(F.col("_level").isNotNull(), F.lit(target)).otherwise(less).cast("long").alias("_target")).filter("_target > 1")
+    best = found.join(wanted, ["unit", "level"]).filter("size > _target").groupBy("unit", "level", "_target").agg(F.min(F.struct(F.round("deviation", 12).alias("d"), "first"))["first"].alias("first"))
+    return best.select("unit", (F.col("first") * width).alias("start"), (F.col("first") * width + F.col("_target")).alias("stop"), "level")
+
+
+def rate_stretches(df: DataFrame) -> DataFrame:
+    """unit, start, stop, rate: from the middle between a spike and the one before to the middle between it and the next, at one over that length. df(unit, t), t distinct in a unit."""
+    w = Window.partitionBy("unit").orderBy("t")
+    middle = lambda a, b: F.col(a) + F.floor((F.col(b) - F.col(a)) / 2)
+    near = df.select("unit", "t", F.lag("t").over(w).alias("_p"), F.lead("t").over(w).alias("_n")).filter("_p IS NOT NULL AND _n IS NOT NULL")
+    return near.select("unit", middle("_p", "t").alias("start"), middle("t", "_n").alias("stop")).withColumn("rate", 1.0 / (F.col("stop") - F.col("start")))
+
+
+def rates_at(lookups: DataFrame, df: DataFrame, smooth: int = 0) -> DataFrame:
+    """lookups(unit, t, ...) with rate: that of the unit's stretch at t, or its mean over smooth ticks around t; 0 outside all stretches.
+
+    The mean is a difference of two looked-up areas under the rate, so a wide
+    window costs as much as a narrow one.
+    """
+    w = Window.partitionBy("unit").orderBy("start")
+    area = (F.col("stop") - F.col("start")) * F.col("rate")
+    steps = rate_stretches(df).withColumn("_before", F.coalesce(F.sum(area).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    known = steps.select("unit", F.col("start").alias("_at"), F.struct("start", "stop", "rate", "_before").alias("_s"), F.lit(0).alias("_k"))
+    columns = lookups.columns
+
+    def looked_up(offset: int, name: str, rows: DataFrame) -> DataFrame:
+        both = known.unionByName(rows.withColumn("_at", F.col("t") + offset).withColumn("_k", F.lit(1)), allowMissingColumns=True)
+        last = F.last("_s", ignorenulls=True).over(Window.partitionBy("unit").orderBy("_at", "_k").rowsBetween(Window.unboundedPreceding, 0))
+        found = both.withColumn("_f", last).filter("_k = 1")
+        if smooth:
+            value = F.coalesce(F.col("_f._before") + (F.least("_at", "_f.stop") - F.col("_f.start")) * F.col("_f.rate"), F.lit(0.0))
+        else:
+            value = F.when(F.col("_at") < F.col("_f.stop"), F.col("_f.rate")).otherwise(0.0)
+        return found.withColumn(name, value).drop("_at", "_s", "_k", "_f")
+
+    if not smooth:
+        return looked_up(0, "rate", lookups).select(*columns, F.coalesce("rate", F.lit(0.0)).alias("rate"))
+    ends = looked_up(smooth - smooth // 2, "_hi", looked_up(-(smooth // 2), "_lo", lookups))
+    # to 12 places, so that equal rates are equal
+    return ends.select(*columns, F.round((F.col("_hi") - F.col("_lo")) / F.lit(float(smooth)), 12).alias("rate"))
+
+
+def correlogram_by_rate(df: DataFrame, pairs: DataFrame, width: int, half: int, levels: int, smooth: int = 0) -> DataFrame:
+    """u1, u2, level, bin, p: the chance of a spike of u2 in each bin around one of u1, by the rate of u2 at that time. A row for every cell of a pair.
+
+    Times are whole bins of width ticks, of u2 each once. A level is the class
+    between quantiles of the rates at the spikes of u1; spikes outside u2's
+    train, or whose window leaves the recording, count for quantiles only. For
+    u1 = u2 the middle bin is 0. pairs(u1, u2); rates are in bins.
+    """
+    at = df.select("unit", "id", F.floor(F.col("t") / width).alias("t"))
+    other = at.select("unit", "t").distinct()
+    ends = other.groupBy("unit").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    refs = at.select(F.col("unit").alias("u1"), "id", "t").join(pairs, "u1").withColumn("unit", F.col("u2"))
+    rated = rates_at(refs.select("unit", "t", "u1", "id"), other, smooth)
+    share = F.array(*(F.lit((i + 1) / (levels + 1)) for i in range(levels)))
+    edges = rated.groupBy("unit", "u1").agg(F.percentile("rate", share).alias("_e"))
+    level = F.least(F.size(F.filter("_e", lambda e: e < F.col("rate"))), F.lit(levels - 1)).cast("long")
+    last = other.agg(F.max("t").alias("_last"))
+    inside = (F.col("t") >= F.col("_a")) & (F.col("t") < F.col("_b")) & (F.col("t") - half >= 0) & (F.col("t") + half < F.col("_last"))
+    used = rated.join(edges, ["unit", "u1"]).join(ends, "unit").join(F.broadcast(last)).filter(inside).select("unit", "u1", "id", F.col("t").alias("t1"), level.alias("level"))
+    spikes = used.groupBy("unit", "u1", "level").agg(F.count("*").alias("spikes"))
+    near = range_join(used.withColumn("t1", F.col("t1") - half), other.withColumnRenamed("t", "t2"), 2 * half + 1, ["unit"])
+    counts = near.groupBy("unit", "u1", "level", (F.col("t2") - F.col("t1") - half).alias("bin")).agg(F.count("*").alias("n"))
+    grid = pairs.select("u1", F.col("u2").alias("unit")).withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(levels - 1).cast("long")))).withColumn("bin", F.explode(F.sequence(F.lit(-half).cast("long"), F.lit(half).cast("long"))))
+    full = grid.join(spikes, ["unit", "u1", "level"], "left").join(counts, ["unit", "u1", "level", "bin"], "left")
+    p = F.when((F.col("u1") == F.col("unit")) & (F.col("bin") == 0), 0.0).otherwise(F.coalesce(F.col("n") / F.col("spikes"), F.lit(0.0)))
+    return full.select("u1", F.col("unit").alias("u2"), "level", "bin", p.alias("p"))
+
+
 def rate_deciles(df: DataFrame, n: int) -> DataFrame:
     """Adds rate (of the stretch that is nearer to a spike than to its neighbours) and level: the quantile class of the rate in its unit, from 0."""
     w = Window.partitionBy("unit").orderBy("t")
