@@ -104,3 +104,33 @@ def test_a_group_across_blocks(spark, monkeypatch):
     docs += [(100 + i, " ".join(f"u{i}x{k}" for k in range(60)) + " " + " ".join(f"common{k}" for k in range(60))) for i in range(30)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert classes(bag.near_duplicates(df)) == brute(docs)
+
+
+def test_links_can_be_checked(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = bag.near_duplicates(docs).collect()
+    several = {}
+    for r in rows:
+        several.setdefault(r.class_number, set()).add(texts[r.doc_id])
+    linked = 0
+    for r in rows:
+        # a text is linked where its class has another one, to a text of the class that is similar
+        assert (r.n_links > 0) == (len(several[r.class_number]) > 1) == (r.linked_to is not None)
+        if r.linked_to is not None:
+            other = texts[r.linked_to]
+            assert other in several[r.class_number] and other != texts[r.doc_id]
+            assert similarity(multiset(texts[r.doc_id]), multiset(other)) >= 0.8
+            linked += 1
+    assert linked > 10
+    # links join classes: a class of n texts has n - 1 or more
+    for number, some in several.items():
+        of_text = {texts[r.doc_id]: r.n_links for r in rows if r.class_number == number}
+        assert sum(of_text.values()) >= 2 * (len(some) - 1)
+
+
+def test_one_of_rows_that_json_can_t_hold(spark):
+    df = spark.sql("""SELECT * FROM VALUES (1L, 'a text of some words', INTERVAL '2' DAY, map(1, 'x'), CAST(NULL AS STRING)), (1L, 'a text of some words', INTERVAL '1' DAY, map(2, 'y'), 'z'),
+        (1L, 'a text of some words', NULL, NULL, 'z') AS t(doc_id, text, span, `a map`, `x.y`)""")
+    got = bag.drop_near_duplicates(df).collect()
+    assert len(got) == 1 and got[0]["x.y"] == "z" and got[0].span.days == 1

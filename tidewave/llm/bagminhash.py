@@ -283,8 +283,8 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: Data
     return build.unionByName(probe).groupBy("bucket", "block", "other").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """key, id of each row; and key, id (the least of its rows), label of each node."""
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """key, id of each row; key, id (the least of its rows), node, label of each node; and the links (a, b) that were verified."""
     signed = materialise(sign(docs), "signed")
     # doc_id null counts as the lowest
     one = signed.groupBy("key").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "weight", "signature")).alias("x"))
@@ -308,31 +308,40 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         merged = components(joined).select(F.col("node").alias("label"), F.col("label").alias("merged"))
         alone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
         labels = labels.unionByName(alone).join(merged, "label", "left").select("node", F.coalesce("merged", "label").alias("label"))
-    classes = nodes.select("key", "node", "id").join(labels, "node", "left").select("key", "id", F.coalesce("label", "node").alias("label"))
-    return signed.select("key", "id"), materialise(classes, "classes")
+    classes = nodes.select("key", "node", "id").join(labels, "node", "left").select("key", "id", "node", F.coalesce("label", "node").alias("label"))
+    return signed.select("key", "id"), materialise(classes, "classes"), links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_number of each row."""
-    rows, classes = _classes(docs, threshold)
+    """doc_id, class_id (the least doc_id of the class), class_number, n_links, linked_to of each row.
+
+    n_links: the other texts that the row's text was compared with and found
+    similar to; linked_to: the least doc_id of these. Such links join each
+    class, and each can be checked; others inside a class are not looked for.
+    Both say nothing of copies: these have the links of their text.
+    """
+    rows, classes, links = _classes(docs, threshold)
     # null counts as the lowest
-    least = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("least"))
-    of_key = classes.join(least, "label").select("key", F.col("least.id").alias("class_id"), F.col("label").alias("class_number"))
-    return rows.join(of_key, "key").select(F.col("id").alias("doc_id"), "class_id", "class_number")
+    lowest = F.min(F.struct(F.col("id").isNotNull().alias("known"), "id"))
+    least = classes.groupBy("label").agg(lowest.alias("least"))
+    ends = links.union(links.select("b", "a")).toDF("node", "other")
+    linked = ends.join(classes.select(F.col("node").alias("other"), "id"), "other").groupBy("node").agg(F.count("*").alias("n_links"), lowest.alias("near"))
+    of_key = classes.join(least, "label").join(linked, "node", "left").select("key", F.col("least.id").alias("class_id"), F.col("label").alias("class_number"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.col("near.id").alias("linked_to"))
+    return rows.join(of_key, "key").select(F.col("id").alias("doc_id"), "class_id", "class_number", "n_links", "linked_to")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of each class, of the least doc_id, with all columns.
 
     Of rows with that doc_id and one text the one whose other columns come
-    first as JSON.
+    first as text, one after the other, nulls last.
     """
-    _, classes = _classes(docs, threshold)
+    _, classes, _ = _classes(docs, threshold)
     least = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "key")).alias("least"))
     keep = least.select(F.col("least.key").alias("key"), _known("least.id").alias("id"))
     # the row is carried as one column, so its names can't clash with these
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    first = F.to_json(F.struct(*others)) if others else F.lit("")
+    first = F.array(*(F.struct(c.isNull().alias("none"), c.cast("string").alias("value")) for c in others)) if others else F.lit("")
     rows = docs.select(_node_key().alias("key"), _known("doc_id").alias("id"), first.alias("first"), F.struct("*").alias("row"))
     return rows.join(keep, ["key", "id"]).groupBy("key", "id").agg(F.min_by("row", "first").alias("row")).select("row.*")
 
