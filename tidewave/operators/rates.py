@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.timeline import range_join
+from tidewave.operators.correlograms import half_counts
+from tidewave.operators.peaks import bursts_and_oscillations
 from tidewave.operators.periods import runs
-from tidewave.operators.trains import binned, regularity, with_intervals
+from tidewave.operators.trains import binned, filtered_intervals, regularity, with_intervals
 
 
 def gaussian_smoothed(dense: DataFrame, sd: float, value: str = "n") -> DataFrame:
@@ -168,6 +170,22 @@ def autocorrelogram_by_rate(df: DataFrame, width: int, half: int, n: int) -> Dat
     return counts.join(refs, ["unit", "level"]).select("unit", "level", "bin", (F.col("n") / F.col("refs")).alias("p"))
 
 
+def autocorrelogram_curves(df: DataFrame, width: int, half: int, ticks_per_second: float, exclude: float = 0.02, floor: int = 0) -> DataFrame:
+    """unit, acg, mfr: the autocorrelogram in Hertz from the middle bin, which is 0, to half; and one over the mean interval of at least floor and at most the quantile 1 - exclude."""
+    counts = half_counts(df, width, half, same_unit=True).filter("bin > 0").select(F.col("u1").alias("unit"), "bin", "n")
+    total = df.groupBy("unit").agg(F.count("*").alias("total"))
+    mean = filtered_intervals(df, exclude, floor).groupBy("unit").agg((F.lit(ticks_per_second) / F.avg("isi")).alias("mfr"))
+    grid = total.join(mean, "unit").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(half).cast("long")))).join(counts, ["unit", "bin"], "left")
+    hertz = F.coalesce(F.col("n") / (F.col("total") * F.lit(width / ticks_per_second)), F.lit(0.0))
+    return grid.groupBy("unit", "mfr").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", hertz.alias("h")))), lambda x: x["h"]).alias("acg")).select("unit", "acg", "mfr")
+
+
+def temporal_features(df: DataFrame, ticks_per_second: float, width: int, half: int, burst_bins: int, exclude: float = 0.02, floor: int = 0) -> DataFrame:
+    """The intervals' features of each unit with burst and oscillation of its autocorrelogram, both over its mean rate."""
+    curves = autocorrelogram_curves(df, width, half, ticks_per_second, exclude, floor)
+    return interval_features(df, ticks_per_second).join(bursts_and_oscillations(curves, burst_bins), "unit", "left")
+
+
 def interval_mode(df: DataFrame, bins: int = 199) -> DataFrame:
     """unit, mode: the left edge of the fullest of equal bins between the least and greatest interval (the lowest of equals)."""
     isi = with_intervals(df).filter("isi IS NOT NULL")

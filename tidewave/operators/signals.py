@@ -1,4 +1,4 @@
-"""Recorded signals in chunks: filters with halos, whitening, spectra, resampling.
+"""Recorded signals in chunks: filters with halos, whitening, gain control, spectra, resampling.
 
 A signal is a table (channel, chunk, samples array); chunks of a channel
 follow each other without gaps. An operator needs a halo of neighbouring
@@ -15,22 +15,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def chunk_starts(signal: DataFrame) -> DataFrame:
+    """channel, chunk, start, n: the place of each chunk's first sample in its channel, and its samples. Only sizes are put in order."""
+    sizes = signal.select("channel", "chunk", F.size("samples").cast("long").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("channel").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select("channel", "chunk", F.coalesce(before, F.lit(0).cast("long")).alias("start"), "n")
+
+
 def with_halo(signal: DataFrame, halo: int) -> DataFrame:
     """Adds before and after: the halo samples on each side of a chunk, fewer at the ends of a channel.
 
-    As many neighbouring chunks are taken as the shortest one inside a channel
-    makes necessary.
+    A chunk gives its first and last samples, at most halo of each, to the
+    cells of that width in which they lie; a chunk takes from the cells that
+    its halos reach into. So chunks of any sizes meet those next to them by an
+    equi-join, and a channel's recording is never in one task.
     """
-    w = Window.partitionBy("channel").orderBy("chunk")
-    inside = signal.select(F.size("samples").alias("n"), F.lead("chunk").over(w).isNotNull().alias("more")).filter("more")
-    shortest = inside.agg(F.min("n")).first()[0]
-    if shortest == 0:
-        raise ValueError("a chunk inside a channel is empty")
-    chunks = -(-halo // shortest) if shortest else 1
-    before = F.flatten(F.collect_list("samples").over(w.rowsBetween(-chunks, -1))) if halo else F.slice("samples", 1, 0)
-    after = F.flatten(F.collect_list("samples").over(w.rowsBetween(1, chunks))) if halo else F.slice("samples", 1, 0)
-    both = signal.withColumn("before", before).withColumn("after", after)
-    return both.withColumn("before", F.slice("before", F.greatest(F.size("before") - halo + 1, F.lit(1)), F.lit(halo))).withColumn("after", F.slice("after", F.lit(1), F.lit(halo)))
+    none = F.slice("samples", 1, 0)
+    if not halo:
+        return signal.withColumn("before", none).withColumn("after", none)
+    placed = signal.join(chunk_starts(signal), ["channel", "chunk"])
+    ends = F.array(*(F.struct(F.lit(i).alias("side"), first.alias("first"), part.alias("part")) for i, first, part in (
+        (0, F.col("start") + F.greatest(F.col("n") - halo, F.lit(0)), F.slice("samples", F.greatest(F.col("n") - halo, F.lit(0)).cast("int") + 1, F.lit(halo))),
+        (1, F.col("start"), F.slice("samples", 1, halo)),
+    )))
+    cell = lambda place: F.floor(place / F.lit(halo))
+    given = placed.filter("n > 0").select("channel", F.explode(ends).alias("e")).select("channel", "e.*").withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.size("part") - 1))))
+    # each cell's part of a piece, so that nothing meets twice
+    low, high = F.greatest(F.col("first"), F.col("cell") * halo), F.least(F.col("first") + F.size("part"), (F.col("cell") + 1) * halo)
+    given = given.select("channel", "side", "cell", low.alias("first"), F.slice("part", (low - F.col("first")).cast("int") + 1, (high - low).cast("int")).alias("part"))
+    reach = F.array(F.struct(F.lit(0).alias("side"), (F.col("start") - halo).alias("from"), F.col("start").alias("to")), F.struct(F.lit(1).alias("side"), (F.col("start") + F.col("n")).alias("from"), (F.col("start") + F.col("n") + halo).alias("to")))
+    wanted = placed.select("channel", "chunk", F.explode(reach).alias("r")).select("channel", "chunk", "r.*").withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to") - 1))))
+    met = wanted.join(given, ["channel", "side", "cell"])
+    low, high = F.greatest("first", "from"), F.least(F.col("first") + F.size("part"), F.col("to"))
+    met = met.filter(low < high).select("channel", "chunk", "side", low.alias("at"), F.slice("part", (low - F.col("first")).cast("int") + 1, (high - low).cast("int")).alias("part"))
+    whole = lambda side: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "part")))), lambda x: x["part"]))
+    halos = met.groupBy("channel", "chunk").agg(whole(0).alias("before"), whole(1).alias("after"))
+    return signal.join(halos, ["channel", "chunk"], "left").withColumn("before", F.coalesce("before", none)).withColumn("after", F.coalesce("after", none))
 
 
 def filtered(signal: DataFrame, kernel: np.ndarray) -> DataFrame:
@@ -95,52 +115,129 @@ def cross_correlated(pairs: DataFrame) -> DataFrame:
     return pairs.filter("size(x) > 0 AND size(y) > 0").mapInPandas(run, "u1 long, u2 long, lags array<long>, values array<double>")
 
 
-def common_average_removed(signal: DataFrame) -> DataFrame:
-    """Samples less the median over channels at the same moment. A chunk's channels meet in one group."""
+def _by_matrix(signal: DataFrame, channels: int | None, change) -> DataFrame:
+    """change(matrix of channels by frames) of each chunk. channels: the signal is (chunk, samples frame by frame), one row a chunk, and stays so."""
+    if channels is None:
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.asarray(s, float) for s in pdf.samples])
-        return pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": list(x - np.median(x, axis=0))})
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("channel")
+            return pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": list(change(np.stack([np.asarray(s, float) for s in pdf.samples])))})
 
-    return signal.groupBy("chunk").applyInPandas(run, "channel long, chunk long, samples array<double>")
+        return signal.groupBy("chunk").applyInPandas(run, "channel long, chunk long, samples array<double>")
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk, samples in zip(pdf.chunk, pdf.samples, strict=True):
+                y = change(np.asarray(samples, float).reshape(-1, channels).T)
+                yield pd.DataFrame({"chunk": [chunk], "samples": [y.T.ravel()]})
 
-def covariance(signal: DataFrame) -> DataFrame:
-    """c1 <= c2, covariance of the channels' samples: one matrix product a chunk, then sums. All channels are in each chunk."""
+    return signal.select("chunk", "samples").mapInPandas(rows, "chunk long, samples array<double>")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel")
-        x = np.stack([np.asarray(s, float) for s in pdf.samples])
+
+def common_average_removed(signal: DataFrame, channels: int | None = None) -> DataFrame:
+    """Samples less the median over channels at the same moment.
+
+    channels: a chunk is one row, frame by frame, and nothing is shuffled; else
+    its channels meet in one group.
+    """
+    return _by_matrix(signal, channels, lambda x: x - np.median(x, axis=0))
+
+
+def covariance(signal: DataFrame, channels: int | None = None) -> DataFrame:
+    """c1 <= c2, covariance of the channels' samples: one matrix product a chunk, then sums. All channels are in each chunk; channels as in common_average_removed."""
+
+    def sums(x: np.ndarray, name: np.ndarray) -> pd.DataFrame:
         i, j = np.triu_indices(len(x))
-        name, total = pdf.channel.to_numpy(), x.sum(axis=1)
+        total = x.sum(axis=1)
         return pd.DataFrame({"c1": name[i], "c2": name[j], "xy": (x @ x.T)[i, j], "sx": total[i], "sy": total[j], "n": x.shape[1]})
 
-    parts = signal.groupBy("chunk").applyInPandas(run, "c1 long, c2 long, xy double, sx double, sy double, n long")
-    sums = parts.groupBy("c1", "c2").agg(*(F.sum(c).alias(c) for c in ("xy", "sx", "sy", "n")))
-    return sums.select("c1", "c2", (F.col("xy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))).alias("covariance"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("channel")
+        return sums(np.stack([np.asarray(s, float) for s in pdf.samples]), pdf.channel.to_numpy())
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for samples in pdf.samples:
+                yield sums(np.asarray(samples, float).reshape(-1, channels).T, np.arange(channels))
+
+    schema = "c1 long, c2 long, xy double, sx double, sy double, n long"
+    parts = signal.groupBy("chunk").applyInPandas(run, schema) if channels is None else signal.select("samples").mapInPandas(rows, schema)
+    total = parts.groupBy("c1", "c2").agg(*(F.sum(c).alias(c) for c in ("xy", "sx", "sy", "n")))
+    return total.select("c1", "c2", (F.col("xy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))).alias("covariance"))
+
+
+def _root(m: np.ndarray, epsilon: float) -> np.ndarray:
+    w, v = np.linalg.eigh(m)
+    return v @ np.diag(1 / np.sqrt(np.maximum(w, 0) + epsilon)) @ v.T
 
 
-def whitening_matrix(signal: DataFrame, epsilon: float = 1e-6) -> np.ndarray:
-    """The symmetric inverse root of the channels' covariance, whose size is that of the probe, not of the recording."""
-    rows = covariance(signal).collect()
+def whitening_matrix(signal: DataFrame, epsilon: float = 1e-6, near: int | None = None, channels: int | None = None) -> np.ndarray:
+    """The symmetric inverse root of the channels' covariance, whose size is that of the probe, not of the recording.
+
+    near: a channel's row comes from the covariance of itself and so many
+    channels closest to it in order (the lower of equals first), and is 0 for
+    others, which is more robust. channels as in common_average_removed.
+    """
+    rows = covariance(signal, channels).collect()
     names = sorted({r.c1 for r in rows} | {r.c2 for r in rows})
     at = {c: i for i, c in enumerate(names)}
     m = np.zeros((len(names), len(names)))
     for r in rows:
         m[at[r.c1], at[r.c2]] = m[at[r.c2], at[r.c1]] = r.covariance
-    w, v = np.linalg.eigh(m)
-    return v @ np.diag(1 / np.sqrt(np.maximum(w, 0) + epsilon)) @ v.T
+    if near is None:
+        return _root(m, epsilon)
+    out = np.zeros_like(m)
+    for i in range(len(names)):
+        closest = np.argsort(np.abs(np.arange(len(names)) - i), kind="stable")[: near + 1]
+        out[i, closest] = _root(m[np.ix_(closest, closest)], epsilon)[0]
+    return out
 
 
-def mixed(signal: DataFrame, matrix: np.ndarray) -> DataFrame:
-    """Channels, in order of number, under a matrix: whitened, referenced or projected. A chunk's channels meet in one group."""
+def mixed(signal: DataFrame, matrix: np.ndarray, channels: int | None = None) -> DataFrame:
+    """Channels, in order of number, under a matrix: whitened, referenced, filtered along the probe or projected. channels as in common_average_removed."""
+    return _by_matrix(signal, channels, lambda x: matrix @ x)
+
+
+def gain_controlled(signal: DataFrame, window: int, epsilon: float = 1e-8) -> DataFrame:
+    """channel, chunk, samples, gain: samples times one over their mean absolute value under a Hann window of about so many samples.
+
+    A small share of the channel's mean is added to that value, so silence
+    stays finite. Zeros are taken beyond the recording.
+    """
+    taps = np.hanning(round(window / 2) * 2 + 1)
+    level = filtered(signal.withColumn("samples", F.transform("samples", lambda x: F.abs(x.cast("double")))), taps / taps.sum())
+    sums = level.groupBy("channel").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)).alias("_s"), F.sum(F.size("samples")).alias("_n"))
+    gain = level.join(sums, "channel").select("channel", "chunk", F.transform("samples", lambda x: 1 / (x + F.col("_s") * epsilon / F.col("_n"))).alias("gain"))
+    return signal.join(gain, ["channel", "chunk"]).select("channel", "chunk", F.zip_with("samples", "gain", lambda x, g: x * g).alias("samples"), "gain")
+
+
+def along_probe_matrix(channels: int, pad: int = 0, taper: int | None = None, low: float = 0.1, order: int = 3) -> np.ndarray:
+    """A high pass along the channels as a matrix: pad channels are mirrored at each end, faded over taper channels, and a Butterworth kernel of zero phase is laid over them.
+
+    low: the edge as a share of half a cycle a channel.
+    """
+    taper = pad if taper is None else taper
+    size = channels + 2 * pad
+    place = np.concatenate([np.arange(pad)[::-1], np.arange(channels), channels - 1 - np.arange(pad)])
+    fade = np.ones(size)
+    if taper:
+        t = np.arange(size)
+        ramp = lambda x: (1 - np.cos(np.clip(x / taper, 0, 1) * np.pi)) / 2
+        fade = ramp(t) * (1 - ramp(t - (size - taper)))
+    kernel = butterworth_kernel(2.0, low, None, order, 4 * size + 1)
+    half = len(kernel) // 2
+    out = np.zeros((channels, channels))
+    for i in range(channels):
+        np.add.at(out[i], place, kernel[half + (i + pad) - np.arange(size)] * fade)
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel")
-        y = matrix @ np.stack([np.asarray(s, float) for s in pdf.samples])
-        return pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": list(y)})
 
-    return signal.groupBy("chunk").applyInPandas(run, "channel long, chunk long, samples array<double>")
+def filtered_along_probe(signal: DataFrame, matrix: np.ndarray, window: int | None = 300) -> DataFrame:
+    """Channels under a matrix of along_probe_matrix, at equal gain if there is a window, which is then taken back."""
+    if window is None:
+        return mixed(signal, matrix)
+    controlled = gain_controlled(signal, window)
+    return mixed(controlled.drop("gain"), matrix).join(controlled.select("channel", "chunk", "gain"), ["channel", "chunk"]).select("channel", "chunk", F.zip_with("samples", "gain", lambda x, g: x / g).alias("samples"))
 
 
 def cross_spectrum(pairs: DataFrame, rate: float, segment: int) -> DataFrame:
@@ -163,8 +260,8 @@ def cross_spectrum(pairs: DataFrame, rate: float, segment: int) -> DataFrame:
 def shifted(signal: DataFrame, shifts: DataFrame, halo: int = 128) -> DataFrame:
     """Samples moved by a part of a sample, by the spectrum of each chunk with its halo, which fades out. shifts(channel, shift).
 
-    Beyond the ends of a channel its samples are mirrored; a channel of one
-    chunk counts as periodic.
+    Beyond the ends of a channel its samples are mirrored, however it is cut
+    into chunks.
     """
     fade = 0.5 - 0.5 * np.cos(np.pi * (np.arange(halo) + 0.5) / halo)
 
@@ -172,15 +269,16 @@ def shifted(signal: DataFrame, shifts: DataFrame, halo: int = 128) -> DataFrame:
         for pdf in batches:
             out = []
             for x, b, a, s in zip(pdf.samples, pdf.before, pdf.after, pdf["shift"], strict=True):
-                y, skip = np.asarray(x, float), 0
-                if len(b) or len(a):
-                    y, skip = np.concatenate([b, x, a]).astype(float), halo
-                    y = np.pad(y, (halo - len(b), halo - len(a)), mode="reflect" if len(y) > 1 else "edge")
-                    y[:halo] *= fade
-                    y[len(y) - halo :] *= fade[::-1]
+                y = np.concatenate([b, x, a]).astype(float)
+                if not len(x):
+                    out.append(y[:0])
+                    continue
+                y = np.pad(y, (halo - len(b), halo - len(a)), mode="reflect" if len(y) > 1 else "edge")
+                y[:halo] *= fade
+                y[len(y) - halo :] *= fade[::-1]
                 n = len(y)
-                moved = np.fft.irfft(np.fft.rfft(y) * np.exp(-2j * np.pi * np.fft.rfftfreq(n) * s), n) if n else y
-                out.append(moved[skip : n - skip])
+                moved = np.fft.irfft(np.fft.rfft(y) * np.exp(-2j * np.pi * np.fft.rfftfreq(n) * s), n)
+                out.append(moved[halo : n - halo])
             yield pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": out})
 
     return with_halo(signal, halo).join(shifts, "channel").mapInPandas(run, "channel long, chunk long, samples array<double>")

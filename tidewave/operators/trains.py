@@ -107,6 +107,34 @@ def every_nth(df: DataFrame, wanted: int) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(w) - 1).withColumn("_s", step).filter("_k % _s = 0").drop("_k", "_s")
 
 
+def batched_subset(df: DataFrame, wanted: int, size: int | None) -> DataFrame:
+    """About wanted spikes of each unit, in batches of size neighbouring ones that lie evenly over the unit's train.
+
+    A unit of at most wanted or size spikes, or no size: single spikes at even
+    steps, at most wanted. wanted is at least two batches.
+    """
+    if size is not None and wanted // size < 2:
+        raise ValueError("at least two batches are needed")
+    k = F.row_number().over(in_order("unit", "t", "id")) - 1
+    n = F.count(F.lit(1)).over(Window.partitionBy("unit"))
+    step = F.greatest(F.ceil(F.col("_n") / F.lit(wanted)), F.lit(1))
+    keep = (F.col("_k") % step == 0) & (F.floor(F.col("_k") / step) < wanted)
+    if size is not None:
+        batches = wanted // size
+        apart = F.greatest(F.floor((F.col("_n") - size) / (batches - 1)), F.lit(size))
+        inside = (F.floor(F.col("_k") / apart) < batches) & (F.col("_k") % apart < size)
+        keep = F.when(F.col("_n") <= max(size, wanted), keep).otherwise(inside)
+    return df.withColumn("_k", k).withColumn("_n", n).filter(keep).drop("_k", "_n")
+
+
+def random_subset(df: DataFrame, wanted: int, seed: int = 0) -> DataFrame:
+    """wanted spikes of each unit, or all of fewer: those of the lowest hash of unit, id and seed, so every partitioning gives the same."""
+    from tidewave.operators.surrogates import uniform
+
+    order = Window.partitionBy("unit").orderBy(uniform("unit", "id", F.lit(seed)), "id")
+    return df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= wanted).drop("_k")
+
+
 def standardise(column: Column, over: Window) -> Column:
     """(x - mean) / population deviation, which counts as 1 if it is 0."""
     s = F.stddev_pop(column).over(over)

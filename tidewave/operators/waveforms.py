@@ -193,21 +193,25 @@ def truncated_gaussian(x: np.ndarray, n: np.ndarray, height: float, mean: float,
     return float(p[0]), float(p[1]), abs(float(p[2]))
 
 
-def missing_spikes(df: DataFrame, by: list[str] | None = None, least: int = 16, least_bins: int = 4, most_bins: int = 100_000) -> DataFrame:
+def missing_spikes(df: DataFrame, by: list[str] | None = None, least: int = 16, least_bins: int = 4, most_bins: int | None = 10_000_000) -> DataFrame:
     """by, n, bins, missing: the share of a group's amplitudes under its threshold, by a truncated gaussian fitted to their histogram.
 
     df(*by, a); by: unit if not given. Bins follow Freedman and Diaconis; the
     threshold is the first percentile. Groups of fewer amplitudes or bins, or
     without spread, are left out. Histograms are aggregated by Spark: the fit
-    of a group gets one row for each bin that has any.
+    of a group gets one row for each bin that has any, and makes an array of
+    all. A far outlier can make the rule ask for any number of bins; more than
+    most_bins of them (80 MB) are widened to so many, which bins tells. None:
+    the rule alone.
     """
     by = by or ["unit"]
     q = lambda p: F.percentile("a", F.lit(p))
     stats = df.groupBy(*by).agg(F.count("*").alias("size"), F.min("a").alias("lo"), F.max("a").alias("hi"), (q(0.75) - q(0.25)).alias("iqr"), F.stddev_pop("a").alias("sd"), q(0.01).alias("cut"))
-    stats = stats.filter((F.col("iqr") > 0) & (F.col("size") >= least)).withColumn("bins", F.least(F.floor((F.col("hi") - F.col("lo")) / (2 * F.col("iqr") / F.cbrt("size")) + 1), F.lit(most_bins)).cast("int")).filter(F.col("bins") >= least_bins)
+    ruled = F.floor((F.col("hi") - F.col("lo")) / (2 * F.col("iqr") / F.cbrt("size")) + 1)
+    stats = stats.filter((F.col("iqr") > 0) & (F.col("size") >= least)).withColumn("bins", F.least(ruled, F.lit(most_bins)) if most_bins else ruled).filter(F.col("bins") >= least_bins)
     k = F.least(F.floor((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)
     kept = ["size", "lo", "hi", "sd", "cut", "bins"]
-    histogram = df.join(stats, by).groupBy(*by, *kept, k.cast("int").alias("k")).agg(F.count("*").alias("n"))
+    histogram = df.join(stats, by).groupBy(*by, *kept, k.cast("long").alias("k")).agg(F.count("*").alias("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         from math import erf, sqrt
@@ -223,4 +227,4 @@ def missing_spikes(df: DataFrame, by: list[str] | None = None, least: int = 16,
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [int(one["size"])], "bins": [int(one.bins)], "missing": [round(share, 4)]})
 
     types = dict(df.dtypes)
-    return histogram.groupBy(*by).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, bins int, missing double")
+    return histogram.groupBy(*by).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, bins long, missing double")

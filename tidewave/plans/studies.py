@@ -5,13 +5,15 @@ Embeddings stand for features of spikes: 16 channels of four components.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.functions.timeline import HOUR
-from tidewave.operators import clusters, rates, surrogates
-from tidewave.plans.registry import CLICKS, DAY, SPIKES, START, query, r6
-from tidewave.sources.tables import spikes, table
+from tidewave.operators import clusters, connections, correlograms, extraction, peaks, rates, signals, significance, surrogates, trains
+from tidewave.plans.measures import SIGNAL, flat, recording
+from tidewave.plans.registry import CLICKS, DAY, HALF, ISI, ORACLES, PREDICTED, RUNS, SPIKES, START, query, r6, zscores
+from tidewave.sources.tables import by_channel, spikes, table
 
 # --- clusters
 
@@ -159,3 +161,135 @@ def q_poisson_trials(spark, d):
     grid = s.select("unit").distinct().withColumn("trial", every(30)).withColumn("bin", every(4))
     dense = grid.join(n, ["unit", "trial", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     return surrogates.poisson_trials(dense, seed=5)
+
+
+# --- modulations, edges
+
+MODULATIONS = f"""{CLICKS}, {RUNS}, fe AS (SELECT u1, u2, min(bin)::DOUBLE AS l, max(bin) + 1.0::DOUBLE AS r, arg_max(z, (abs(z), -bin)) AS amplitude, arg_max(bin, (abs(z), -bin))::DOUBLE AS peak_at, count(*) // 3 AS triplets, count(*) AS crossing, avg(z) AS height, avg(0.5 * z * z + 0.5 * ln(2 * pi())) AS entropy
+FROM i WHERE side <> 0 GROUP BY u1, u2, run HAVING count(*) >= 2 AND min(bin) > {-HALF} AND max(bin) < {HALF})"""
+EDGES = MODULATIONS + ", ed AS (SELECT CASE WHEN peak_at > 0 THEN u1 ELSE u2 END AS source, CASE WHEN peak_at > 0 THEN u2 ELSE u1 END AS target, abs(peak_at) AS lag, amplitude FROM fe WHERE u1 > u2)"
+
+
+def normal_modulations(spark, d) -> DataFrame:
+    return connections.modulation_features(connections.normal_sides(zscores(spark, d), 1.5), "z", 1.0, 2, HALF)
+
+
+@query(f"WITH {MODULATIONS} SELECT u1, u2, l AS \"left\", r AS \"right\", round(amplitude, 6) AS amplitude, peak_at, triplets, crossing, round(height, 6) AS height, round(entropy, 6) AS entropy FROM fe")
+def q_modulation_features(spark, d):
+    return normal_modulations(spark, d).select("u1", "u2", "left", "right", r6("amplitude", "amplitude"), F.col("at").alias("peak_at"), "triplets", "crossing", r6("height", "height"), r6("entropy", "entropy"))
+
+
+@query(f"WITH {EDGES} SELECT source, target, lag, round(amplitude, 6) AS amplitude FROM ed WHERE amplitude > 0 AND lag BETWEEN 1 AND 8")
+def q_connection_edges(spark, d):
+    return connections.edges(normal_modulations(spark, d), sign=1, low=1.0, high=8.0).select("source", "target", "lag", r6("amplitude", "amplitude"))
+
+
+MAIN = EDGES + ", mn AS (SELECT * FROM ed QUALIFY row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY abs(amplitude) DESC, lag, source, amplitude) = 1)"
+
+
+@query(f"WITH {MAIN} SELECT source, target, lag, round(amplitude, 6) AS amplitude FROM mn")
+def q_main_edges(spark, d):
+    return connections.main_edges(connections.edges(normal_modulations(spark, d))).select("source", "target", "lag", r6("amplitude", "amplitude"))
+
+
+@query(f"WITH {MAIN}, x AS (SELECT source AS unit, 1 AS o, abs(amplitude) AS a FROM mn UNION ALL SELECT target, 0, abs(amplitude) FROM mn) SELECT unit, sum(o)::BIGINT AS n_out, sum(1 - o)::BIGINT AS n_in, round(sum(a), 6) AS strength FROM x GROUP BY unit")
+def q_unit_degrees(spark, d):
+    g = connections.degrees(connections.main_edges(connections.edges(normal_modulations(spark, d))))
+    return g.select("unit", "n_out", "n_in", r6("strength", "strength"))
+
+
+@query(f"""WITH {CLICKS}, {PREDICTED}, pt AS (SELECT u1, u2, bin, n, expected, CASE WHEN expected > 0 THEN 1 - coalesce((SELECT sum(exp(i * ln(expected) - expected - lgamma(i + 1))) FROM range(0, 60) AS r(i) WHERE i < n), 0) - 0.5 * exp(n * ln(expected) - expected - lgamma(n + 1)) WHEN n > 0 THEN 0 ELSE 1 END AS p, CASE WHEN expected > 0 THEN (n - expected) / sqrt(expected) END AS dev FROM x),
+sd AS (SELECT *, CASE WHEN p < 0.2 THEN 1 WHEN 1 - p < 0.2 THEN -1 ELSE 0 END AS side FROM pt), ch AS (SELECT *, CASE WHEN side <> lag(side) OVER (PARTITION BY u1, u2 ORDER BY bin) THEN 1 ELSE 0 END AS c FROM sd), ru AS (SELECT *, sum(c) OVER (PARTITION BY u1, u2 ORDER BY bin) AS run FROM ch)
+SELECT u1, u2, side, min(bin) AS first, max(bin) AS last, count(*) AS n, round(arg_max(dev, abs(dev)), 6) AS deviation FROM ru WHERE side <> 0 GROUP BY u1, u2, side, run HAVING count(*) >= 2 AND min(bin) > {-HALF} AND max(bin) < {HALF}""")
+def q_poisson_modulations(spark, d):
+    full = correlograms.dense_bins(correlograms.symmetric(correlograms.half_counts(spikes(spark, d, "click"), HOUR, HALF)), HALF)
+    m = significance.poisson_modulations(significance.poisson_test(full, 4, HALF), 0.2, 2, HALF)
+    return m.select("u1", "u2", F.col("side").cast("long").alias("side"), "first", "last", "n", r6("deviation", "deviation"))
+
+
+# --- bursts, temporal features
+
+CURVES = f"""{ISI}, pq AS (SELECT unit, quantile_cont(isi, 0.98) AS cap FROM i WHERE isi >= {HOUR} GROUP BY unit), mf AS (SELECT unit, 3.6e9 / avg(isi) AS mfr FROM i JOIN pq USING (unit) WHERE isi BETWEEN {HOUR} AND cap GROUP BY unit),
+ac AS (SELECT a.unit, (b.t - a.t) // {HOUR} AS bin, count(*) AS n FROM s a JOIN s b ON a.unit = b.unit AND b.t - a.t < {61 * HOUR} AND (b.t > a.t OR (b.t = a.t AND b.id > a.id)) GROUP BY ALL), ag AS (SELECT t.unit, mfr, g.bin, CASE WHEN g.bin = 0 THEN 0 ELSE coalesce(ac.n / t.n::DOUBLE, 0) END AS h FROM (SELECT unit, count(*) AS n FROM s GROUP BY unit) t JOIN mf USING (unit) CROSS JOIN (SELECT unnest(range(0, 61)) AS bin) g LEFT JOIN ac ON ac.unit = t.unit AND ac.bin = g.bin),
+sg AS (SELECT unit, stddev_pop(h) / 10 AS sd FROM ag GROUP BY unit), kw AS (SELECT unit, o, exp(-0.5 * (o / sd) ^ 2) AS w FROM sg JOIN range(-40, 41) AS r(o) ON abs(o) <= floor(4 * sd + 0.5) AND floor(4 * sd + 0.5) > 0 UNION ALL SELECT unit, 0, 1.0 FROM sg WHERE floor(4 * sd + 0.5) = 0),
+sc AS (SELECT a.unit, a.mfr, a.bin, sum(b.h * w) / sum(w) AS h FROM ag a JOIN kw USING (unit) JOIN ag b ON b.unit = a.unit AND b.bin = CASE WHEN a.bin + o < 0 THEN -(a.bin + o) - 1 WHEN a.bin + o >= 61 THEN 121 - (a.bin + o) ELSE a.bin + o END GROUP BY ALL)"""
+
+
+def curves(spark, d) -> DataFrame:
+    return rates.autocorrelogram_curves(spikes(spark, d), HOUR, 60, float(HOUR), floor=HOUR)
+
+
+@query(f"WITH {CURVES} SELECT unit, bin AS lag, round(h, 6) AS hertz, round(mfr, 6) AS mfr FROM ag")
+def q_autocorrelogram_curves(spark, d):
+    return curves(spark, d).select("unit", F.posexplode("acg").alias("lag", "h"), "mfr").select("unit", F.col("lag").cast("long").alias("lag"), r6("h", "hertz"), r6("mfr", "mfr"))
+
+
+@query(f"WITH {CURVES} SELECT unit, round(max(h) / any_value(mfr), 6) AS burst FROM sc WHERE bin < 20 AND mfr > 0 GROUP BY unit")
+def q_burst_ratio(spark, d):
+    return peaks.bursts_and_oscillations(curves(spark, d), 20).select("unit", r6("burst", "burst"))
+
+
+@query()
+def q_oscillation_ratio(spark, d):
+    return peaks.bursts_and_oscillations(curves(spark, d), 5).select("unit", r6("oscillation", "oscillation"))
+
+
+TEMPORAL = ["mfr", "mifr", "median", "prct5", "cv", "lcv", "sd", "cv2_mean", "cv2_median", "ir", "lv", "lvr", "si", "skew", "burst_index", "entropy", "burst"]
+
+
+@query(f"SELECT * FROM ({ORACLES['q_interval_features']}) JOIN ({ORACLES['q_isi_features']}) USING (unit) JOIN ({ORACLES['q_log_isi_entropy']}) USING (unit) JOIN ({ORACLES['q_burst_ratio']}) USING (unit)")
+def q_temporal_features(spark, d):
+    f = rates.temporal_features(spikes(spark, d), float(HOUR), HOUR, 60, 20, floor=HOUR)
+    return f.select("unit", *(r6(c, c) for c in TEMPORAL))
+
+
+@query()
+def q_wave_peaks(spark, d):
+    return peaks.find_peaks(table(spark, d, "embeddings").select(F.col("vec_id").alias("unit"), F.col("embedding").cast("array<double>").alias("wave")), "spline", delta=0.5)
+
+
+# --- subsets of spikes
+
+@query(f"WITH {SPIKES}, k AS (SELECT unit, id, row_number() OVER (PARTITION BY unit ORDER BY t, id) - 1 AS k, count(*) OVER (PARTITION BY unit) AS n FROM s), p AS (SELECT *, greatest((n + 19) // 20, 1) AS step, greatest((n - 5) // 3, 5) AS apart FROM k) SELECT unit, id FROM p WHERE CASE WHEN n <= 20 THEN k % step = 0 AND k // step < 20 ELSE k // apart < 4 AND k % apart < 5 END")
+def q_batched_subset(spark, d):
+    return trains.batched_subset(spikes(spark, d), 20, 5).select("unit", "id")
+
+
+@query(f"WITH {SPIKES} SELECT unit, id FROM s QUALIFY row_number() OVER (PARTITION BY unit ORDER BY md5(unit || ':' || id || ':3')[1:12], id) <= 15")
+def q_random_subset(spark, d):
+    return trains.random_subset(spikes(spark, d), 15, seed=3).select("unit", "id")
+
+
+@query(f"WITH {SPIKES} SELECT unit, e AS template, round(count(*) / sum(count(*)) OVER (PARTITION BY unit), 6) AS share FROM s GROUP BY unit, e")
+def q_template_shares(spark, d):
+    return extraction.templates_of(spikes(spark, d).select("unit", F.col("e").alias("template"))).select("unit", "template", r6("share", "share"))
+
+
+@query(f"WITH {SIGNAL}, w AS (SELECT vec_id % 8 AS unit, k, avg(x) AS m FROM v GROUP BY ALL), nz AS (SELECT vec_id % 8 AS unit, stddev_pop(x) AS sd FROM v GROUP BY ALL) SELECT unit, round((max(m) - min(m)) / (2 * any_value(sd)), 6) AS snr, round(20 * log10((max(m) - min(m)) / (2 * any_value(sd))), 6) AS snr_db FROM w JOIN nz USING (unit) GROUP BY unit")
+def q_noise_ratio(spark, d):
+    w = table(spark, d, "embeddings").select((F.col("vec_id") % 8).alias("unit"), F.col("embedding").cast("array<double>").alias("wave"))
+    return extraction.noise_ratio(w, w.select("unit", F.explode("wave").alias("v"))).select("unit", r6("snr", "snr"), r6("snr_db", "snr_db"))
+
+
+# --- signals
+
+TAPS = np.hanning(21)
+ALONG = signals.along_probe_matrix(4, 2)
+GAIN = f"""{SIGNAL}, w AS (SELECT unnest(range(-10, 11)) AS o, unnest([{', '.join(f'{x!r}::DOUBLE' for x in (TAPS / TAPS.sum()).tolist())}]) AS w), lv AS (SELECT a.channel, a.t, a.x, sum(abs(b.x) * w) AS l FROM g a CROSS JOIN w JOIN g b ON b.channel = a.channel AND b.t = a.t - o GROUP BY ALL),
+gc AS (SELECT channel, t, x, l + sum(l) OVER (PARTITION BY channel) * 1e-8 / count(*) OVER (PARTITION BY channel) AS l FROM lv)"""
+
+
+@query(f"WITH {GAIN} SELECT channel, t, round(x / l, 6) AS x FROM gc")
+def q_gain_controlled(spark, d):
+    return flat(signals.gain_controlled(recording(spark, d), 20))
+
+
+@query(f"WITH {GAIN}, mx AS (SELECT unnest(range(0, 16)) // 4 AS c1, unnest(range(0, 16)) % 4 AS c2, unnest([{', '.join(f'{x!r}::DOUBLE' for x in ALONG.ravel().tolist())}]) AS m), y AS (SELECT c1 AS channel, t, sum(m * x / l) AS x FROM mx JOIN gc ON gc.channel = c2 GROUP BY ALL) SELECT channel, t, round(y.x * l, 6) AS x FROM y JOIN gc USING (channel, t)")
+def q_filtered_along_probe(spark, d):
+    return flat(signals.filtered_along_probe(recording(spark, d), ALONG, 20))
+
+
+@query(f"WITH {SIGNAL} SELECT channel, t, round(x - quantile_cont(x, 0.5) OVER (PARTITION BY t), 6) AS x FROM g")
+def q_common_average_in_frames(spark, d):
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
+    return flat(by_channel(signals.common_average_removed(chunks, 4), 4))
