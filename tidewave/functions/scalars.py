@@ -75,8 +75,8 @@ def padded(array: Column, size: int) -> Column:
 
 
 def bits(x: Column, n: int) -> Column:
-    """The lowest n bits of a number, the lowest first."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(x / F.pow(F.lit(2.0), k)) % 2)
+    """The lowest n bits, at most 64, of a whole number, the lowest first; of a number below 0 those of its two's complement."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.call_function("getbit", x.cast("long"), k).cast("long"))
 
 
 def array_mean(a: Column) -> Column:

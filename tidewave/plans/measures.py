@@ -237,9 +237,11 @@ def q_cross_correlation(spark, d):
     return out.select("u1", "u2", F.explode(F.arrays_zip("lags", "values")).alias("z")).select("u1", "u2", F.col("z.lags").alias("lag"), r6("z.values", "value"))
 
 
-@query("SELECT channel, [43, 11, 59, 27][channel % 4 + 1]::INTEGER AS x, ((channel // 2) * 20 + 20)::INTEGER AS y, round((channel // 2 % 12) / 13.0::DOUBLE, 6) AS shift FROM (SELECT unnest(range(0, 384))::INTEGER AS channel)")
+@query(f"WITH {SPIKES}, c AS (SELECT DISTINCT unit % 384 AS channel FROM s) SELECT channel, [43, 11, 59, 27][channel % 4 + 1]::INTEGER AS x, ((channel // 2) * 20 + 20)::INTEGER AS y, round((channel // 2 % 12) / 13.0::DOUBLE, 6) AS shift FROM c")
 def q_channel_map(spark, d):
-    return arrays.channel_map(spark).withColumn("shift", F.round(scalars.adc_shift(F.col("channel")), 6))
+    places = arrays.channel_map(spark).withColumn("shift", F.round(scalars.adc_shift(F.col("channel")), 6))
+    used = spikes(spark, d).select((F.col("unit") % 384).alias("channel")).distinct()
+    return used.join(places, "channel")
 
 
 # --- quality

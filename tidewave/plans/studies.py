@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.functions.timeline import HOUR
-from tidewave.operators import clusters, connections, correlograms, extraction, peaks, rates, signals, significance, surrogates, trains
+from tidewave.operators import clusters, connections, correlograms, extraction, peaks, probes, rates, signals, significance, surrogates, trains
+from tidewave.operators.waveforms import peak_to_peak
 from tidewave.plans.measures import SIGNAL, flat, recording
 from tidewave.plans.registry import CLICKS, DAY, HALF, ISI, ORACLES, PREDICTED, RUNS, SPIKES, START, query, r6, zscores
 from tidewave.sources.tables import by_channel, spikes, table
@@ -293,3 +294,50 @@ def q_filtered_along_probe(spark, d):
 def q_common_average_in_frames(spark, d):
     chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").cast("array<double>").alias("samples"))
     return flat(by_channel(signals.common_average_removed(chunks, 4), 4))
+
+
+# --- probes: rows of the embeddings as waves of eight channels, in hundreds
+
+PROBE = "wv AS (SELECT vec_id // 8 AS unit, vec_id % 8 AS channel, list_transform(embedding::DOUBLE[], lambda x: x * 100) AS w FROM embeddings), pp AS (SELECT unit, channel, list_max(w) - list_min(w) AS ptp FROM wv), pk AS (SELECT unit, arg_max(channel, (ptp, -channel)) AS channel, max(ptp) AS ptp FROM pp GROUP BY unit), ps AS (SELECT DISTINCT vec_id % 8 AS channel, (vec_id % 2) * 32.0::DOUBLE AS x, (vec_id % 8) // 2 * 20.0::DOUBLE AS y FROM embeddings)"
+
+
+def probe_waves(spark, d) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, d, "embeddings")
+    waves = e.select(F.floor(F.col("vec_id") / 8).alias("unit"), (F.col("vec_id") % 8).alias("channel"), F.transform("embedding", lambda x: x.cast("double") * 100).alias("wave"))
+    channel = F.col("channel")
+    return waves, waves.select("channel").distinct().select("channel", (channel % 2 * 32.0).alias("x"), (F.floor(channel / 2) * 20.0).alias("y"))
+
+
+@query(f"WITH {PROBE} SELECT k.unit, k.channel, b.channel AS near, round(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2), 6) AS distance FROM pk k JOIN ps a USING (channel) JOIN ps b ON b.channel <> k.channel AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) < 45")
+def q_channels_within(spark, d):
+    waves, positions = probe_waves(spark, d)
+    return probes.channels_within(probes.peak_places(waves, positions), positions, 45.0).select("unit", "channel", "near", r6("distance", "distance"))
+
+
+@query(f"WITH {PROBE} SELECT k.unit, round(avg(pp.ptp) / any_value(k.ptp), 6) AS spread FROM pk k JOIN ps a USING (channel) LEFT JOIN ps b ON b.channel <> k.channel AND sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2) < 45 LEFT JOIN pp ON pp.unit = k.unit AND pp.channel = b.channel GROUP BY k.unit")
+def q_spread_ratio(spark, d):
+    waves, positions = probe_waves(spark, d)
+    return probes.spread_ratio(waves, positions, 45.0).select("unit", r6("spread", "spread"))
+
+
+@query(f"WITH {PROBE} SELECT pp.unit, pp.channel, round(pp.ptp, 6) AS ptp FROM pp JOIN pk USING (unit) WHERE abs(pp.channel - pk.channel) <= 3 AND pp.ptp > 55")
+def q_loud_channels(spark, d):
+    w = probes.loud_channels(probe_waves(spark, d)[0], 3, 55.0)
+    return w.select("unit", "channel", r6(peak_to_peak(F.col("wave")), "ptp"))
+
+
+@query(f"WITH {PROBE}, sl AS (SELECT unit, slot, channel - 2 + slot AS channel FROM pk, range(0, 5) AS r(slot)) SELECT unit, slot, sl.channel, round(list_sum(w), 6) AS total FROM sl LEFT JOIN wv USING (unit, channel)")
+def q_cropped_waves(spark, d):
+    w = probes.cropped(probe_waves(spark, d)[0], 5)
+    return w.select("unit", F.col("slot").cast("long").alias("slot"), "channel", r6(F.aggregate("wave", F.lit(0.0), lambda s, x: s + x), "total"))
+
+
+@query()
+def q_spatial_features(spark, d):
+    waves, positions = probe_waves(spark, d)
+    return probes.spatial_features(waves, positions, 3, 30.0, 45.0)
+
+
+@query()
+def q_model_arrays(spark, d):
+    return probes.model_arrays(probe_waves(spark, d)[0], 20_000.0, channels=5)
