@@ -230,3 +230,32 @@ def test_rate_cube_by_dense_arrays(spark, smooth):
         for k in range(3):
             for i in range(9):
                 assert got[a, b, k, i - 4] == pytest.approx(want[k, i]), (a, b, k, i)
+
+
+def test_the_table_of_all_measures(spark):
+    from pyspark.sql import functions as F
+
+    df, dense = features_of(spark, np.random.default_rng(8), units=4, spikes=50)
+    rng = np.random.default_rng(9)
+    t = {i: int(x) for i, x in enumerate(rng.permutation(len(dense)) * 7)}
+    train = spark.createDataFrame([(i, u, t[i], float(x[u * 2][0])) for i, (u, x) in dense.items()] + [(10_000, 99, 5, 1.0)], "id long, unit long, t long, a double")
+    middle = 700
+    rows = clusters.quality_table(train, [(-1, middle), (middle, 7 * len(dense))], 10.0, 5, 1, df, half=2, k=3, n_silhouette=None).collect()
+    assert len(rows) == 10
+    alone = [r for r in rows if r.unit == 99]
+    assert all(r.silhouette is None and r.isolation is None for r in alone)
+    for number, keep in ((0, lambda i: t[i] <= middle), (1, lambda i: t[i] > middle)):
+        some = df.filter(F.col("id").isin([i for i in dense if keep(i)]))
+        want = {r.unit: r for r in clusters.neighbourhood_metrics(some, 2, 3).collect()}
+        channels = max(c for i, (_, x) in dense.items() if keep(i) for c in x) + 1
+        ids = [i for i in dense if keep(i)]
+        x = np.array([np.concatenate([dense[i][1].get(c, [0.0, 0.0]) for c in range(channels)]) for i in ids])
+        label = np.array([dense[i][0] for i in ids])
+        for r in rows:
+            if r.period == number and r.unit != 99:
+                mine = sorted(t[i] for i in ids if dense[i][0] == r.unit)
+                assert r.rate == pytest.approx(len(mine) * 10 / (mine[-1] - mine[0]))
+                pairs = [silhouette(x[np.isin(label, [r.unit, o])], label[np.isin(label, [r.unit, o])]) for o in range(4) if o != r.unit]
+                assert r.silhouette == pytest.approx(min(pairs))
+                if r.unit in want:
+                    assert (r.isolation, r.hit, r.miss) == pytest.approx((want[r.unit].isolation, want[r.unit].hit, want[r.unit].miss))

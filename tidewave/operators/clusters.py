@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.operators.quality import chi2_above, moments, neighbours_in, separation_measures
+from tidewave.operators.quality import amplitude_cutoff, chi2_above, moments, neighbours_in, separation_measures, violations
+from tidewave.operators.trains import firing_rate, presence_ratio
 
 
 def peak_channels(features: DataFrame) -> DataFrame:
@@ -152,3 +153,38 @@ def silhouettes(points: DataFrame, most: int | None = 10_000, block: int = 2_000
 def least_silhouettes(pairs: DataFrame) -> DataFrame:
     """label, silhouette: the smallest over the pairs that a label is in."""
     return pairs.select(F.explode(F.array("l1", "l2")).alias("label"), "silhouette").groupBy("label").agg(F.min("silhouette").alias("silhouette"))
+
+
+def dense_points(features: DataFrame) -> DataFrame:
+    """id, label (the unit), features: each spike as a point over all channels, 0 on those that its template has no features on."""
+    ends = features.agg(F.max("channel").alias("_last"), F.max(F.size("values")).alias("_n"))
+    by = features.groupBy("id", "unit").agg(F.map_from_entries(F.collect_list(F.struct("channel", "values"))).alias("_m"))
+    none = F.array_repeat(F.lit(0.0), F.col("_n"))
+    whole = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long")), lambda c: F.coalesce(F.try_element_at("_m", c), none)))
+    return by.join(F.broadcast(ends)).select("id", F.col("unit").alias("label"), whole.alias("features"))
+
+
+def quality_table(df: DataFrame, periods: list[tuple[int, int]], ticks_per_second: float, isi_threshold: float, min_isi: float, features: DataFrame | None = None, half: int = 2, k: int = 3, n_silhouette: int | None = 10_000, presence_edges: int = 100) -> DataFrame:
+    """period, unit, rate, presence, n_violations, fp_rate, missing, and with features also isolation, l_ratio, d_prime, hit, miss, silhouette: the measures of every unit in each period.
+
+    df(unit, id, t, a). A period holds the spikes after its start up to its
+    stop, between which presence is taken; all units of df have a row in each,
+    with nulls where they have too few spikes. features as in
+    neighbourhood_metrics, n_silhouette as in silhouettes. Periods are a few, as
+    each is a part of the plan.
+    """
+    units = df.select("unit").distinct()
+    out = None
+    for number, (start, stop) in enumerate(periods):
+        rows = df.filter((F.col("t") > start) & (F.col("t") <= stop))
+        parts = [firing_rate(rows, ticks_per_second), presence_ratio(rows, start, stop, presence_edges), violations(rows, isi_threshold, min_isi, ticks_per_second), amplitude_cutoff(rows)]
+        if features is not None:
+            some = features.join(rows.select("id"), "id", "left_semi")
+            parts += [neighbourhood_metrics(some, half, k), least_silhouettes(silhouettes(dense_points(some), n_silhouette)).withColumnRenamed("label", "unit")]
+        one = units.withColumn("period", F.lit(number))
+        for part in parts:
+            one = one.join(part, "unit", "left")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("at least one period is needed")
+    return out

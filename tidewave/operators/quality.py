@@ -21,7 +21,7 @@ def violations(df: DataFrame, threshold: float, least: float, ticks_per_second:
     isi = with_intervals(clean)
     g = isi.groupBy("unit").agg(F.count("*").alias("n"), F.count_if(F.col("isi") < threshold).alias("n_violations"), ((F.max("t") - F.min("t")) / F.lit(ticks_per_second)).alias("seconds"))
     window = 2 * F.col("n") * F.lit((threshold - least) / ticks_per_second)
-    return g.filter("n > 1").select("unit", "n_violations", (F.col("n_violations") / window / (F.col("n") / F.col("seconds"))).alias("fp_rate"))
+    return g.filter("n > 1").select("unit", "n_violations", F.try_divide(F.col("n_violations") / window * F.col("seconds"), F.col("n")).alias("fp_rate"))
 
 
 def sliding_chunks(df: DataFrame, size: int, span: int, first: int) -> DataFrame:

@@ -82,8 +82,8 @@ def presence_ratio(df: DataFrame, first: int, last: int, edges: int = 100) -> Da
 
 
 def firing_rate(df: DataFrame, ticks_per_second: float) -> DataFrame:
-    """Spikes over the seconds between a unit's first and last."""
-    return df.groupBy("unit").agg((F.count("*") * F.lit(ticks_per_second) / (F.max("t") - F.min("t"))).alias("rate"))
+    """Spikes over the seconds between a unit's first and last; null if these are at one time."""
+    return df.groupBy("unit").agg(F.try_divide(F.count("*") * F.lit(ticks_per_second), F.max("t") - F.min("t")).alias("rate"))
 
 
 def outliers(df: DataFrame, column: str, deviations: float, by: str = "unit") -> DataFrame:

@@ -341,3 +341,31 @@ def q_spatial_features(spark, d):
 @query()
 def q_model_arrays(spark, d):
     return probes.model_arrays(probe_waves(spark, d)[0], 20_000.0, channels=5)
+
+
+# --- all measures of quality, by period
+
+EPOCHS = [(START, START + 12 * DAY), (START + 12 * DAY, START + 30 * DAY)]
+
+
+def _epoch_sql(number: int, start: int, stop: int) -> str:
+    def of(name: str) -> str:
+        return ORACLES[name].replace("FROM events)", f"FROM events WHERE epoch_us(ts) > {start} AND epoch_us(ts) <= {stop})")
+
+    width = (stop - start) / 99
+    presence = f"SELECT unit, count(DISTINCT least(floor((epoch_us(ts) - {start}) / {width!r}::DOUBLE), 98)) / 100.0::DOUBLE AS presence FROM (SELECT user_id AS unit, ts FROM events) WHERE epoch_us(ts) > {start} AND epoch_us(ts) <= {stop} GROUP BY unit"
+    return f"""SELECT {number} AS period, unit, rate, round(presence, 6) AS presence, n_violations, fp_rate, missing FROM (SELECT DISTINCT user_id AS unit FROM events)
+LEFT JOIN ({of('q_firing_rate')}) USING (unit) LEFT JOIN ({presence}) USING (unit) LEFT JOIN ({of('q_isi_violations')}) USING (unit) LEFT JOIN ({of('q_amplitude_cutoff')}) USING (unit)"""
+
+
+@query(" UNION ALL ".join(_epoch_sql(k, a, b) for k, (a, b) in enumerate(EPOCHS)))
+def q_quality_table(spark, d):
+    t = clusters.quality_table(spikes(spark, d), EPOCHS, 1_000_000.0, 2 * HOUR, HOUR // 60)
+    return t.select("period", "unit", r6(F.col("rate") * 1000, "rate"), r6("presence", "presence"), "n_violations", r6("fp_rate", "fp_rate"), r6("missing", "missing"))
+
+
+@query()
+def q_quality_table_with_features(spark, d):
+    f = sparse_features(spark, d)
+    e = f.select("unit", "id", (F.col("id") * 1000).alias("t"), F.get("values", F.lit(0)).alias("a")).dropDuplicates(["id"])
+    return clusters.quality_table(e, [(-1, 1 << 40)], 1_000_000.0, 2_000, 10, f)
