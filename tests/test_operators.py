@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidewave.functions.timeline import as_of, islands, range_join
+from tidewave.functions.timeline import as_of, islands, numbered, range_join
 from tidewave.operators import alignment, correlograms, information, models, neighbours, periods, quality, trains, waveforms
 
 
@@ -184,3 +184,14 @@ def test_smoothing_keeps_lengths_and_sums(spark):
     df = spark.createDataFrame([(1, [0.0] * 20 + [1.0] + [0.0] * 20), (2, [])], "unit long, wave array<double>")
     rows = {r.unit: r.wave for r in waveforms.smooth_arrays(df, "wave", 2.0).collect()}
     assert len(rows[1]) == 41 and sum(rows[1]) == pytest.approx(1) and rows[2] == []
+
+
+def test_places_in_order_of_parts(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(i), None if i % 97 == 0 else float(v)) for i, v in enumerate(np.append(rng.normal(size=900), np.full(400, 0.25)))]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(6)
+    got = {r.id: r.place for r in numbered(df, "v", "id", parts=20).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[0]))
+    assert got == {r[0]: k for k, r in enumerate(want)}
+    assert numbered(df.filter(F.col("id") < 0), "v", "id").count() == 0
+    assert sorted(r.place for r in numbered(df.filter("v = 0.25"), "v", "id").collect()) == list(range(df.filter("v = 0.25").count()))

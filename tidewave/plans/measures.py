@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.functions import scalars
-from tidewave.functions.timeline import HOUR
+from tidewave.functions.timeline import HOUR, numbered
 from tidewave.operators import behaviour, correlograms, extraction, information, learning, models, periods, quality, rates, signals, significance, trains, waveforms
 from tidewave.plans.registry import BINS, CLICKS, DAILY, DAY, DENSE, HALF, ISI, PERIODS, SPIKES, START, WAVE, WORDS, ZSCORE, live_events, merged_periods, query, r6, types_by_hour, waves, zscores
 from tidewave.sources import arrays, units
@@ -142,10 +142,8 @@ def q_video_frames(spark, d):
 @query("""WITH w AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_partkey % 65536 AS word FROM lineitem), r AS (SELECT row_number() OVER (ORDER BY k, word) - 1 AS i, word FROM w), c AS (SELECT i, word, lag(word) OVER (ORDER BY i) AS old FROM r)
 SELECT b AS bit, i, ((word >> b) & 1) - ((old >> b) & 1) AS edge FROM c, range(0, 16) AS s(b) WHERE old IS NOT NULL AND ((word >> b) & 1) <> ((old >> b) & 1)""")
 def q_sync_edges(spark, d):
-    from pyspark.sql import Window
-
     w = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), (F.col("l_partkey") % 65536).alias("word"))
-    samples = w.select((F.row_number().over(Window.orderBy("k", "word")) - 1).cast("long").alias("i"), "word")
+    samples = numbered(w, "k", "word", name="i").select("i", "word")
     return arrays.sync_edges(samples, 16, block=1000).select(F.col("bit").cast("long").alias("bit"), "i", F.col("edge").cast("long").alias("edge"))
 
 
@@ -298,11 +296,8 @@ def q_good_units_in_range(spark, d):
 
 @query(f"WITH {QUALITIES} SELECT unit, channel, row_number() OVER (ORDER BY channel DESC, unit) AS place FROM q")
 def q_units_by_depth(spark, d):
-    from pyspark.sql import Window
-
-    # places of a unit table, whose rows are units
-    deep = units.by_depth(unit_table(spark, d))
-    return deep.select("unit", "channel", F.row_number().over(Window.orderBy(F.col("channel").desc(), "unit")).cast("long").alias("place"))
+    deep = units.by_depth(unit_table(spark, d)).withColumn("up", -F.col("channel"))
+    return numbered(deep, "up", "unit").select("unit", "channel", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH {QUALITIES} SELECT unit, CASE WHEN unit % 10 = 0 THEN 'PkC' ELSE grp END AS label FROM q WHERE unit % 7 <> 0")

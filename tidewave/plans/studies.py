@@ -18,7 +18,7 @@ from tidewave.sources.tables import by_channel, spikes, table
 
 # --- clusters
 
-FEATURES = """f AS (SELECT vec_id AS id, label AS unit, label * 2 + vec_id % 2 AS template, label + s AS channel, [embedding[4 * s + 1]::DOUBLE, embedding[4 * s + 2]::DOUBLE] AS v FROM embeddings, range(0, 16) AS r(s)),
+FEATURES = """f AS (SELECT vec_id AS id, label::BIGINT AS unit, label * 2 + vec_id % 2 AS template, label + s AS channel, [embedding[4 * s + 1]::DOUBLE, embedding[4 * s + 2]::DOUBLE] AS v FROM embeddings, range(0, 16) AS r(s)),
 tm AS (SELECT template, channel, avg(v[1]) AS m FROM f GROUP BY ALL), tp AS (SELECT template, arg_max(channel, (m, -channel)) AS peak FROM tm GROUP BY template), pk AS (SELECT unit, floor(quantile_cont(peak, 0.5))::BIGINT AS channel FROM (SELECT DISTINCT unit, template FROM f) JOIN tp USING (template) GROUP BY unit)"""
 NEAR = FEATURES + """, nb AS (SELECT c.unit AS centre, u.unit, greatest(c.channel - 2, 0) AS low, least(c.channel + 2, (SELECT max(channel) FROM f)) AS high FROM pk c JOIN pk u ON u.channel BETWEEN c.channel - 2 AND c.channel + 2),
 np AS (SELECT centre, id, unit, flatten(list(v ORDER BY channel)) AS x FROM f JOIN nb USING (unit) WHERE channel BETWEEN low AND high GROUP BY centre, id, unit, low, high HAVING count(*) = high - low + 1)"""
@@ -205,7 +205,7 @@ SELECT u1, u2, side, min(bin) AS first, max(bin) AS last, count(*) AS n, round(a
 def q_poisson_modulations(spark, d):
     full = correlograms.dense_bins(correlograms.symmetric(correlograms.half_counts(spikes(spark, d, "click"), HOUR, HALF)), HALF)
     m = significance.poisson_modulations(significance.poisson_test(full, 4, HALF), 0.2, 2, HALF)
-    return m.select("u1", "u2", F.col("side").cast("long").alias("side"), "first", "last", "n", r6("deviation", "deviation"))
+    return m.select("u1", "u2", "side", "first", "last", "n", r6("deviation", "deviation"))
 
 
 # --- bursts, temporal features
