@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +39,23 @@ def pearson_matrix(dense: DataFrame) -> DataFrame:
 
 
 def correlation_p(r: Column, n: Column) -> Column:
-    """Two-sided p of a correlation over n pairs, by Fisher's transformation and the normal distribution."""
-    from tidewave.operators.models import normal_cdf
-
-    z = F.abs(F.atanh(r)) * F.sqrt(n - 3)
-    return 2 * (1 - normal_cdf(z))
+    """Two-sided p of a correlation over n pairs, by Student's law with n - 2 degrees: a sum of n / 2 terms, of which those that are too small to count are left out. Null under 3 pairs."""
+    size, degrees = F.abs(r.cast("double")), n - 2
+    far = 1 - size * size
+    odd = degrees % 2 == 1
+    # term j is the one before times a ratio below far
+    needed = F.when(far <= 0, 0).otherwise(F.ceil((40 - 2 * F.log(F.greatest(size, F.lit(1e-300)))) / -F.log(F.least(far, F.lit(1 - 1e-16)))))
+    terms = F.least(F.floor((degrees - F.when(odd, 3).otherwise(2)) / 2), needed)
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def step(s: Column, j: Column) -> Column:
+        term = s["term"] * far * F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j))
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.when(terms >= 1, F.sequence(F.lit(1), terms.cast("int"))).otherwise(F.array().cast("array<int>")), first, step, lambda s: s["sum"])
+    by_angle = 2 / F.lit(math.pi) * (F.asin(F.least(size, F.lit(1.0))) + F.when(degrees > 1, size * F.sqrt(F.greatest(far, F.lit(0.0))) * series).otherwise(0.0))
+    inside = F.when(odd, by_angle).otherwise(size * series)
+    return F.when(degrees >= 1, F.greatest(1 - inside, F.lit(0.0)))
 
 
 def sync_matrix(dense: DataFrame) -> DataFrame:

@@ -102,20 +102,28 @@ def onset(y: np.ndarray, trough: int, share: float = 0.05) -> int:
     return int(before[-1]) if len(before) else 0
 
 
+def first_pass(y: np.ndarray, level: float) -> int | None:
+    """Of the two samples between which a wave first passes a level the one of the smaller absolute value (of equal ones the first)."""
+    at = passes(y, level)
+    if not len(at):
+        return None
+    return int(at[0]) + int(abs(y[at[0] + 1]) < abs(y[at[0]]))
+
+
 def rise_time(y: np.ndarray) -> int:
-    """Samples between the first passes of the 10th and the 90th percentile of a stretch; 0 without them."""
+    """Samples between the passes of the 10th and the 90th percentile of a rise up to before its peak, y's last sample; 0 without them."""
+    y = y[:-1]
     if len(y) < 3:
         return 0
-    low, high = passes(y, np.percentile(y, 10)), passes(y, np.percentile(y, 90))
-    return int(high[0] - low[0]) if len(low) and len(high) else 0
+    low, high = first_pass(y, np.percentile(y, 10)), first_pass(y, np.percentile(y, 90))
+    return high - low if low is not None and high is not None else 0
 
 
 def fall_time(y: np.ndarray, trough: int) -> int:
     """Samples from where the wave passes a tenth of the trough's value to where it passes nine tenths, after its onset; 0 without them."""
-    start = onset(y, trough)
-    fall = y[start : trough + 1]
-    first, last = passes(fall, 0.1 * y[trough]), passes(fall, 0.9 * y[trough])
-    return int(last[0] - first[0]) if len(first) and len(last) else 0
+    fall = y[onset(y, trough) : trough + 1]
+    first, last = first_pass(fall, 0.1 * y[trough]), first_pass(fall, 0.9 * y[trough])
+    return last - first if first is not None and last is not None else 0
 
 
 def half_fall_slope(y: np.ndarray, trough: int) -> float:
