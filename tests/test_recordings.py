@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_signals_and_rates import signal, whole
-from tidewave.operators import signals, waveforms
+from tidewave.operators import extraction, signals, waveforms
 
 
 def frames(spark, x, size):
@@ -126,3 +126,15 @@ def test_a_far_outlier_keeps_the_rule_of_bins(spark):
     assert rule > 1_000_000
     row = waveforms.missing_spikes(df).first()
     assert row.bins == rule and waveforms.missing_spikes(df, most_bins=1_000).first().bins == 1_000
+
+
+def test_means_of_waves_over_batches(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(u), int(c), None if k % 50 == 7 else rng.normal(size=12 if k % 9 else 8).tolist()) for k, (u, c) in enumerate(rng.integers(0, 3, (400, 2)))]
+    df = spark.createDataFrame([*rows, (9, 9, [])], "unit long, channel long, wave array<double>").repartition(5)
+    got = {(r.unit, r.channel): r for r in extraction.mean_waves(df).collect()}
+    assert set(got) == {(u, c) for u, c, w in rows if w}
+    for (u, c), r in got.items():
+        mine = [w for a, b, w in rows if (a, b) == (u, c) and w]
+        assert r.n == len(mine)
+        assert r.wave == pytest.approx([np.mean([w[i] for w in mine if i < len(w)]) for i in range(12)])

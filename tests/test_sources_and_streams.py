@@ -93,3 +93,14 @@ def test_refractory_stream_equals_batch(spark, tmp_path):
     got = drained(live.refractory(live_rows, 10**7), spark, "kept")
     want = enforce_refractory(batch, 10**7)
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+
+
+def test_json_metadata_of_streams(spark, tmp_path):
+    import json
+
+    from tidewave.sources import arrays
+
+    for k in range(2):
+        (tmp_path / f"r{k}.oebin").write_text(json.dumps({"GUI version": f"0.{k}", "continuous": [{"folder_name": f"probe{i}/", "sample_rate": 30000 / (i + 1), "num_channels": 384 - i, "channels": [{"bit_volts": 0.195}]} for i in range(k + 1)], "events": []}, indent=1))
+    rows = arrays.open_ephys_metadata(spark, str(tmp_path / "*.oebin")).collect()
+    assert sorted((r.version, r.stream, r.rate, r.channels) for r in rows) == [("0.0", "probe0", 30000.0, 384), ("0.1", "probe0", 30000.0, 384), ("0.1", "probe1", 15000.0, 383)]

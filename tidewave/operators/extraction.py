@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,26 @@ def median(a: Column) -> Column:
 
 
 def mean_waves(waves: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """by, n, wave: the mean of each sample over the waves of a unit (or other groups) and channel."""
+    """by, n, wave: the mean of each sample over the waves of a unit (or other groups) and channel.
+
+    Waves are summed in batches first, so what is shuffled is one array for
+    each group and batch. Shorter waves count where they have samples.
+    """
     by = by or ["unit", "channel"]
-    each = waves.select(*by, F.posexplode("wave").alias("i", "v"))
-    means = each.groupBy(*by, "i").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
-    return means.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("wave"))
+    types = dict(waves.dtypes)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf.wave.notna()]
+            if len(pdf):
+                groups = pdf.groupby([*(pdf[c] for c in by), pdf.wave.map(len)], dropna=False, sort=False)
+                rows = [(*key[:-1], len(part), np.stack(part.to_numpy()).sum(axis=0)) for key, part in groups["wave"]]
+                yield pd.DataFrame(rows, columns=[*by, "n", "total"])
+
+    schema = ", ".join(f"`{c}` {types[c]}" for c in by) + ", n long, total array<double>"
+    parts = waves.select(*by, F.col("wave").cast("array<double>").alias("wave")).mapInPandas(sums, schema)
+    each = parts.select(*by, "n", F.posexplode("total").alias("i", "v")).groupBy(*by, "i").agg((F.sum("v") / F.sum("n")).alias("m"), F.sum("n").alias("n"))
+    return each.groupBy(*by).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("wave"))
 
 
 def best_channel(means: DataFrame, by: list[str]) -> DataFrame:

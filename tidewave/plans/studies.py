@@ -14,6 +14,7 @@ from tidewave.operators import clusters, connections, correlograms, extraction,
 from tidewave.operators.waveforms import peak_to_peak
 from tidewave.plans.measures import SIGNAL, flat, recording
 from tidewave.plans.registry import CLICKS, DAY, HALF, ISI, ORACLES, PREDICTED, RUNS, SPIKES, START, query, r6, zscores
+from tidewave.sources import units
 from tidewave.sources.tables import by_channel, spikes, table
 
 # --- clusters
@@ -369,3 +370,9 @@ def q_quality_table_with_features(spark, d):
     f = sparse_features(spark, d)
     e = f.select("unit", "id", (F.col("id") * 1000).alias("t"), F.get("values", F.lit(0)).alias("a")).dropDuplicates(["id"])
     return clusters.quality_table(e, [(-1, 1 << 40)], 1_000_000.0, 2_000, 10, f)
+
+
+@query(f"WITH {SPIKES} SELECT unit % 3 AS dataset, round(max(t) / 1e6 - {START // 1_000_000}, 6) AS seconds FROM s GROUP BY ALL")
+def q_recording_length(spark, d):
+    s = spikes(spark, d).withColumn("dataset", F.col("unit") % 3)
+    return units.recording_length(s, 1_000_000.0).select("dataset", r6(F.col("length") - START // 1_000_000, "seconds"))

@@ -141,3 +141,11 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     """path, key, value of the key=value lines of text files."""
     lines = spark.read.text(path).withColumn("path", F.input_file_name()).filter(F.col("value").contains("="))
     return lines.select("path", F.trim(F.substring_index("value", "=", 1)).alias("key"), F.trim(F.expr("substring(value, instr(value, '=') + 1)")).alias("value"))
+
+
+def open_ephys_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """path, version, stream, rate, channels of the JSON files that describe a recording's continuous streams; a row for each stream."""
+    stream = "struct<folder_name:string,sample_rate:double,num_channels:int>"
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.from_json("value", f"`GUI version` string, continuous array<{stream}>").alias("x"))
+    each = text.select("path", F.col("x.`GUI version`").alias("version"), F.explode("x.continuous").alias("c"))
+    return each.select("path", "version", F.rtrim("c.folder_name", F.lit("/")).alias("stream"), F.col("c.sample_rate").alias("rate"), F.col("c.num_channels").alias("channels"))
