@@ -195,3 +195,19 @@ def test_places_in_order_of_parts(spark):
     assert got == {r[0]: k for k, r in enumerate(want)}
     assert numbered(df.filter(F.col("id") < 0), "v", "id").count() == 0
     assert sorted(r.place for r in numbered(df.filter("v = 0.25"), "v", "id").collect()) == list(range(df.filter("v = 0.25").count()))
+
+
+def test_a_burst_of_all_units_uses_many_tasks(spark):
+    from tidewave.functions.timeline import range_join
+    from tidewave.operators import correlograms
+
+    df = spark.createDataFrame([(i % 50, i, 5_000 + i % 7) for i in range(2_000)] + [(1, 9_000, 90_000), (2, 9_001, 90_003)], "unit long, id long, t long")
+    whole = correlograms.half_counts(df, 10, 9, most=1 << 40).collect()
+    assert sorted(map(tuple, correlograms.half_counts(df, 10, 9, most=100).collect())) == sorted(map(tuple, whole)) and len(whole) > 1_000
+    left, right = df.select("unit", "id", F.col("t").alias("t1")), df.select(F.col("unit").alias("u2"), F.col("t").alias("t2"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = lambda most: range_join(left, right, 100, most=most).groupBy(F.spark_partition_id()).count().count()
+        assert tasks(100) > 4 >= 2 >= tasks(1 << 40)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

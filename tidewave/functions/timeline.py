@@ -25,17 +25,37 @@ def gap(unit: str = "unit", t: str = "t", *ties: str) -> Column:
     return F.col(t) - F.lag(t).over(in_order(unit, t, *ties))
 
 
-def range_join(left: DataFrame, right: DataFrame, reach: int, on: Sequence[str] = (), t_left: str = "t1", t_right: str = "t2") -> DataFrame:
+def in_parts(left: DataFrame, right: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a key, for an equi-join, cut into parts of about most left rows.
+
+    The left rows of a key with more are dealt to parts by a hash of the row,
+    its right rows go to each part. Rows are counted first; the keys of several
+    parts are at most one for each most left rows. The new key is one long, so
+    that it costs a join no more: 1,024 of the old one and the part, of which
+    there are so many at most. The old one is below 2^53.
+    """
+    heavy = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(key, F.least(F.ceil(F.col("_n") / most), F.lit(1024)).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    a = left.join(heavy, key, "left").withColumn(key, F.col(key) * 1024 + F.pmod(F.xxhash64(*left.columns), parts)).drop("_parts")
+    b = right.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return a, b.withColumn(key, F.col(key) * 1024 + F.col("_part")).drop("_parts", "_part")
+
+
+def range_join(left: DataFrame, right: DataFrame, reach: int, on: Sequence[str] = (), t_left: str = "t1", t_right: str = "t2", most: int | None = None) -> DataFrame:
     """Pairs with 0 <= t_right - t_left < reach, and equal ``on`` columns.
 
     An equi-join on time buckets as wide as the reach: a left row has its own
     bucket, a right row that and the one before, so each pair meets once. Work
     grows with the rows near each other, not with the product of the sides.
+    most: buckets with more left rows are joined in parts (in_parts); for joins
+    on time alone, where a burst of all units is one bucket.
     """
     bucket = lambda t: F.floor(F.col(t) / F.lit(reach))
     a = left.withColumn("_bucket", bucket(t_left))
     b = right.withColumn("_bucket", F.explode(F.array(bucket(t_right), bucket(t_right) - 1)))
     d = F.col(t_right) - F.col(t_left)
+    if most is not None:
+        a, b = in_parts(a, b, "_bucket", most)
     return a.join(b, [*on, "_bucket"]).drop("_bucket").filter((d >= 0) & (d < reach))
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidewave.functions.timeline import as_of, range_join
 
 
-def half_counts(df: DataFrame, width: int, half: int, same_unit: bool = False) -> DataFrame:
+def half_counts(df: DataFrame, width: int, half: int, same_unit: bool = False, most: int = 20_000) -> DataFrame:
     """u1, u2, bin, n: pairs of a spike of u1 and a later one of u2, by floor(gap / width) from 0 to half.
 
     Equal times are ordered by unit, then id. same_unit: autocorrelograms
-    only, joined on the unit too.
+    only, joined on the unit too; else a stretch of the window's length with
+    more than most spikes is joined in parts.
     """
     left = df.select(F.col("unit").alias("u1"), F.col("t").alias("t1"), F.col("id").alias("i1"))
     right = df.select(F.col("unit").alias("u2"), F.col("t").alias("t2"), F.col("id").alias("i2"))
@@ -20,7 +21,7 @@ def half_counts(df: DataFrame, width: int, half: int, same_unit: bool = False) -
     if same_unit:
         pairs = range_join(left.withColumn("unit", F.col("u1")), right.withColumn("unit", F.col("u2")), reach, ["unit"])
     else:
-        pairs = range_join(left, right, reach)
+        pairs = range_join(left, right, reach, most=most)
     later = (F.col("t2") > F.col("t1")) | ((F.col("t2") == F.col("t1")) & ((F.col("u2") > F.col("u1")) | ((F.col("u2") == F.col("u1")) & (F.col("i2") > F.col("i1")))))
     return pairs.filter(later).groupBy("u1", "u2", F.floor((F.col("t2") - F.col("t1")) / width).alias("bin")).agg(F.count("*").alias("n"))
 
@@ -94,7 +95,7 @@ def correlation_index(df: DataFrame, dt: int, length: int) -> DataFrame:
     """u1 < u2: pairs at most dt apart, over those that chance would give."""
     left = df.select(F.col("unit").alias("u1"), F.col("t").alias("t1"))
     right = df.select(F.col("unit").alias("u2"), F.col("t").alias("t2"))
-    near = range_join(left.withColumn("t1", F.col("t1") - dt), right, 2 * dt + 1).filter("u1 < u2").groupBy("u1", "u2").agg(F.count("*").alias("pairs"))
+    near = range_join(left.withColumn("t1", F.col("t1") - dt), right, 2 * dt + 1, most=20_000).filter("u1 < u2").groupBy("u1", "u2").agg(F.count("*").alias("pairs"))
     n = df.groupBy("unit").agg(F.count("*").alias("k"))
     near = near.join(n.select(F.col("unit").alias("u1"), F.col("k").alias("k1")), "u1").join(n.select(F.col("unit").alias("u2"), F.col("k").alias("k2")), "u2")
     return near.select("u1", "u2", (F.col("pairs") * F.lit(float(length)) / (F.col("k1") * F.col("k2") * F.lit(2.0 * dt))).alias("ci"))
