@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.functions.timeline import window_join
+from tidewave.operators.neighbours import cofiring_synchrony
 
 
 def aligned(events: DataFrame, df: DataFrame, low: int, high: int, width: int) -> DataFrame:
@@ -49,6 +50,23 @@ def aligned_values(events: DataFrame, df: DataFrame, low: int, high: int, width:
     return aligned(events, df, low, high, width).groupBy("unit", "bin").agg(F.avg(value).alias("mean_value"))
 
 
+def population_synchrony_trials(events: DataFrame, trains: DataFrame, periods: DataFrame, low: int, high: int, width: int, tiles: int, half: int, stretch: int) -> DataFrame:
+    """event_id, bin, n: the mean of cofiring_synchrony at so many moments of each bin around each event(event_id, event), dense over bins.
+
+    A moment at which no train fires counts for nothing; a bin of such moments
+    is null. Spikes outside the windows around events don't count. width is a
+    multiple of tiles; stretch is cofiring_synchrony's width.
+    """
+    if width % tiles or half * 2 * tiles < width:
+        raise ValueError("the moments must be whole ticks, and no further apart than spikes count")
+    step = width // tiles
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((high - low) // step - 1).cast("long")))
+    moments = events.select("event_id", "event", k.alias("k")).select(F.struct("event_id", "k").alias("id"), (F.col("event") + low + F.col("k") * step).alias("t"))
+    near = window_join(events.select("event"), trains.select("unit", "t"), low, high).select("unit", "t").distinct()
+    fractions = cofiring_synchrony(moments, near, periods, half, stretch)
+    return fractions.groupBy(F.col("id.event_id").alias("event_id"), F.floor(F.col("id.k") / tiles).alias("bin")).agg(F.avg("fraction").alias("n"))
+
+
 def joint_histogram(x: DataFrame, y: DataFrame) -> DataFrame:
     """u, v, jpsth: correlation over trials of bin u of x with bin v of y; both dense trials(event_id, bin, n)."""
     a = x.select("event_id", F.col("bin").alias("u"), F.col("n").cast("double").alias("p"))

@@ -83,6 +83,30 @@ def noise_ratio(waves: DataFrame, noise: DataFrame) -> DataFrame:
     return ptp.join(sd, "unit").select("unit", snr.alias("snr"), (20 * F.log10(snr)).alias("snr_db"))
 
 
+def template_ratio(waves: DataFrame, noise: DataFrame, half: int = 3) -> DataFrame:
+    """unit, snr: by how many deviations of noise a unit's waves lie above it, along the unit's mean wave on the channels at most half from its largest.
+
+    waves and noise: (unit, id, channel, wave of the same length); noise is of
+    stretches near the spikes (moved_times). Null where noise doesn't vary.
+    """
+    means = mean_waves(waves)
+    peaks = best_channel(means, ["unit"]).select("unit", F.col("channel").alias("_peak"))
+    used = means.join(peaks, "unit").filter(F.abs(F.col("channel") - F.col("_peak")) <= half).select("unit", "channel", F.col("wave").alias("_mean"))
+
+    def along(w: DataFrame) -> DataFrame:
+        dot = F.aggregate(F.zip_with("wave", "_mean", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        return w.join(used, ["unit", "channel"]).groupBy("unit", "id").agg(F.sum(dot).alias("v"))
+
+    signal = along(waves).groupBy("unit").agg(F.avg("v").alias("s"))
+    rest = along(noise).groupBy("unit").agg(F.avg("v").alias("n"), F.stddev_pop("v").alias("d"))
+    return signal.join(rest, "unit").select("unit", F.when(F.col("d") > 0, (F.col("s") - F.col("n")) / F.col("d")).alias("snr"))
+
+
+def moved_times(spikes: DataFrame, reach: int, seed: int = 0) -> DataFrame:
+    """The spikes (unit, id, t) at times from t - reach to t + reach - 1, by a hash of unit, id and seed: where to look for noise."""
+    return spikes.withColumn("t", F.col("t") + F.pmod(F.xxhash64("unit", "id", F.lit(seed)), F.lit(2 * reach)) - reach)
+
+
 def drift_matched(waves: DataFrame, batch: int = 10, most: int = 20, reach: int = 10, high: float = 0.95) -> DataFrame:
     """unit, channel, batches, wave: the mean over batches of spikes that were recorded alike.
 

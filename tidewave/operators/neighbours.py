@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.functions.timeline import as_of
+from tidewave.functions.timeline import as_of, window_join
+from tidewave.operators.periods import inside
 
 
 def cross_intervals(a: DataFrame, b: DataFrame, direction: int, on: Sequence[str] = ("unit",)) -> DataFrame:
@@ -39,9 +40,33 @@ def population_synchrony(a: DataFrame, trains: DataFrame, half: int) -> DataFram
     Each spike meets the trains' spikes near it by a range join, so the work
     doesn't grow with spikes times trains.
     """
-    from tidewave.functions.timeline import window_join
-
     n = trains.agg(F.count_distinct("unit").alias("trains"))
     hits = window_join(a.select("id", F.col("t").alias("event")), trains.select(F.col("unit").alias("train"), "t"), -half, half)
     some = hits.groupBy("id").agg(F.count_distinct("train").alias("near"))
     return a.select("id").join(some, "id", "left").join(F.broadcast(n)).select("id", (F.coalesce("near", F.lit(0)) / F.col("trains")).alias("fraction"))
+
+
+def firing_trains(a: DataFrame, periods: DataFrame, width: int) -> DataFrame:
+    """id, trains: how many periods(unit, start, stop), both ends in, hold each row's t; those of a unit are disjoint.
+
+    A sweep over edges and rows in stretches of width ticks, each moved on by
+    the edges before it, so only the stretches' sums meet in one task.
+    """
+    edge = lambda t, d, o: periods.select(F.col(t).alias("t"), F.lit(d).alias("d"), F.lit(o).alias("o"), F.lit(None).cast(dict(a.dtypes)["id"]).alias("id"))
+    rows = a.select("t", F.lit(0).alias("d"), F.lit(1).alias("o"), "id")
+    sweep = edge("start", 1, 0).unionByName(rows).unionByName(edge("stop", -1, 2)).withColumn("stretch", F.floor(F.col("t") / width))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sweep.groupBy("stretch").agg(F.sum("d").alias("s")).select("stretch", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("carried"))
+    own = F.sum("d").over(Window.partitionBy("stretch").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0))
+    return sweep.withColumn("own", own).filter("o = 1").join(carried, "stretch").select("id", (F.col("own") + F.col("carried")).cast("long").alias("trains"))
+
+
+def cofiring_synchrony(a: DataFrame, trains: DataFrame, periods: DataFrame, half: int, width: int) -> DataFrame:
+    """id, fraction: of the trains that are in one of their firing periods(unit, start, stop) at each row of a(id, t), those with a spike at most half ticks away; null where none is.
+
+    width: see firing_trains, some thousand times as long as spikes are apart.
+    """
+    firing = firing_trains(a, periods, width)
+    near = window_join(a.select("id", F.col("t").alias("event")), trains.select("unit", "t"), -half, half).select("id", "unit", F.col("event").alias("t")).distinct()
+    hits = inside(near, periods).groupBy("id").agg(F.count("*").alias("near"))
+    return firing.join(hits, "id", "left").select("id", F.when(F.col("trains") > 0, F.coalesce("near", F.lit(0)) / F.col("trains")).alias("fraction"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.operators.linear import whitening
+
 
 def chunk_starts(signal: DataFrame) -> DataFrame:
     """channel, chunk, start, n: the place of each chunk's first sample in its channel, and its samples. Only sizes are put in order."""
@@ -171,6 +173,16 @@ def _root(m: np.ndarray, epsilon: float) -> np.ndarray:
     return v @ np.diag(1 / np.sqrt(np.maximum(w, 0) + epsilon)) @ v.T
 
 
+def _square(covariances: DataFrame) -> np.ndarray:
+    rows = covariances.collect()
+    names = sorted({r.c1 for r in rows} | {r.c2 for r in rows})
+    at = {c: i for i, c in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in rows:
+        m[at[r.c1], at[r.c2]] = m[at[r.c2], at[r.c1]] = r.covariance
+    return m
+
+
 def whitening_matrix(signal: DataFrame, epsilon: float = 1e-6, near: int | None = None, channels: int | None = None) -> np.ndarray:
     """The symmetric inverse root of the channels' covariance, whose size is that of the probe, not of the recording.
 
@@ -178,21 +190,44 @@ def whitening_matrix(signal: DataFrame, epsilon: float = 1e-6, near: int | None
     channels closest to it in order (the lower of equals first), and is 0 for
     others, which is more robust. channels as in common_average_removed.
     """
-    rows = covariance(signal, channels).collect()
-    names = sorted({r.c1 for r in rows} | {r.c2 for r in rows})
-    at = {c: i for i, c in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for r in rows:
-        m[at[r.c1], at[r.c2]] = m[at[r.c2], at[r.c1]] = r.covariance
+    return whitening_of(covariance(signal, channels), epsilon, near)
+
+
+def whitening_of(covariances: DataFrame, epsilon: float = 1e-6, near: int | None = None) -> np.ndarray:
+    """whitening_matrix of a table (c1, c2, covariance), such as that of median_covariance."""
+    m = _square(covariances)
     if near is None:
         return _root(m, epsilon)
     out = np.zeros_like(m)
-    for i in range(len(names)):
-        closest = np.argsort(np.abs(np.arange(len(names)) - i), kind="stable")[: near + 1]
+    for i in range(len(m)):
+        closest = np.argsort(np.abs(np.arange(len(m)) - i), kind="stable")[: near + 1]
         out[i, closest] = _root(m[np.ix_(closest, closest)], epsilon)[0]
     return out
 
 
+def median_covariance(signal: DataFrame, every: int = 1) -> DataFrame:
+    """c1 <= c2, covariance: the median over every so many-th chunk of the chunk's own, of samples less the mean over channels at their moment. Odd chunks don't sway it."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("channel")
+        x = np.stack([np.asarray(s, float) for s in pdf.samples])
+        x = x - x.mean(axis=0)
+        i, j = np.triu_indices(len(x))
+        name = pdf.channel.to_numpy()
+        return pd.DataFrame({"c1": name[i], "c2": name[j], "v": (x @ x.T / max(x.shape[1], 1))[i, j]})
+
+    each = signal.filter((F.col("chunk") % every == 0) & (F.size("samples") > 0)).groupBy("chunk").applyInPandas(run, "c1 long, c2 long, v double")
+    return each.groupBy("c1", "c2").agg(F.percentile("v", F.lit(0.5)).alias("covariance"))
+
+
+def whitened(signal: DataFrame, method: str = "zca", epsilon: float = 1e-5) -> DataFrame:
+    """The signal less its channels' means, under a whitening matrix (linear.whitening) of its covariance; of the methods on axes, channel k is the axis of the k-th largest variance."""
+    matrix = whitening(_square(covariance(signal)), method, epsilon)
+    sums = signal.groupBy("channel").agg((F.sum(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)) / F.sum(F.size("samples"))).alias("m"))
+    centred = signal.join(sums, "channel").select("channel", "chunk", F.transform("samples", lambda x: x - F.col("m")).alias("samples"))
+    return mixed(centred, matrix)
+
+
 def mixed(signal: DataFrame, matrix: np.ndarray, channels: int | None = None) -> DataFrame:
     """Channels, in order of number, under a matrix: whitened, referenced, filtered along the probe or projected. channels as in common_average_removed."""
     return _by_matrix(signal, channels, lambda x: matrix @ x)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewave.functions.timeline import numbered
+
 
 def unsorted(spikes: DataFrame) -> DataFrame:
     """unit, group of every unit that has spikes."""
@@ -113,3 +115,21 @@ def union_of_stores(stores: list[DataFrame]) -> DataFrame:
 def connected_pairs(pairs: DataFrame, p: float) -> DataFrame:
     """a, b, connected: whether a pair's least p value of any test is under p. pairs(a, b, p)."""
     return pairs.groupBy("a", "b").agg((F.min("p") < p).alias("connected"))
+
+
+def split_features(features: DataFrame, target: str, dropped: list[str], bad: DataFrame | None = None, key: str = "unit") -> tuple[DataFrame, DataFrame]:
+    """(key and features, key and target) without the dropped columns and the bad rows(key)."""
+    rows = features if bad is None else features.join(bad.select(key), key, "left_anti")
+    return rows.drop(target, *dropped), rows.select(key, target)
+
+
+def dense_labels(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with place: the rank of their label among the distinct ones of 0 and more, from 0; null for other labels."""
+    known = numbered(rows.filter(F.col(column) >= 0).select(column).distinct(), column)
+    return rows.join(known, column, "left")
+
+
+def masked_rows(x: Column, mask: Column) -> Column:
+    """Of each inner array of x the values where that of mask is true, which may leave rows of different lengths."""
+    pair = lambda v, k: F.struct(v.alias("v"), k.alias("k"))
+    return F.zip_with(x, mask, lambda a, m: F.transform(F.filter(F.zip_with(a, m, pair), lambda p: p["k"]), lambda p: p["v"]))
