@@ -1,7 +1,7 @@
 """Steps whose work grows with the input alone, against brute force."""
 
 import numpy as np
-from tidewave.operators import peaks, quality
+from tidewave.operators import linear, neighbours, peaks, quality
 
 
 def test_mass_beyond_takes_distances_to_nine_places():
@@ -17,3 +17,29 @@ def test_amplitude_cutoff_of_a_sparse_unit(spark):
 
 def test_no_peaks_in_nothing():
     assert peaks.spaced_peaks(np.zeros(0), 0, 1).tolist() == []
+
+
+def test_recomposed_needs_no_expression_for_each_coordinate(spark):
+    x = np.random.default_rng(3).normal(0, 1, (50, 40))
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, x array<double>")
+    back = linear.recomposed(*linear.decomposed(points))
+    assert len(back._jdf.queryExecution().toString()) < 20_000
+    got = {(r.id, r.k): r.x for r in back.collect()}
+    assert len(got) == x.size and all(np.isclose(got[i, k], x[i, k]) for i in range(50) for k in range(40))
+
+
+def test_synchrony_joins_no_spikes_that_are_near(spark):
+    rng = np.random.default_rng(4)
+    trains = [(int(u), int(t)) for u, t in zip(rng.integers(0, 9, 400), rng.integers(0, 900, 400), strict=True)]
+    at = [(i, int(t)) for i, t in enumerate(rng.integers(-30, 930, 90))] + [(90, None)]
+    a, df = spark.createDataFrame(at, "id long, t long"), spark.createDataFrame([*trains, (None, 5), (3, None)], "unit long, t long")
+    out = neighbours.population_synchrony(a, df, 3)
+    assert "explode" not in out._jdf.queryExecution().toString()
+    got = {r.id: r.fraction for r in out.collect()}
+    assert got == {i: len({u for u, x in trains if t is not None and abs(x - t) <= 3}) / 9 for i, t in at}
+
+
+def test_common_periods(spark):
+    ps = lambda *x: spark.createDataFrame([(1, a, b) for a, b in x], "unit long, start long, stop long")
+    got = neighbours.common(ps((0, 5), (7, 9), (20, 30)), ps((5, 7), (8, 8), (9, 12), (18, 22), (22, 25), (31, 40)))
+    assert sorted((r.start, r.stop) for r in got.collect()) == [(5, 5), (7, 7), (8, 8), (9, 9), (20, 25)]

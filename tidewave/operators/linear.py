@@ -50,6 +50,19 @@ def decomposed(points: DataFrame, most: int | None = None) -> tuple[DataFrame, n
     return points.select("id", "x").mapInPandas(left, f"id {kind}, u array<double>"), s, v
 
 
+def recomposed(u: DataFrame, s: np.ndarray, v: np.ndarray) -> DataFrame:
+    """id, k, x: the coordinates of the points that decomposed took apart, a row for each; a matrix product for each batch."""
+    back, d = (v * s).T, len(v)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf.u) @ back
+                yield pd.DataFrame({"id": np.repeat(pdf.id.to_numpy(), d), "k": np.tile(np.arange(d), len(pdf)), "x": x.ravel()})
+
+    return u.mapInPandas(run, f"id {dict(u.dtypes)['id']}, k long, x double")
+
+
 def whitening(covariance: np.ndarray, method: str = "zca", epsilon: float = 1e-5) -> np.ndarray:
     """A matrix that takes centred channels to uncorrelated ones of variance 1.
 

@@ -48,10 +48,7 @@ def q_count_fractiles(spark, d):
 @query("SELECT vec_id AS id, k, round(x, 6) + 0 AS x FROM (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(embedding::DOUBLE[]) AS x FROM embeddings)")
 def q_recomposed(spark, d):
     points = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
-    u, s, v = linear.decomposed(points)
-    back = (v * s).T
-    coordinate = lambda k: sum((F.get("u", F.lit(i)) * float(back[i, k]) for i in range(len(s))), F.lit(0.0))
-    return u.select("id", F.posexplode(F.array(*(coordinate(k) for k in range(back.shape[1])))).alias("k", "x")).select("id", F.col("k").cast("long").alias("k"), (F.round("x", 6) + 0).alias("x"))
+    return linear.recomposed(*linear.decomposed(points)).select("id", "k", (F.round("x", 6) + 0).alias("x"))
 
 
 def _whitened(spark, d, method: str) -> DataFrame:
