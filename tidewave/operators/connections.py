@@ -18,7 +18,11 @@ def modulation_features(bins: DataFrame, value: str, width_ms: float, least: int
     first bin that has it; entropy is that of heights under the normal law.
     edges: also runs that touch an end of the correlogram.
     """
-    run = islands(bins, "side", ["u1", "u2"], ["bin"]).filter("side <> 0")
+    return features_of(islands(bins, "side", ["u1", "u2"], ["bin"]).filter("side <> 0"), value, width_ms, least, half, edges)
+
+
+def features_of(run: DataFrame, value: str, width_ms: float, least: int, half: int, edges: bool = False) -> DataFrame:
+    """modulation_features of bins that are on a side, with the number of their run. run(u1, u2, bin, value, side, run)."""
     x = F.col(value)
     best = F.max(F.struct(F.abs(x).alias("h"), (-F.col("bin")).alias("b")))
     entropy = F.avg(0.5 * x * x + 0.5 * F.log(F.lit(2 * math.pi)))
