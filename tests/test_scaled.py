@@ -1,7 +1,10 @@
 """Steps whose work grows with the input alone, against brute force."""
 
+from collections import Counter
+
 import numpy as np
-from tidewave.operators import linear, neighbours, peaks, quality
+import pytest
+from tidewave.operators import correlograms, linear, models, neighbours, peaks, quality
 
 
 def test_mass_beyond_takes_distances_to_nine_places():
@@ -43,3 +46,37 @@ def test_common_periods(spark):
     ps = lambda *x: spark.createDataFrame([(1, a, b) for a, b in x], "unit long, start long, stop long")
     got = neighbours.common(ps((0, 5), (7, 9), (20, 30)), ps((5, 7), (8, 8), (9, 12), (18, 22), (22, 25), (31, 40)))
     assert sorted((r.start, r.stop) for r in got.collect()) == [(5, 5), (7, 7), (8, 8), (9, 9), (20, 25)]
+
+
+def test_correlograms_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(u), i, int(t)) for i, (u, t) in enumerate(zip(rng.integers(0, 7, 300), [*rng.integers(-900, 900, 250), *rng.integers(40, 44, 50)], strict=True))]
+    want = Counter()
+    for u1, i1, t1 in rows:
+        for u2, i2, t2 in rows:
+            if 0 <= t2 - t1 < 40 and (t2, u2, i2) > (t1, u1, i1):
+                want[u1, u2, (t2 - t1) // 10] += 1
+    df = spark.createDataFrame(rows, "unit long, id long, t long")
+    monkeypatch.setattr(correlograms, "CELLS", 32)  # blocks of two units
+    monkeypatch.setattr(correlograms, "PAIRS", 7)
+    for most in (1_000, 20):  # 20: with time cut and bursts in parts
+        half = correlograms.half_counts(df, 10, 3, most=most)
+        assert "Join" not in half._jdf.queryExecution().optimizedPlan().toString() or most == 20
+        assert {(r.u1, r.u2, r.bin): r.n for r in half.collect()} == want
+        dense = {(r.u1, r.u2, r.bin): r.n for r in correlograms.dense_bins(correlograms.symmetric(half), 3).collect()}
+        arrays = correlograms.symmetric_arrays(df, 10, 3, most)
+        assert {(r.u1, r.u2, r.bin): r.n for r in correlograms.exploded(arrays, 3).collect()} == dense
+
+
+def test_scores_and_runs_of_arrays(spark):
+    rng = np.random.default_rng(6)
+    arrays = spark.createDataFrame([(i, i + 1, rng.poisson(2, 25).tolist()) for i in range(30)] + [(99, 99, [1] * 25)], "u1 long, u2 long, counts array<long>")
+    z = correlograms.array_zscores(arrays, 12)
+    rows = correlograms.exploded(arrays, 12)
+    want = correlograms.edge_zscore(rows, 12)
+    got = {(r.u1, r.bin): r.z for r in correlograms.exploded(z, 12).collect()}
+    assert got == {(r.u1, r.bin): pytest.approx(r.z) for r in want.collect()} and len(got) == 31 * 25
+    by = lambda df: sorted((r.u1, r.first, r.last, r.n, r.at) for r in df.collect())
+    assert by(models.modulations_of(correlograms.side_runs(z, 12, 1.0), 2)) == by(models.modulations(want, 1.0, 2))
+    ratio = {r.u1: r.ratio for r in correlograms.array_ratio(arrays, 12, 1).collect()}
+    assert ratio == {r.u1: pytest.approx(r.ratio) for r in correlograms.synchrony_ratio(rows, 12, 1).collect()}
