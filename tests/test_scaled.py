@@ -80,3 +80,14 @@ def test_scores_and_runs_of_arrays(spark):
     assert by(models.modulations_of(correlograms.side_runs(z, 12, 1.0), 2)) == by(models.modulations(want, 1.0, 2))
     ratio = {r.u1: r.ratio for r in correlograms.array_ratio(arrays, 12, 1).collect()}
     assert ratio == {r.u1: pytest.approx(r.ratio) for r in correlograms.synchrony_ratio(rows, 12, 1).collect()}
+
+
+def test_near_pairs_join_no_spikes(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(u), int(t)) for u, t in zip(rng.integers(0, 6, 200), rng.integers(-300, 300, 200), strict=True)]
+    want = Counter((u, v) for u, s in rows for v, t in rows if u < v and abs(s - t) <= 5)
+    df = spark.createDataFrame(rows, "unit long, t long")
+    near = correlograms.near_pairs(df, 5)
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    for one in (near, correlograms.near_pairs(df, 5, 20)):
+        assert {(r.u1, r.u2): r.pairs for r in one.collect()} == want

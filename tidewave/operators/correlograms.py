@@ -276,11 +276,26 @@ def by_reference(df1: DataFrame, df2: DataFrame, width: int, half: int) -> DataF
     return range_join(left, right, (half + 1) * width, ["unit"]).groupBy("id", F.floor((F.col("t2") - F.col("t1")) / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
+def near_pairs(df: DataFrame, dt: int, most: int = 200_000) -> DataFrame:
+    """u1 < u2, pairs: how many of their spikes are at most dt apart; by blocks of units, as counted_pairs."""
+    left, right, cut = _cells(df.select("unit", "t", F.lit(0).alias("id")), dt + 1, 2, most, True)
+
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u1": [], "u2": [], "pairs": []})
+        n1, n2, n = _table(a, b, dt + 1, 0, True)
+        u1, u2, n = np.repeat(n1, len(n2)), np.tile(n2, len(n1)), n.sum(axis=1)
+        some = np.flatnonzero((u1 < u2) & (n > 0))
+        return pd.DataFrame({"u1": u1[some], "u2": u2[some], "pairs": n[some]})
+
+    kind = dict(df.dtypes)["unit"]
+    out = left.groupBy("_c1").cogroup(right.groupBy("_c2")).applyInPandas(count, f"u1 {kind}, u2 {kind}, pairs long")
+    return out.groupBy("u1", "u2").agg(F.sum("pairs").alias("pairs")) if cut else out
+
+
 def correlation_index(df: DataFrame, dt: int, length: int) -> DataFrame:
     """u1 < u2: pairs at most dt apart, over those that chance would give."""
-    left = df.select(F.col("unit").alias("u1"), F.col("t").alias("t1"))
-    right = df.select(F.col("unit").alias("u2"), F.col("t").alias("t2"))
-    near = range_join(left.withColumn("t1", F.col("t1") - dt), right, 2 * dt + 1, most=20_000).filter("u1 < u2").groupBy("u1", "u2").agg(F.count("*").alias("pairs"))
+    near = near_pairs(df, dt)
     n = df.groupBy("unit").agg(F.count("*").alias("k"))
     near = near.join(n.select(F.col("unit").alias("u1"), F.col("k").alias("k1")), "u1").join(n.select(F.col("unit").alias("u2"), F.col("k").alias("k2")), "u2")
     return near.select("u1", "u2", (F.col("pairs") * F.lit(float(length)) / (F.col("k1") * F.col("k2") * F.lit(2.0 * dt))).alias("ci"))
