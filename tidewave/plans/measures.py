@@ -208,9 +208,9 @@ def q_best_channel(spark, d):
 
 @query()
 def q_drift_matched(spark, d):
-    s = spike_places(spark, d)
-    w = extraction.snippets(s, recording(spark, d), 16, 6, 24).join(s.select("id", "t"), "id")
-    return extraction.drift_matched(w)
+    r = recording(spark, d)
+    s = extraction.time_batches(extraction.in_recording(spike_places(spark, d), r, 16, 6, 24))
+    return extraction.drift_matched(extraction.snippets(s, r, 16, 6, 24, ["batch"]))
 
 
 @query(f"WITH {WAVE}, v AS (SELECT unit, unnest(w) AS x, unnest(range(0, 64)) AS i FROM w), o AS (SELECT o, exp(-0.5 * (o / 2.0::DOUBLE) ^ 2) AS k FROM range(-8, 9) AS r(o)) SELECT a.unit, a.i, round(sum(b.x * k) / (SELECT sum(k) FROM o), 6) AS x FROM v a CROSS JOIN o JOIN v b ON b.unit = a.unit AND b.i = CASE WHEN a.i + o < 0 THEN -(a.i + o) - 1 WHEN a.i + o > 63 THEN 127 - (a.i + o) ELSE a.i + o END GROUP BY ALL")
