@@ -1,7 +1,8 @@
 """Steps that must stay bounded as tables grow, against brute force or the plainer way."""
 
 import numpy as np
-from tidewave.operators import extraction
+import pytest
+from tidewave.operators import extraction, waveforms
 
 
 def test_waves_are_cut_without_a_shuffle_of_parts(spark):
@@ -43,3 +44,19 @@ def test_batches_before_the_waves_are_those_after(spark):
     w = extraction.snippets(extraction.time_batches(extraction.in_recording(s, signal, 16, 6, 24), 4), signal, 16, 6, 24, ["batch"])
     a, b = ({(r.unit, r.channel): r for r in d.collect()} for d in (after, extraction.drift_matched(w, 4)))
     assert a and set(a) == set(b) and all(a[k].batches == b[k].batches and np.allclose(a[k].wave, b[k].wave) for k in a)
+
+
+def test_gaussians_fitted_together_are_those_fitted_alone():
+    rng = np.random.default_rng(4)
+    rows = [rng.poisson(np.maximum(30 * np.exp(-0.5 * ((np.arange(size) - rng.uniform(1, size)) / 2) ** 2), 0.1)) for size in rng.integers(4, 12, 60)]
+    wide = np.zeros((60, 12))
+    for row, n in zip(wide, rows, strict=True):
+        row[: len(n)] = n
+    place, size = np.arange(12), np.array([len(n) for n in rows])
+    x = np.tile(place + 0.5, (60, 1))
+    used = (place < size[:, None]) & (x >= 1)
+    mode = wide.argmax(axis=1) + 0.5
+    mean, sd = waveforms.truncated_gaussians(x, wide, used, wide.max(axis=1), mode, np.full(60, 2.0))
+    alone = [waveforms.truncated_gaussian(np.arange(len(n)) + 0.5, n, n.max(), m, 2.0, 1.0)[1:] for n, m in zip(rows, mode, strict=True)]
+    same = np.isclose(mean, [a[0] for a in alone], rtol=1e-6, atol=1e-6) & np.isclose(sd, [a[1] for a in alone], rtol=1e-6, atol=1e-6)
+    assert same.mean() == pytest.approx(1.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+CELLS = 1 << 18  # places of histograms that are fitted at once
+
 
 def peak_to_peak(wave: Column) -> Column:
     return F.array_max(wave) - F.array_min(wave)
@@ -201,14 +204,66 @@ def truncated_gaussian(x: np.ndarray, n: np.ndarray, height: float, mean: float,
     return float(p[0]), float(p[1]), abs(float(p[2]))
 
 
+def truncated_gaussians(x: np.ndarray, n: np.ndarray, used: np.ndarray, height: np.ndarray, mean: np.ndarray, sd: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """mean and sd of truncated_gaussian for each row of x and n, at the places that are used; rows take their own steps."""
+    p, damp = np.stack([height, mean, sd], axis=1).astype(float), np.full(len(x), 1e-3)
+    out = p.copy()
+    row = np.arange(len(x))
+    n = np.where(used, n, 0.0)
+
+    def model(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(all="ignore"):
+            z = (x - p[:, 1:2]) / p[:, 2:3]
+            g = np.exp(-0.5 * z * z) * used
+            g[p[:, 2] == 0] = np.nan
+            return p[:, :1] * g, np.stack([g, p[:, :1] * g * z / p[:, 2:3], p[:, :1] * g * z * z / p[:, 2:3]], axis=2)
+
+    y, j = model(p)
+    error = ((n - y) ** 2).sum(axis=1)
+    for _ in range(steps):
+        if not len(row):
+            break
+        a, b = np.einsum("gki,gkj->gij", j, j), np.einsum("gki,gk->gi", j, n - y)
+        a[:, range(3), range(3)] += damp[:, None] * np.maximum(a[:, range(3), range(3)], 1e-12)
+        step, fault = _solved(a, b)
+        q = p + step
+        y2, j2 = model(q)
+        with np.errstate(all="ignore"):
+            error2 = np.where(q[:, 2] != 0, ((n - y2) ** 2).sum(axis=1), np.inf)
+            better = ~fault & (error2 <= error)
+            done = fault | (better & (error - error2 <= 1e-12 * np.maximum(error, 1e-12)))
+        p, y, j = np.where(better[:, None], q, p), np.where(better[:, None], y2, y), np.where(better[:, None, None], j2, j)
+        error, damp = np.where(better, error2, error), np.where(better, damp / 3, damp * 4)
+        done |= ~better & (damp > 1e12)
+        out[row[done]] = p[done]
+        go = ~done
+        row, x, n, used, p, damp, y, j, error = (v[go] for v in (row, x, n, used, p, damp, y, j, error))
+    out[row] = p
+    return out[:, 1], np.abs(out[:, 2])
+
+
+def _solved(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The solutions of systems, and which have none."""
+    try:
+        return np.linalg.solve(a, b[:, :, None])[:, :, 0], np.zeros(len(a), bool)
+    except np.linalg.LinAlgError:
+        out, fault = np.zeros_like(b), np.zeros(len(a), bool)
+        for k in range(len(a)):
+            try:
+                out[k] = np.linalg.solve(a[k], b[k])
+            except np.linalg.LinAlgError:
+                fault[k] = True
+        return out, fault
+
+
 def missing_spikes(df: DataFrame, by: list[str] | None = None, least: int = 16, least_bins: int = 4, most_bins: int | None = 10_000_000) -> DataFrame:
     """by, n, bins, missing: the share of a group's amplitudes under its threshold, by a truncated gaussian fitted to their histogram.
 
     df(*by, a); by: unit if not given. Bins follow Freedman and Diaconis; the
     threshold is the first percentile. Groups of fewer amplitudes or bins, or
-    without spread, are left out. Histograms are aggregated by Spark: the fit
-    of a group gets one row for each bin that has any, and makes an array of
-    all. A far outlier can make the rule ask for any number of bins; more than
+    without spread, are left out. Histograms are aggregated by Spark: the bins of
+    a group that have any, which are no more than its amplitudes, are an array,
+    and groups of like sizes are fitted together. A far outlier can make the rule ask for any number of bins; more than
     most_bins of them (80 MB) are widened to so many, which bins tells. None:
     the rule alone.
     """
@@ -219,20 +274,37 @@ def missing_spikes(df: DataFrame, by: list[str] | None = None, least: int = 16,
     stats = stats.filter((F.col("iqr") > 0) & (F.col("size") >= least)).withColumn("bins", F.least(ruled, F.lit(most_bins)) if most_bins else ruled).filter(F.col("bins") >= least_bins)
     k = F.least(F.floor((F.col("a") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")), F.col("bins") - 1)
     kept = ["size", "lo", "hi", "sd", "cut", "bins"]
-    histogram = df.join(stats, by).groupBy(*by, *kept, k.cast("long").alias("k")).agg(F.count("*").alias("n"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        from math import erf, sqrt
+    counts = df.join(stats, by).groupBy(*by, *kept, k.cast("long").alias("k")).agg(F.count("*").alias("n"))
+    shape = counts.groupBy(*by, *kept).agg(F.collect_list("k").alias("k"), F.collect_list("n").alias("n"))
 
-        one = pdf.iloc[0]
-        width = (one.hi - one.lo) / one.bins
-        n = np.zeros(int(one.bins))
-        n[pdf.k.to_numpy(int)] = pdf.n
-        mode = one.lo + width * np.flatnonzero(n == n.max()).mean()
-        x = one.lo + width * (np.arange(len(n)) + 0.5)
-        _, mean, sd = truncated_gaussian(x, n, n.max(), mode, one.sd, one.cut)
-        share = 0.5 * (1 + erf((one.cut - mean) / (sd * sqrt(2)))) if sd > 0 else float("nan")
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "n": [int(one["size"])], "bins": [int(one.bins)], "missing": [round(share, 4)]})
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            # histograms of like numbers of bins together, so many places at a time
+            order = np.argsort(pdf.bins.to_numpy(), kind="stable")
+            bins = pdf.bins.to_numpy(int)[order]
+            first = 0
+            while first < len(order):
+                last = first + 1
+                while last < len(order) and (last + 1 - first) * bins[last] <= CELLS and bins[last] <= 2 * bins[first]:
+                    last += 1
+                yield fitted(pdf.iloc[order[first:last]])
+                first = last
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, sd, cut, bins = (pdf[c].to_numpy(float) for c in ("lo", "hi", "sd", "cut", "bins"))
+        width = (hi - lo) / bins
+        place = np.arange(int(bins.max()))
+        n = np.zeros((len(pdf), len(place)))
+        for row, where, count in zip(n, pdf.k, pdf.n, strict=True):
+            row[where] = count
+        inside = place < bins[:, None]
+        top = n.max(axis=1)
+        highest = (n == top[:, None]) & inside
+        mode = lo + width * ((highest * place).sum(axis=1) / highest.sum(axis=1))
+        x = lo[:, None] + width[:, None] * (place + 0.5)
+        mean, sd = truncated_gaussians(x, n, inside & (x >= cut[:, None]), top, mode, sd)
+        share = [round(0.5 * (1 + math.erf((c - m) / (s * math.sqrt(2)))), 4) if s > 0 else float("nan") for c, m, s in zip(cut, mean, sd, strict=True)]
+        return pd.DataFrame({**{c: pdf[c].to_numpy() for c in by}, "n": pdf["size"].to_numpy(int), "bins": bins.astype(int), "missing": share})
 
     types = dict(df.dtypes)
-    return histogram.groupBy(*by).applyInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, bins long, missing double")
+    return shape.mapInPandas(fit, ", ".join(f"{c} {types[c]}" for c in by) + ", n long, bins long, missing double")
