@@ -1,8 +1,10 @@
 """Steps that must stay bounded as tables grow, against brute force or the plainer way."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
-from tidewave.operators import extraction, waveforms
+from tidewave.operators import correlograms, extraction, surrogates, waveforms
 
 
 def test_waves_are_cut_without_a_shuffle_of_parts(spark):
@@ -60,3 +62,27 @@ def test_gaussians_fitted_together_are_those_fitted_alone():
     alone = [waveforms.truncated_gaussian(np.arange(len(n)) + 0.5, n, n.max(), m, 2.0, 1.0)[1:] for n, m in zip(rows, mode, strict=True)]
     same = np.isclose(mean, [a[0] for a in alone], rtol=1e-6, atol=1e-6) & np.isclose(sd, [a[1] for a in alone], rtol=1e-6, atol=1e-6)
     assert same.mean() == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("most", [200_000, 20])
+def test_jitter_is_counted_by_blocks_of_units(spark, monkeypatch, most):
+    rng = np.random.default_rng(5)
+    rows = [(int(u), i, int(t)) for i, (u, t) in enumerate(zip(rng.integers(0, 7, 150), rng.integers(-400, 400, 150), strict=True))]
+    df = spark.createDataFrame([*rows, (None, 900, 5), (3, 901, None)], "unit long, id long, t long")
+    draws = spark.createDataFrame([(u, i, d, t + 7 * d - 5) for u, i, t in rows for d in range(2)], "unit long, id long, draw int, t long")
+    monkeypatch.setattr(correlograms, "CELLS", 64)  # blocks of one unit or two
+    monkeypatch.setattr(surrogates, "PAIRS", 9)
+    pairs = surrogates._by_pair(df, 10, 2, draws, 2, most)
+    assert "range_join" not in pairs._jdf.queryExecution().toString() and "_bucket" not in pairs._jdf.queryExecution().toString()
+    want, reached = Counter(), defaultdict(set)
+    for d, left in [(-1, rows), *((d, [(u, i, t + 7 * d - 5) for u, i, t in rows]) for d in range(2))]:
+        for u1, i1, t1 in left:
+            for u2, _, t2 in rows:
+                if u1 != u2 and abs(t2 - t1) < 30:
+                    side = t2 >= t1
+                    want[u1, u2, d, (1 if side else -1) * (abs(t2 - t1) // 10), side] += 1
+                    if d < 0:
+                        reached[u1, u2].add(i1)
+    larger = lambda u1, u2, d, b: max(want[u1, u2, d, b, True], want[u1, u2, d, b, False])
+    got = {(r.u1, r.u2, r.bin): (r.spikes, r.n, r.fake) for r in surrogates._rows(pairs, 2, 2).collect()}
+    assert got == {(u1, u2, b): (len(s), larger(u1, u2, -1, b), sum(larger(u1, u2, d, b) for d in range(2))) for (u1, u2), s in reached.items() for b in range(-2, 3)}
