@@ -99,6 +99,8 @@ class Limits:
         return self.letters is not None and layers > max(self.letters, self.times * text)
 
 
+#: What tables are scanned with: a text's size decides nothing.
+EVERY_LAYER = Limits(letters=None)
 LIMITS: ContextVar[Limits] = ContextVar("limits", default=Limits())
 
 
@@ -642,7 +644,7 @@ def redacted(text: str, mark: str = "[SECRET]", limits: Limits | None = None) ->
 SECRETS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, layers string"
 
 
-def scan_secrets(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, limits: Limits = EVERY_LAYER) -> DataFrame:
     """For each row: counts and digest of the base spans, all spans, and the added ones with their layers (layers/kind:start:end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -660,7 +662,7 @@ def scan_secrets(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SECRETS)
 
 
-def redact_secrets(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
+def redact_secrets(docs: DataFrame, limits: Limits = EVERY_LAYER) -> DataFrame:
     """The rows with a mark in place of each secret in text; a text without any stays as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
