@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewave.operators.models import normal_cdf
-
 
 def normal_fractile(p: float, mean: Column | float = 0.0, sd: Column | float = 1.0) -> Column:
     """The first place of a grid from 4 deviations under the mean, a hundredth of one apart, up to which the normal law has p; rounded to 4 places. Null where 4 deviations above it has less."""
@@ -64,9 +64,40 @@ def skewness_and_tails(df: DataFrame, value: str, by: str = "unit") -> DataFrame
 
 def log_normal_cdf(z: Column) -> Column:
     """The logarithm of the standard normal law's chance up to z, by a continued fraction under -3."""
-    far = F.greatest(-z, F.lit(3.0))
-    ratio = F.aggregate(F.sequence(F.lit(60), F.lit(1)), far, lambda s, k: far + k / s)
-    return F.when(z < -3, -0.5 * z * z - 0.5 * math.log(2 * math.pi) - F.log(ratio)).otherwise(F.log(normal_cdf(z)))
+    @F.pandas_udf("double")
+    def log_cdf(z: pd.Series) -> pd.Series:
+        x = z.to_numpy(float)
+        far = np.maximum(-x, 3.0)
+        ratio = far
+        for k in range(60, 0, -1):
+            ratio = far + k / ratio
+        with np.errstate(divide="ignore"):
+            near = np.log(normal_chances(x))
+        return pd.Series(np.where(x < -3, -0.5 * x * x - 0.5 * math.log(2 * math.pi) - np.log(ratio), near))
+
+    return log_cdf(z)
+
+
+def normal_chance(z: Column) -> Column:
+    """models.normal_cdf of the standard law by Arrow batches."""
+
+    @F.pandas_udf("double")
+    def cdf(z: pd.Series) -> pd.Series:
+        return pd.Series(normal_chances(z.to_numpy(float)))
+
+    return cdf(z)
+
+
+def normal_chances(z: np.ndarray) -> np.ndarray:
+    """The standard normal law's chances up to z, by the series of models.normal_cdf."""
+    near = np.clip(z, -8.0, 8.0)
+    square, term = near * near, near.copy()
+    total = near.copy()
+    for k in range(1, 121):
+        term *= square / (2 * k + 1)
+        total += term
+    p = 0.5 + np.exp(-0.5 * square) / math.sqrt(2 * math.pi) * total
+    return np.where(z > 8, 1.0, np.where(z < -8, 0.0, p))
 
 
 def distance_from_normal(df: DataFrame, value: str, by: str = "unit") -> DataFrame:
@@ -81,7 +112,7 @@ def distance_from_normal(df: DataFrame, value: str, by: str = "unit") -> DataFra
     upto = F.sum("c").over(Window.partitionBy(by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     placed = counts.withColumn("upto", upto).join(spread, by)
     c, n, k = F.col("c"), F.col("n"), F.col("upto")
-    cdf = normal_cdf(F.col("x"))
+    cdf = normal_chance(F.col("x"))
     y = (F.col("x") - F.col("m")) / F.col("s")
     # ranks k - c + 1 to k have this value: the sums of 2 i - 1 and of 2 (n - i) + 1 over them
     low, high = c * (2 * k - c), c * (2 * (n - k) + c)
