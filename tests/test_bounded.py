@@ -1,10 +1,12 @@
 """Steps that must stay bounded as tables grow, against brute force or the plainer way."""
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from tidewave.operators import correlograms, extraction, surrogates, waveforms
+from pyspark.sql import functions as F
+from tidewave.operators import clusters, correlograms, distributions, extraction, quality, signals, surrogates, waveforms
 
 
 def test_waves_are_cut_without_a_shuffle_of_parts(spark):
@@ -86,3 +88,62 @@ def test_jitter_is_counted_by_blocks_of_units(spark, monkeypatch, most):
     larger = lambda u1, u2, d, b: max(want[u1, u2, d, b, True], want[u1, u2, d, b, False])
     got = {(r.u1, r.u2, r.bin): (r.spikes, r.n, r.fake) for r in surrogates._rows(pairs, 2, 2).collect()}
     assert got == {(u1, u2, b): (len(s), larger(u1, u2, -1, b), sum(larger(u1, u2, d, b) for d in range(2))) for (u1, u2), s in reached.items() for b in range(-2, 3)}
+
+
+def test_quantiles_of_poisson_laws_by_batches(spark):
+    rows = [(u, m) for u in (1e-9, 0.3, 0.5, 0.99, 1 - 1e-12) for m in (0.01, 0.7, 3.0, 40.0, 900.0)] + [(None, 1.0), (0.5, None)]
+    df = spark.createDataFrame(rows, "u double, m double").select("u", "m", surrogates.poisson_quantile(F.col("u"), F.col("m")).alias("k"))
+    assert "aggregate(" not in df._jdf.queryExecution().toString()
+    for r in df.collect():
+        if r.u is None or r.m is None:
+            assert r.k is None
+            continue
+        p = c = math.exp(-r.m)
+        k = 0
+        for i in range(1, min(math.ceil(r.m + 10 * math.sqrt(r.m) + 20), 200) + 1):
+            k += r.u > c
+            p *= r.m / i
+            c += p
+        assert r.k == k
+
+
+def test_nearest_rows_in_strips():
+    rng = np.random.default_rng(6)
+    x, f = rng.integers(0, 4, (70, 3)).astype(float), rng.integers(0, 4, (31, 3)).astype(float)
+    whole, strips = (quality.nearest_rows(x, np.arange(70), f, np.arange(31), 4, held) for held in (1 << 20, 150))
+    assert all(np.array_equal(a, b) for a, b in zip(whole, strips, strict=True))
+    d = ((f[:, None] - x[None]) ** 2).sum(axis=2)
+    d[np.arange(31), np.arange(31)] = np.inf
+    assert strips[1].reshape(31, 4).tolist() == [sorted(range(70), key=lambda j: (d[i, j], j))[:4] for i in range(31)]
+
+
+def test_distances_of_blocks_are_summed_for_both_sides():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(0, 1, (40, 5)), rng.normal(0, 1, (30, 5))
+    y[:9] = x[:9]  # copies
+    of_x, of_y = rng.integers(0, 3, 40), rng.integers(0, 2, 30)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    left, right = clusters.distance_sums(x, y, of_x, of_y, 2, 3, 64)
+    assert np.allclose(left, np.stack([d[:, of_y == k].sum(axis=1) for k in range(2)], axis=1), rtol=1e-12, atol=1e-12)
+    assert np.allclose(right, np.stack([d[of_x == k].sum(axis=0) for k in range(3)], axis=1), rtol=1e-12, atol=1e-12)
+
+
+def test_logarithms_of_the_normal_law_come_by_batches(spark):
+    df = spark.createDataFrame([(x,) for x in (-30.0, -3.0, -0.5, 0.0, 2.0, 9.0)], "z double").select("z", distributions.log_normal_cdf(F.col("z")).alias("l"))
+    assert "aggregate(" not in df._jdf.queryExecution().toString()
+    assert all(r.l == pytest.approx(math.log(0.5 * math.erfc(-r.z / math.sqrt(2))), rel=1e-7, abs=1e-12) for r in df.collect())
+
+
+def test_chunks_of_different_shapes_are_whitened_together(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (3, 50))
+    cuts = [0, 7, 14, 15, 40, 50]
+    rows = [(c, k, x[c, a:b].tolist()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for c in range(3)]
+    s = spark.createDataFrame(rows, "channel long, chunk long, samples array<double>").repartition(4)
+    m = rng.normal(0, 1, (3, 3))
+    out = signals.mixed(s, m)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    got = {(r.channel, r.chunk): r.samples for r in out.collect()}
+    assert all(np.allclose(got[c, k], (m @ x)[c, cuts[k] : cuts[k + 1]]) for c, k, _ in rows) and len(got) == len(rows)
+    cov = {(r.c1, r.c2): r.covariance for r in signals.covariance(s).collect()}
+    assert all(np.isclose(v, np.cov(x, bias=True)[i, j]) for (i, j), v in cov.items()) and len(cov) == 6

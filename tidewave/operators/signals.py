@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,15 +118,41 @@ def cross_correlated(pairs: DataFrame) -> DataFrame:
     return pairs.filter("size(x) > 0 AND size(y) > 0").mapInPandas(run, "u1 long, u2 long, lags array<long>, values array<double>")
 
 
+def _matrices(signal: DataFrame) -> DataFrame:
+    """chunk, channels, rows of a signal(channel, chunk, samples): a chunk's channels in order, in one row. So many chunks are a batch, and a chunk costs no call of its own."""
+    both = F.array_sort(F.collect_list(F.struct("channel", F.col("samples").cast("array<double>").alias("samples"))))
+    one = signal.groupBy("chunk").agg(both.alias("_p"))
+    return one.select("chunk", F.transform("_p", lambda x: x["channel"]).alias("channels"), F.transform("_p", lambda x: x["samples"]).alias("rows"))
+
+
+def _by_shape(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(chunks, channels, samples by chunk, channel and frame) of _matrices for each shape that chunks of a batch have."""
+    channels, rows = batch.column("channels"), batch.column("rows")
+    count = rows.value_lengths().to_numpy()
+    lengths = rows.flatten().value_lengths().to_numpy()
+    first = np.concatenate([[0], np.cumsum(count)])
+    frames = lengths[first[:-1]]
+    if (lengths != np.repeat(frames, count)).any():
+        raise ValueError("channels of a chunk have different numbers of samples")
+    for shape in np.unique(np.stack([count, frames], axis=1), axis=0):
+        some = (count == shape[0]) & (frames == shape[1])
+        mask = pa.array(some)
+        values = rows.filter(mask).flatten().flatten().to_numpy(zero_copy_only=False)
+        yield batch.column("chunk").filter(mask).to_numpy(zero_copy_only=False), channels.filter(mask).flatten().to_numpy(zero_copy_only=False).reshape(-1, shape[0]), values.reshape(-1, *shape)
+
+
 def _by_matrix(signal: DataFrame, channels: int | None, change) -> DataFrame:
-    """change(matrix of channels by frames) of each chunk. channels: the signal is (chunk, samples frame by frame), one row a chunk, and stays so."""
+    """change(matrices of channels by frames, one after the other) of chunks. channels: the signal is (chunk, samples frame by frame), one row a chunk, and stays so."""
     if channels is None:
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("channel")
-            return pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": list(change(np.stack([np.asarray(s, float) for s in pdf.samples])))})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, name, x in _by_shape(batch):
+                    y = np.ascontiguousarray(change(x))
+                    offsets = pa.array(np.arange(y.shape[0] * y.shape[1] + 1, dtype=np.int32) * y.shape[2])
+                    yield pa.RecordBatch.from_arrays([pa.array(name.ravel(), pa.int64()), pa.array(np.repeat(chunk, y.shape[1]), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(y.ravel(), pa.float64()))], ["channel", "chunk", "samples"])
 
-        return signal.groupBy("chunk").applyInPandas(run, "channel long, chunk long, samples array<double>")
+        return _matrices(signal).mapInArrow(run, "channel long, chunk long, samples array<double>")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +169,7 @@ def common_average_removed(signal: DataFrame, channels: int | None = None) -> Da
     channels: a chunk is one row, frame by frame, and nothing is shuffled; else
     its channels meet in one group.
     """
-    return _by_matrix(signal, channels, lambda x: x - np.median(x, axis=0))
+    return _by_matrix(signal, channels, lambda x: x - np.median(x, axis=-2, keepdims=True))
 
 
 def covariance(signal: DataFrame, channels: int | None = None) -> DataFrame:
@@ -153,9 +180,13 @@ def covariance(signal: DataFrame, channels: int | None = None) -> DataFrame:
         total = x.sum(axis=1)
         return pd.DataFrame({"c1": name[i], "c2": name[j], "xy": (x @ x.T)[i, j], "sx": total[i], "sy": total[j], "n": x.shape[1]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("channel")
-        return sums(np.stack([np.asarray(s, float) for s in pdf.samples]), pdf.channel.to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, names, x in _by_shape(batch):
+                kinds, of = np.unique(names, axis=0, return_inverse=True)
+                for k, name in enumerate(kinds):  # chunks of the same channels are one recording
+                    wide = x[of.ravel() == k].transpose(1, 0, 2).reshape(len(name), -1)
+                    yield pa.RecordBatch.from_pandas(sums(wide, name), preserve_index=False)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,7 +194,7 @@ def covariance(signal: DataFrame, channels: int | None = None) -> DataFrame:
                 yield sums(np.asarray(samples, float).reshape(-1, channels).T, np.arange(channels))
 
     schema = "c1 long, c2 long, xy double, sx double, sy double, n long"
-    parts = signal.groupBy("chunk").applyInPandas(run, schema) if channels is None else signal.select("samples").mapInPandas(rows, schema)
+    parts = _matrices(signal).mapInArrow(run, schema) if channels is None else signal.select("samples").mapInPandas(rows, schema)
     total = parts.groupBy("c1", "c2").agg(*(F.sum(c).alias(c) for c in ("xy", "sx", "sy", "n")))
     return total.select("c1", "c2", (F.col("xy") / F.col("n") - F.col("sx") * F.col("sy") / (F.col("n") * F.col("n"))).alias("covariance"))
 
