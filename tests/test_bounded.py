@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidewave.operators import clusters, correlograms, distributions, extraction, quality, signals, surrogates, waveforms
+from test_studies import stable
+from tidewave.operators import clusters, correlograms, distributions, extraction, quality, rates, signals, surrogates, waveforms
 
 
 def test_waves_are_cut_without_a_shuffle_of_parts(spark):
@@ -147,3 +148,39 @@ def test_chunks_of_different_shapes_are_whitened_together(spark):
     assert all(np.allclose(got[c, k], (m @ x)[c, cuts[k] : cuts[k + 1]]) for c, k, _ in rows) and len(got) == len(rows)
     cov = {(r.c1, r.c2): r.covariance for r in signals.covariance(s).collect()}
     assert all(np.isclose(v, np.cov(x, bias=True)[i, j]) for (i, j), v in cov.items()) and len(cov) == 6
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 100])
+def test_stable_periods_have_no_row_for_each_bin(spark, monkeypatch, cells):
+    rng = np.random.default_rng(9)
+    width, bins = 10, 40
+    n = rng.poisson(rng.choice([0.2, 1, 3, 6], size=(60, bins // 8)).repeat(8, axis=1))
+    n[7] = 0  # a unit whose spikes are all outside
+    rows = [(u, b * width + j % width) for u in range(60) for b in range(bins) for j in range(n[u, b])]
+    rows += [(7, bins * width), (7, -3), (8, None), (9, -1), (9, bins * width + 5), (None, 5), (None, 15)]
+    monkeypatch.setattr(rates, "CELLS", cells)  # of 100: two units at a time
+    out = rates.stable_periods(spark.createDataFrame(rows, "unit long, t long"), width, bins * width, 2.0, 150)
+    assert not {"Window", "explode", "Join"} & set(out._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").split())
+    kernel = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    want = {u: stable((n[u], np.convolve(np.pad(n[u], 8, mode="symmetric"), kernel / kernel.sum(), "valid")), width, 150, rates.stability_levels()) for u in range(60)}
+    got = {r.unit: (r.start, r.stop, r.level) for r in out.collect()}
+    assert got == {u: v for u, v in want.items() if v} and got[7] == (0, 150, 0)
+    assert len({v[2] for v in got.values()}) > 3
+
+
+@pytest.mark.parametrize("size", [1, 3, 9, 30])
+def test_units_of_different_lengths_are_smoothed_as_alone(spark, monkeypatch, size):
+    rng = np.random.default_rng(size)
+    trains = {u: rng.poisson(3, size + u % 3) for u in range(20)}
+    dense = spark.createDataFrame([(u, b, int(v), f"{u}:{b}") for u, x in trains.items() for b, v in enumerate(x)] + [(50, 0, None, "")], "unit long, bin long, n long, tag string")
+    monkeypatch.setattr(rates, "CELLS", 16)
+    out = rates.gaussian_smoothed(dense.repartition(5), 1.5)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.unit, r.bin): r for r in out.collect()}
+    assert out.columns == ["unit", "bin", "n", "tag", "smooth"] and len(rows) == dense.count() and rows[50, 0].n is None and rows[50, 0].smooth == 0
+    k = np.exp(-0.5 * (np.arange(-6, 7) / 1.5) ** 2)
+    for u, x in trains.items():
+        for b in range(len(x)):
+            near = [(o, -b - o - 1 if b + o < 0 else 2 * len(x) - 1 - b - o if b + o >= len(x) else b + o) for o in range(-6, 7)]
+            want = sum(x[i] * k[o + 6] for o, i in near if 0 <= i < len(x)) / k.sum()
+            assert rows[u, b].tag == f"{u}:{b}" and rows[u, b].smooth == pytest.approx(want)

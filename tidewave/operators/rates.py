@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,29 +16,49 @@ from tidewave.operators.peaks import bursts_and_oscillations
 from tidewave.operators.periods import runs
 from tidewave.operators.trains import binned, filtered_intervals, regularity, with_intervals
 
+#: The most bins that a task smooths at once: 8 MB in double precision.
+CELLS = 1 << 20
 
-def gaussian_smoothed(dense: DataFrame, sd: float, value: str = "n") -> DataFrame:
-    """Adds smooth to dense(unit, bin, n): a gaussian over the bins, those beyond the ends mirrored.
 
-    A kernel of a few bins is a sum of shifted columns, in one window pass.
-    """
-    half = math.ceil(4 * sd)
+def smoothed_rows(x: np.ndarray, sd: float) -> np.ndarray:
+    """A gaussian over each row, what is beyond its ends mirrored once. Terms are added from the left, so that a row comes out the same in any company."""
+    half, size = math.ceil(4 * sd), x.shape[1]
     k = [math.exp(-0.5 * (i / sd) ** 2) for i in range(-half, half + 1)]
     total = sum(k)
-    w = Window.partitionBy("unit").orderBy("bin")
-    near = F.collect_list(value).over(w.rowsBetween(-half, half))
-    # rows near an end see fewer neighbours: the mirrored ones are taken from the array itself
-    before = F.row_number().over(w) - 1
-    size = F.count(F.lit(1)).over(Window.partitionBy("unit"))
-    out = dense.withColumn("_near", near).withColumn("_b", F.least(before, F.lit(half))).withColumn("_i", before).withColumn("_n", size)
+    place = np.arange(-half, size + half)
+    place = np.where(place < 0, -place - 1, np.where(place >= size, 2 * size - 1 - place, place))
+    near = np.where((place >= 0) & (place < size), x[:, np.clip(place, 0, size - 1)], 0)
+    out = np.zeros(x.shape)
+    for i, weight in enumerate(k):
+        out += near[:, i : i + size] * (weight / total)
+    return out
 
-    def at(offset: int):
-        place = F.col("_i") + offset
-        inside = F.when(place < 0, -place - 1).when(place >= F.col("_n"), 2 * F.col("_n") - 1 - place).otherwise(place)
-        return F.coalesce(F.get("_near", (inside - F.col("_i") + F.col("_b")).cast("int")), F.lit(0))
 
-    smooth = sum((at(o) * (k[o + half] / total) for o in range(-half, half + 1)), F.lit(0.0))
-    return out.withColumn("smooth", smooth).drop("_near", "_b", "_i", "_n")
+def gaussian_smoothed(dense: DataFrame, sd: float, value: str = "n") -> DataFrame:
+    """Adds smooth to dense(unit, bin, n): a gaussian over the bins, those beyond the ends mirrored.
+
+    A unit's bins meet in one array (8 MB for a million bins), and the arrays
+    of a batch are smoothed together, at most CELLS bins at a time.
+    """
+
+    @F.arrow_udf("array<double>")
+    def smoothed(rows: pa.Array) -> pa.Array:
+        size = rows.value_lengths().to_numpy(zero_copy_only=False)
+        x = rows.flatten().to_numpy(zero_copy_only=False)
+        first = np.cumsum(size) - size
+        out = np.zeros(len(x))
+        for n in np.unique(size[size > 0]):
+            alike = first[size == n]
+            for some in np.array_split(alike, -(-len(alike) * n // CELLS)):
+                at = some[:, None] + np.arange(n)
+                out[at] = smoothed_rows(x[at], sd)
+        return pa.ListArray.from_arrays(pa.array(np.append(first, len(x)), pa.int32()), pa.array(out))
+
+    rest = [c for c in dense.columns if c not in ("unit", "bin")]
+    units = dense.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("bin", *rest))).alias("_r"))
+    values = F.transform("_r", lambda r: F.coalesce(r[value].cast("double"), F.lit(0.0)))
+    both = units.select("unit", F.explode(F.arrays_zip(F.col("_r").alias("r"), smoothed(values).alias("s"))).alias("x"))
+    return both.select("unit", "x.r.*", F.col("x.s").alias("smooth")).select(*dense.columns, "smooth")
 
 
 def firing_periods(df: DataFrame, width: int, length: int, sd: float, share: float) -> DataFrame:
@@ -57,30 +80,75 @@ def stability_levels(most: float = 0.9, least: float = 0.4, step: float = 0.05)
     return out
 
 
+def _true_runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of true values of each row, in order."""
+    edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def _most_stable(smooth: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first) of each row's run of least deviation, to 12 places, from its first value to before its last; of equal ones the first."""
+    n = last - first
+    cut = np.cumsum(n) - n
+    x = smooth.ravel()[np.repeat(row * smooth.shape[1] + first - cut, n) + np.arange(n.sum())]
+    mean = np.add.reduceat(x, cut) / n
+    deviation = np.round(np.sqrt(np.add.reduceat((x - np.repeat(mean, n)) ** 2, cut) / n), 12)
+    order = np.lexsort((first, deviation, row))
+    best = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
+    return row[best], first[best]
+
+
+def stable_stretches(x: np.ndarray, width: int, sd: float, target: int, levels: list[float], give_way: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first bin, ticks, level) of stable_periods, for rows of counts. Rows that a share settles are not looked at by the next."""
+    smooth, mean = smoothed_rows(x, sd), x.sum(axis=1) / x.shape[1]
+    left, out = np.arange(len(x)), []
+    for level, share in enumerate(levels):
+        row, first, last = _true_runs(smooth[left] >= (mean[left] * share)[:, None])
+        row, size = left[row], (last - first) * width
+        goal = np.full(len(x), target)
+        if level == len(levels) - 1:
+            longest = np.full(len(x), -1)
+            np.maximum.at(longest, row, size)
+            less = target - give_way * ((target - longest) // give_way + 1)
+            goal = np.where(longest > target, target, less)
+        some = (size > goal[row]) & (goal[row] > 1)
+        if some.any():
+            row, first = _most_stable(smooth, row[some], first[some], last[some])
+            out.append((row, first, goal[row], np.full(len(row), level)))
+            left = np.setdiff1d(left, row, assume_unique=True)
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+
+
 def stable_periods(df: DataFrame, width: int, length: int, sd: float, target: int, levels: list[float] | None = None, give_way: int = 2) -> DataFrame:
     """unit, start, stop, level: of the runs above a share of the mean rate that are longer than target ticks the one of least deviation, cut to the target.
 
     The highest share with such a run counts. Where none has one, target gives
     way in steps until the lowest share has; a unit whose target comes to 1
     tick has no row. Deviation is that of the smoothed counts from a run's
-    first bin to before its last, equal ones go by time. The runs of all shares
-    are found at once: a bin is in those of every share up to its own.
+    first bin to before its last, equal ones go by time. Only bins with spikes
+    are shuffled; a task lays those of many units out in a matrix, at most
+    CELLS bins (or one unit's) at a time.
     """
     levels = levels or stability_levels()
-    dense = gaussian_smoothed(binned(df, width, length), sd)
-    mean = dense.groupBy("unit").agg(F.avg("n").alias("_m"))
-    passed = F.filter(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(float(x)).alias("share")) for k, x in enumerate(levels))), lambda x: F.col("smooth") >= F.col("_m") * x["share"])
-    marked = dense.join(mean, "unit").withColumn("x", F.explode(passed)).select("unit", "bin", "smooth", F.col("x.level").alias("level"))
-    run = F.col("bin") - F.row_number().over(Window.partitionBy("unit", "level").orderBy("bin"))
-    whole = Window.partitionBy("unit", "level", "run")
-    ended = marked.withColumn("run", run).withColumn("last", F.max("bin").over(whole))
-    found = ended.groupBy("unit", "level", "run").agg(F.min("bin").alias("first"), F.max("last").alias("last"), F.stddev_pop(F.when(F.col("bin") < F.col("last"), F.col("smooth"))).alias("deviation"))
-    found = found.withColumn("size", (F.col("last") - F.col("first")) * width)
-    longest = found.groupBy("unit").agg(F.min(F.when(F.col("size") > target, F.col("level"))).alias("_level"), F.max(F.when(F.col("level") == len(levels) - 1, F.col("size"))).alias("_size"))
-    less = F.lit(target) - give_way * (F.floor((F.lit(target) - F.col("_size")) / give_way) + 1)
-    wanted = longest.select("unit", F.coalesce("_level", F.lit(len(levels) - 1)).alias("level"), F.when(F.col("_level").isNotNull(), F.lit(target)).otherwise(less).cast("long").alias("_target")).filter("_target > 1")
-    best = found.join(wanted, ["unit", "level"]).filter("size > _target").groupBy("unit", "level", "_target").agg(F.min(F.struct(F.round("deviation", 12).alias("d"), "first"))["first"].alias("first"))
-    return best.select("unit", (F.col("first") * width).alias("start"), (F.col("first") * width + F.col("_target")).alias("stop"), "level")
+    bins = length // width
+    place = F.floor(F.col("t") / width)
+    counts = df.filter("unit IS NOT NULL").groupBy("unit", F.when(place.between(0, bins - 1), place).alias("bin")).agg(F.count("*").alias("n"))
+    # spikes outside all bins keep their unit
+    units = counts.groupBy("unit").agg(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))).alias("_p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), max(1, CELLS // bins)):
+                part = batch.slice(k, max(1, CELLS // bins))
+                at, n = part.column("at"), part.column("n")
+                x = np.zeros((len(part), bins), np.int64)
+                x[np.repeat(np.arange(len(part)), at.value_lengths().to_numpy()), at.flatten().to_numpy()] = n.flatten().to_numpy()
+                row, first, ticks, level = stable_stretches(x, width, sd, target, levels, give_way)
+                yield pa.RecordBatch.from_arrays([part.column("unit").take(pa.array(row)), pa.array(first * width), pa.array(first * width + ticks), pa.array(level, pa.int32())], ["unit", "start", "stop", "level"])
+
+    unit = df.schema["unit"].dataType.simpleString()
+    return units.select("unit", F.col("_p.bin").alias("at"), F.col("_p.n").alias("n")).mapInArrow(run, f"unit {unit}, start long, stop long, level int")
 
 
 def rate_stretches(df: DataFrame) -> DataFrame:
