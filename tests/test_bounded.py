@@ -1,6 +1,7 @@
 """Steps that must stay bounded as tables grow, against brute force or the plainer way."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_studies import stable
 from tidewave.operators import clusters, correlograms, distributions, extraction, quality, rates, signals, surrogates, waveforms
+from tidewave.sources import tables
 
 
 def test_waves_are_cut_without_a_shuffle_of_parts(spark):
@@ -184,3 +186,58 @@ def test_units_of_different_lengths_are_smoothed_as_alone(spark, monkeypatch, si
             near = [(o, -b - o - 1 if b + o < 0 else 2 * len(x) - 1 - b - o if b + o >= len(x) else b + o) for o in range(-6, 7)]
             want = sum(x[i] * k[o + 6] for o, i in near if 0 <= i < len(x)) / k.sum()
             assert rows[u, b].tag == f"{u}:{b}" and rows[u, b].smooth == pytest.approx(want)
+
+
+def uneven(rng, gaps):
+    """(x, rows, cuts) of two channels in 150 chunks of 0 to 9 samples, some null, numbered from below 0 and with gaps."""
+    n = rng.integers(0, 10, 150)
+    n[40:75] = 0  # more than a run of nothing
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    x = rng.normal(0, 1, (2, cuts[-1]))
+    at = (np.arange(150) * gaps) - 50
+    rows = [(c, int(at[k]), x[c, cuts[k] : cuts[k + 1]].tolist() or (None if k % 2 else [])) for c in range(2) for k in range(150)]
+    return x, rows, {int(at[k]): (cuts[k], cuts[k + 1]) for k in range(150)}
+
+
+@pytest.mark.parametrize("gaps", [1, 7, 40])
+@pytest.mark.parametrize("half", [2, 90])
+def test_gain_is_controlled_by_runs_of_chunks(spark, gaps, half):
+    x, rows, cuts = uneven(np.random.default_rng(10), gaps)
+    s = spark.createDataFrame([*rows, (0, None, [1.0]), (None, 3, [1.0])], "channel long, chunk long, samples array<double>").repartition(5)
+    out = signals.gain_controlled(s, 2 * half)
+    plan = out._jdf.queryExecution()
+    assert not re.search(r"Join [^\n]*chunk#", plan.optimizedPlan().toString())  # no chunk has a halo, level or gain to meet of its own
+    assert not re.search(r"hashpartitioning\(channel#\d+L?, \d+\)[^\n]*\n[^\n]*Map", plan.executedPlan().toString())  # nor are levels shuffled by channel
+    taps = np.hanning(2 * half + 1)
+    level = np.stack([np.convolve(np.pad(np.abs(r), half), taps / taps.sum(), "valid") for r in x])
+    level += level.mean(axis=1, keepdims=True) * 1e-8
+    got = {(r.channel, r.chunk): r for r in out.collect()}
+    assert len(got) == len(rows)
+    for c, k, _ in rows:
+        a, b = cuts[k]
+        assert np.allclose(got[c, k].samples, x[c, a:b] / level[c, a:b]) and np.allclose(got[c, k].gain, 1 / level[c, a:b])
+
+
+def test_halos_of_runs_keep_types_and_columns(spark, monkeypatch):
+    x, rows, cuts = uneven(np.random.default_rng(11), 3)
+    monkeypatch.setattr(signals, "HALOS", 1)  # a run at a time
+    s = spark.createDataFrame([(c, k, v, f"{c}:{k}") for c, k, v in rows], "channel int, chunk int, samples array<float>, tag string").repartition(5)
+    out = signals.with_halo(s, 12)
+    assert [f.dataType for f in out.schema] == [*(f.dataType for f in s.schema), *[s.schema["samples"].dataType] * 2]
+    assert not re.search(r"Join [^\n]*chunk#", out._jdf.queryExecution().optimizedPlan().toString())
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        a, b = cuts[r.chunk]
+        assert r.tag == f"{r.channel}:{r.chunk}"
+        for part, want in ((r.samples, x[r.channel, a:b]), (r.before, x[r.channel, max(0, a - 12) : a]), (r.after, x[r.channel, b : b + 12])):
+            assert part == want.astype("f4").tolist()
+
+
+def test_chunks_of_any_length_are_turned(spark):
+    rows = [(5, [1.0, 2.0, None, 4.0, 5.0, 6.0]), (6, [7.0, 8.0]), (7, None), (None, [9.0, 10.0]), (8, []), (9, [11.0, 12.0])]
+    out = tables.by_channel(spark.createDataFrame(rows, "chunk long, samples array<float>").coalesce(1), 2)
+    assert out.schema["samples"].dataType.simpleString() == "array<float>"
+    assert {(r.chunk, r.channel): r.samples for r in out.collect()} == {(k, c): (v or [])[c::2] for k, v in rows for c in range(2)}
+    with pytest.raises(Exception, match="lacks channels"):
+        tables.by_channel(spark.createDataFrame([(1, [1.0, 2.0, 3.0])], "chunk long, samples array<float>"), 2).collect()

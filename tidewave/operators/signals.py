@@ -14,61 +14,138 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidewave.operators.linear import whitening
 
 
-def chunk_starts(signal: DataFrame) -> DataFrame:
-    """channel, chunk, start, n: the place of each chunk's first sample in its channel, and its samples. Only sizes are put in order."""
-    sizes = signal.select("channel", "chunk", F.size("samples").cast("long").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("channel").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select("channel", "chunk", F.coalesce(before, F.lit(0).cast("long")).alias("start"), "n")
+#: So many numbers of chunks make a run, whose samples meet in one row: a chunk costs no halo or row of its own.
+RUN = 32
+#: The most samples of halos that a task cuts out at once, unless a run's are more.
+HALOS = 1 << 22
 
 
-def with_halo(signal: DataFrame, halo: int) -> DataFrame:
-    """Adds before and after: the halo samples on each side of a chunk, fewer at the ends of a channel.
+def _runs(signal: DataFrame, halo: int) -> DataFrame:
+    """channel, run, chunks, before, after: the chunks of a run in order, and the halo samples on each side of it, fewer at the ends of a channel.
 
-    A chunk gives its first and last samples, at most halo of each, to the
-    cells of that width in which they lie; a chunk takes from the cells that
-    its halos reach into. So chunks of any sizes meet those next to them by an
-    equi-join, and a channel's recording is never in one task.
+    A run gives its first and last samples, at most halo of each, to the cells
+    of that width in which they lie, and takes from the cells that its halos
+    reach into. So runs of any sizes meet those next to them by an equi-join,
+    and a channel's recording is never in one task. Rows without a channel or
+    a chunk have no place in a recording and are left out.
     """
     none = F.slice("samples", 1, 0)
+    rest = [c for c in signal.columns if c not in ("channel", "chunk")]
+    known = signal.filter("channel IS NOT NULL AND chunk IS NOT NULL").withColumn("samples", F.coalesce("samples", F.array().cast(signal.schema["samples"].dataType)))
+    runs = known.groupBy("channel", F.floor(F.col("chunk") / RUN).alias("run")).agg(F.array_sort(F.collect_list(F.struct("chunk", *rest))).alias("chunks"))
+    nothing = F.lit(None).cast(signal.schema["samples"].dataType)
     if not halo:
-        return signal.withColumn("before", none).withColumn("after", none)
-    placed = signal.join(chunk_starts(signal), ["channel", "chunk"])
-    ends = F.array(*(F.struct(F.lit(i).alias("side"), first.alias("first"), part.alias("part")) for i, first, part in (
-        (0, F.col("start") + F.greatest(F.col("n") - halo, F.lit(0)), F.slice("samples", F.greatest(F.col("n") - halo, F.lit(0)).cast("int") + 1, F.lit(halo))),
-        (1, F.col("start"), F.slice("samples", 1, halo)),
-    )))
+        return runs.withColumn("before", nothing).withColumn("after", nothing)
+    # only sizes are put in order
+    sizes = runs.select("channel", "run", F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + F.size(c["samples"])).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("channel").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+    placed = sizes.select("channel", "run", F.coalesce(ahead, F.lit(0).cast("long")).alias("start"), "n")
+    whole = runs.select("channel", "run", F.flatten(F.transform("chunks", lambda c: c["samples"])).alias("samples"))
+    both = whole.select("channel", "run", F.slice("samples", 1, halo).alias("head"), F.slice("samples", F.greatest(F.size("samples") - halo, F.lit(0)) + 1, F.lit(halo)).alias("tail")).join(placed, ["channel", "run"])
+    ends = F.array(F.struct(F.lit(0).alias("side"), (F.col("start") + F.col("n") - F.size("tail")).alias("first"), F.col("tail").alias("part")), F.struct(F.lit(1).alias("side"), F.col("start").alias("first"), F.col("head").alias("part")))
     cell = lambda place: F.floor(place / F.lit(halo))
-    given = placed.filter("n > 0").select("channel", F.explode(ends).alias("e")).select("channel", "e.*").withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.size("part") - 1))))
+    given = both.filter("n > 0").select("channel", F.explode(ends).alias("e")).select("channel", "e.*").withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("first") + F.size("part") - 1))))
     # each cell's part of a piece, so that nothing meets twice
     low, high = F.greatest(F.col("first"), F.col("cell") * halo), F.least(F.col("first") + F.size("part"), (F.col("cell") + 1) * halo)
     given = given.select("channel", "side", "cell", low.alias("first"), F.slice("part", (low - F.col("first")).cast("int") + 1, (high - low).cast("int")).alias("part"))
     reach = F.array(F.struct(F.lit(0).alias("side"), (F.col("start") - halo).alias("from"), F.col("start").alias("to")), F.struct(F.lit(1).alias("side"), (F.col("start") + F.col("n")).alias("from"), (F.col("start") + F.col("n") + halo).alias("to")))
-    wanted = placed.select("channel", "chunk", F.explode(reach).alias("r")).select("channel", "chunk", "r.*").withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to") - 1))))
+    wanted = placed.select("channel", "run", F.explode(reach).alias("r")).select("channel", "run", "r.*").withColumn("cell", F.explode(F.sequence(cell(F.col("from")), cell(F.col("to") - 1))))
     met = wanted.join(given, ["channel", "side", "cell"])
     low, high = F.greatest("first", "from"), F.least(F.col("first") + F.size("part"), F.col("to"))
-    met = met.filter(low < high).select("channel", "chunk", "side", low.alias("at"), F.slice("part", (low - F.col("first")).cast("int") + 1, (high - low).cast("int")).alias("part"))
+    met = met.filter(low < high).select("channel", "run", "side", low.alias("at"), F.slice("part", (low - F.col("first")).cast("int") + 1, (high - low).cast("int")).alias("part"))
     whole = lambda side: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "part")))), lambda x: x["part"]))
-    halos = met.groupBy("channel", "chunk").agg(whole(0).alias("before"), whole(1).alias("after"))
-    return signal.join(halos, ["channel", "chunk"], "left").withColumn("before", F.coalesce("before", none)).withColumn("after", F.coalesce("after", none))
+    return runs.join(met.groupBy("channel", "run").agg(whole(0).alias("before"), whole(1).alias("after")), ["channel", "run"], "left")
 
 
-def filtered(signal: DataFrame, kernel: np.ndarray) -> DataFrame:
-    """Convolution with a kernel of odd length, zeros beyond the recording; chunk by chunk, the same as over the whole."""
-    half = len(kernel) // 2
+def _spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, n of them, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class _Lines:
+    """The runs of a batch laid out end to end, each with its halos; fields are arrays of chunks, places those in values.
+
+    columns: the chunks' columns by name, channel among them. values: all
+    samples. run: a chunk's run in the batch. at, n: its first sample's place,
+    and its samples. low, high: where its run with its halos begins and ends.
+    """
+
+    def __init__(self, batch: pa.RecordBatch):
+        chunks, before, after = (batch.column(c) for c in ("chunks", "before", "after"))
+        count = chunks.value_lengths().to_numpy()
+        items = chunks.flatten()
+        self.run = np.repeat(np.arange(len(count)), count)
+        self.columns = {"channel": batch.column("channel").take(pa.array(self.run))} | {f.name: x for f, x in zip(items.type, items.flatten(), strict=True)}
+        samples = self.columns["samples"]
+        self.n = samples.value_lengths().to_numpy().astype(np.int64)
+        ahead = np.cumsum(self.n) - self.n
+        sizes = [before.value_lengths().fill_null(0).to_numpy(), np.bincount(self.run, self.n, len(count)).astype(np.int64), after.value_lengths().fill_null(0).to_numpy()]
+        total = sum(sizes)
+        low = np.cumsum(total) - total
+        places = np.concatenate([_spans(low, sizes[0]), _spans(low + sizes[0], sizes[1]), _spans(low + sizes[0] + sizes[1], sizes[2])])
+        order = np.empty(len(places), np.int64)
+        order[places] = np.arange(len(places))
+        self.values = pa.concat_arrays([before.flatten(), samples.flatten(), after.flatten()]).take(pa.array(order))
+        self.at = ahead + (low + sizes[0] - (np.cumsum(sizes[1]) - sizes[1]))[self.run]
+        self.low, self.high = low[self.run], (low + total)[self.run]
+
+    def cut(self, first: np.ndarray, n: np.ndarray) -> pa.ListArray:
+        """A list for each chunk: n values from a place on."""
+        return _lists(self.values.take(pa.array(_spans(first, n))), n)
+
+
+def _lists(values: pa.Array, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+
+
+def with_halo(signal: DataFrame, halo: int) -> DataFrame:
+    """Adds before and after: the halo samples on each side of a chunk, fewer at the ends of a channel. Chunks are cut out of their runs."""
+    fields = [*signal.columns, "before", "after"]
+    step = max(1, HALOS // (2 * RUN * max(halo, 1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), step):
+                x = _Lines(batch.slice(k, step))
+                first, end = np.maximum(x.at - halo, x.low), x.at + x.n
+                x.columns |= {"before": x.cut(first, x.at - first), "after": x.cut(end, np.minimum(end + halo, x.high) - end)}
+                yield pa.RecordBatch.from_arrays([x.columns[c] for c in fields], fields)
+
+    kind = signal.schema["samples"].dataType
+    schema = StructType([*signal.schema.fields, StructField("before", kind), StructField("after", kind)])
+    return _runs(signal, halo).mapInArrow(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for x, b, a in zip(pdf.samples, pdf.before, pdf.after, strict=True):
-                y = np.concatenate([np.zeros(half - len(b)), b, x, a, np.zeros(half - len(a))]).astype(float)
-                out.append(np.convolve(y, kernel, "valid"))
-            yield pd.DataFrame({"channel": pdf.channel, "chunk": pdf.chunk, "samples": out})
 
-    return with_halo(signal, half).mapInPandas(run, "channel long, chunk long, samples array<double>")
+def filtered(signal: DataFrame, kernel: np.ndarray, rectified: bool = False, keep: bool = False) -> DataFrame:
+    """Convolution with a kernel of odd length, zeros beyond the recording; chunk by chunk, the same as over the whole.
+
+    The runs of a batch are convolved in one go. rectified: of absolute values.
+    keep: samples stay, and the convolution is level.
+    """
+    half = len(kernel) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _Lines(batch)
+            values = x.values.to_numpy(zero_copy_only=False).astype(float)
+            # a line of runs, each between half zeros
+            gap, one = half * (2 * np.arange(len(batch)) + 1), np.flatnonzero(np.diff(x.run, prepend=-1))
+            y = np.zeros(len(values) + 2 * half * len(batch))
+            y[_spans(x.low[one] + gap, x.high[one] - x.low[one])] = np.abs(values) if rectified else values
+            y = np.convolve(y, kernel, "valid") if len(values) else values
+            level = _lists(pa.array(y[_spans(x.at + gap[x.run] - half, x.n)]), x.n)
+            x.columns |= {"level": level} if keep else {"samples": level}
+            yield pa.RecordBatch.from_arrays([x.columns[c].cast(types[c]) for c in types], list(types))
+
+    doubles = pa.list_(pa.float64())
+    types = {"channel": pa.int64(), "chunk": pa.int64(), "samples": doubles} | ({"level": doubles} if keep else {})
+    schema = "channel long, chunk long, samples array<double>" + (", level array<double>" if keep else "")
+    return _runs(signal.select("channel", "chunk", "samples"), half).mapInArrow(run, schema)
 
 
 def band_kernel(rate: float, low: float | None, high: float | None, taps: int = 101) -> np.ndarray:
@@ -271,10 +348,11 @@ def gain_controlled(signal: DataFrame, window: int, epsilon: float = 1e-8) -> Da
     stays finite. Zeros are taken beyond the recording.
     """
     taps = np.hanning(round(window / 2) * 2 + 1)
-    level = filtered(signal.withColumn("samples", F.transform("samples", lambda x: F.abs(x.cast("double")))), taps / taps.sum())
-    sums = level.groupBy("channel").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)).alias("_s"), F.sum(F.size("samples")).alias("_n"))
-    gain = level.join(sums, "channel").select("channel", "chunk", F.transform("samples", lambda x: 1 / (x + F.col("_s") * epsilon / F.col("_n"))).alias("gain"))
-    return signal.join(gain, ["channel", "chunk"]).select("channel", "chunk", F.zip_with("samples", "gain", lambda x, g: x * g).alias("samples"), "gain")
+    both = filtered(signal, taps / taps.sum(), rectified=True, keep=True)
+    sums = both.groupBy("channel").agg(F.sum(F.aggregate("level", F.lit(0.0), lambda s, x: s + x)).alias("_s"), F.sum(F.size("level")).alias("_n"))
+    # a row for each channel, so that a recording is not shuffled by channel
+    gain = both.join(F.broadcast(sums), "channel").select("channel", "chunk", "samples", F.transform("level", lambda x: 1 / (x + F.col("_s") * epsilon / F.col("_n"))).alias("gain"))
+    return gain.select("channel", "chunk", F.zip_with("samples", "gain", lambda x, g: x * g).alias("samples"), "gain")
 
 
 def along_probe_matrix(channels: int, pad: int = 0, taper: int | None = None, low: float = 0.1, order: int = 3) -> np.ndarray:
