@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewave.functions.timeline import islands
+from tidewave.operators.correlograms import Pairs, are, measured_pairs, zscore_runs
 
 
 def modulation_features(bins: DataFrame, value: str, width_ms: float, least: int, half: int, edges: bool = False) -> DataFrame:
@@ -33,6 +37,45 @@ def features_of(run: DataFrame, value: str, width_ms: float, least: int, half: i
     return out.select("u1", "u2", ms(F.col("first")).alias("left"), ms(F.col("last") + 1).alias("right"), (F.col("best.h") * F.col("side")).alias("amplitude"), ms(-F.col("best.b")).alias("at"), F.floor(F.col("crossing") / 3).alias("triplets"), "crossing", "height", "entropy")
 
 
+def normal_modulations(df: DataFrame, width: int, half: int, threshold: float, width_ms: float, least: int) -> DataFrame:
+    """modulation_features of normal_sides of all pairs' z-scores, without runs that touch an end; by blocks of units. df(unit, id, t)."""
+
+    def measure(p: Pairs) -> pa.RecordBatch:
+        p, r = zscore_runs(p, half, threshold, least, ends=False)
+        n = r.last - r.first + 1
+        entropy = 0.5 * r.power + 0.5 * math.log(2 * math.pi)
+        return p.batch(r.pair, left=r.first * width_ms, right=(r.last + 1) * width_ms, amplitude=np.abs(r.best) * r.side, at=r.at * width_ms, triplets=n // 3, crossing=n, height=r.height, entropy=entropy)
+
+    return measured_pairs(df, width, half, measure, "left double, right double, amplitude double, at double, triplets long, crossing long, height double, entropy double")
+
+
+def normal_edges(df: DataFrame, width: int, half: int, threshold: float, width_ms: float, least: int, sign: int | None = None, low: float | None = None, high: float | None = None, main: bool = False) -> DataFrame:
+    """edges of normal_modulations, by blocks of units; main: main_edges of these. df(unit, id, t)."""
+
+    def measure(p: Pairs) -> pa.RecordBatch:
+        p, r = zscore_runs(p.part(are(pc.greater(p.u1, p.u2))), half, threshold, least, ends=False)
+        lag = np.abs(r.at * width_ms)
+        keep = np.ones(len(lag), bool)
+        if sign is not None:
+            keep &= np.sign(r.best) == sign
+        if low is not None:
+            keep &= lag >= low
+        if high is not None:
+            keep &= lag <= high
+        r, lag = r.part(keep), lag[keep]
+        forward = r.at > 0
+        if main:
+            # the source of a lag that runs back, or of none, is the lower unit
+            order = np.lexsort((r.best, forward, lag, -np.abs(r.best), r.pair))
+            order = order[np.diff(r.pair[order], prepend=-1) != 0]
+            r, lag, forward = r.part(order), lag[order], forward[order]
+        u1, u2 = (u.take(pa.array(r.pair)) for u in (p.u1, p.u2))
+        mask = pa.array(forward)
+        return pa.RecordBatch.from_arrays([pc.if_else(mask, u1, u2), pc.if_else(mask, u2, u1), pa.array(lag), pa.array(r.best)], ["u1", "u2", "lag", "amplitude"])
+
+    return measured_pairs(df, width, half, measure, "lag double, amplitude double").withColumnsRenamed({"u1": "source", "u2": "target"})
+
+
 def poisson_sides(tested: DataFrame, p: float) -> DataFrame:
     """Adds side by the Poisson test: 1 for an excess under p, -1 for a lack under p."""
     return tested.withColumn("side", F.when(F.col("p_excess") < p, 1).when(1 - F.col("p_excess") < p, -1).otherwise(0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewave.functions import scalars
 from tidewave.functions.timeline import HOUR, numbered
 from tidewave.operators import behaviour, correlograms, extraction, information, learning, models, periods, quality, rates, signals, significance, trains, waveforms
-from tidewave.plans.registry import BINS, CLICKS, DAILY, DAY, DENSE, HALF, ISI, PERIODS, SPIKES, START, WAVE, WORDS, ZSCORE, click_arrays, live_events, merged_periods, query, r6, types_by_hour, waves
+from tidewave.plans.registry import BINS, CLICKS, DAILY, DAY, DENSE, HALF, ISI, PERIODS, SPIKES, START, WAVE, WORDS, ZSCORE, live_events, merged_periods, near6, query, r6, types_by_hour, waves
 from tidewave.sources import arrays, units
 from tidewave.sources.tables import by_channel, spikes, table
 from tidewave.streaming import live
@@ -64,15 +64,14 @@ def q_matrix_synchrony(spark, d):
 
 @query(f"WITH {CLICKS}, {ZSCORE} SELECT u1, u2, round(avg(n) FILTER (abs(bin) <= 1) / avg(n) FILTER (bin + {HALF} < 5 OR bin + {HALF} >= 7), 6) AS ratio FROM g GROUP BY ALL HAVING avg(n) FILTER (bin + {HALF} < 5 OR bin + {HALF} >= 7) > 0")
 def q_sync_ratio(spark, d):
-    return correlograms.array_ratio(click_arrays(spark, d), HALF, 1).filter("ratio IS NOT NULL").select("u1", "u2", r6("ratio", "ratio"))
+    return correlograms.ratio_synchrony(spikes(spark, d, "click"), HOUR, HALF, 1).select("u1", "u2", near6("ratio", "ratio"))
 
 
 @query(f"""WITH {CLICKS}, {ZSCORE}, k AS (SELECT unit, count(*) AS n FROM c GROUP BY unit), pr AS (SELECT u1, u2, bin, g.n / a.n - b.n / 720.0::DOUBLE AS dp, (g.n / a.n - b.n / 720.0::DOUBLE) * a.n / 720.0::DOUBLE AS cov FROM g JOIN k a ON a.unit = u1 JOIN k b ON b.unit = u2)
 SELECT u1, u2, round(avg(dp), 6) AS mean, round(avg(cov) * 1000, 6) AS covariance FROM pr WHERE abs(bin) <= 1 GROUP BY ALL""")
 def q_delta_probability(spark, d):
-    counts = spikes(spark, d, "click").groupBy("unit").agg(F.count("*").alias("total"))
-    p = correlograms.array_over_chance(click_arrays(spark, d), counts, 1.0, 720.0, HALF, 1)
-    return p.select("u1", "u2", r6("dp", "mean"), r6(F.col("covariance") * 1000, "covariance"))
+    p = correlograms.central_over_chance(spikes(spark, d, "click"), HOUR, HALF, 1, 1.0 / 720.0)
+    return p.select("u1", "u2", near6("dp", "mean"), near6(F.col("covariance") * 1000, "covariance"))
 
 
 # --- trains
