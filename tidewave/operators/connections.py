@@ -41,7 +41,7 @@ def normal_modulations(df: DataFrame, width: int, half: int, threshold: float, w
     """modulation_features of normal_sides of all pairs' z-scores, without runs that touch an end; by blocks of units. df(unit, id, t)."""
 
     def measure(p: Pairs) -> pa.RecordBatch:
-        p, r = zscore_runs(p, half, threshold, least, ends=False)
+        r = zscore_runs(p, half, threshold, least, ends=False)
         n = r.last - r.first + 1
         entropy = 0.5 * r.power + 0.5 * math.log(2 * math.pi)
         return p.batch(r.pair, left=r.first * width_ms, right=(r.last + 1) * width_ms, amplitude=np.abs(r.best) * r.side, at=r.at * width_ms, triplets=n // 3, crossing=n, height=r.height, entropy=entropy)
@@ -53,9 +53,9 @@ def normal_edges(df: DataFrame, width: int, half: int, threshold: float, width_m
     """edges of normal_modulations, by blocks of units; main: main_edges of these. df(unit, id, t)."""
 
     def measure(p: Pairs) -> pa.RecordBatch:
-        p, r = zscore_runs(p.part(are(pc.greater(p.u1, p.u2))), half, threshold, least, ends=False)
+        r = zscore_runs(p, half, threshold, least, ends=False)
         lag = np.abs(r.at * width_ms)
-        keep = np.ones(len(lag), bool)
+        keep = are(pc.greater(p.u1, p.u2))[r.pair]
         if sign is not None:
             keep &= np.sign(r.best) == sign
         if low is not None:
