@@ -113,7 +113,7 @@ def distance_from_normal(df: DataFrame, value: str, by: str = "unit") -> DataFra
     placed = counts.withColumn("upto", upto).join(spread, by)
     c, n, k = F.col("c"), F.col("n"), F.col("upto")
     cdf = normal_chance(F.col("x"))
-    y = (F.col("x") - F.col("m")) / F.col("s")
+    y = F.try_divide(F.col("x") - F.col("m"), F.col("s"))  # asked for of all rows, those of no deviation too
     # ranks k - c + 1 to k have this value: the sums of 2 i - 1 and of 2 (n - i) + 1 over them
     low, high = c * (2 * k - c), c * (2 * (n - k) + c)
     term = low * log_normal_cdf(y) + high * log_normal_cdf(-y)
