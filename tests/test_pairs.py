@@ -66,3 +66,10 @@ def test_runs_against_rows(spark, half):
     tested = significance.poisson_test(dense, 4, half)
     assert near(significance.poisson_bins(df, 5, half, 4)) == near(tested.select("u1", "u2", "bin", "expected", "p_excess"))
     assert near(significance.poisson_runs(df, 5, half, 4, 0.2, 2)) == near(significance.poisson_modulations(tested, 0.2, 2, half).select("u1", "u2", "side", "first", "last", "n", "deviation")) != []
+
+
+def test_scores_leave_out_spikes_of_no_unit(spark):
+    df = spark.createDataFrame([*trains(), *((None, 1_000 + i, 7 * i) for i in range(40))], "unit long, id long, t long")
+    known = df.filter("unit IS NOT NULL")
+    for of in (lambda d: correlograms.ratio_synchrony(d, 10, 12, 1), lambda d: significance.poisson_runs(d, 10, 12, 4, 0.2, 2)):
+        assert sorted(map(tuple, of(df).collect())) == sorted(map(tuple, of(known).collect())) != []

@@ -46,7 +46,7 @@ def normal_modulations(df: DataFrame, width: int, half: int, threshold: float, w
         entropy = 0.5 * r.power + 0.5 * math.log(2 * math.pi)
         return p.batch(r.pair, left=r.first * width_ms, right=(r.last + 1) * width_ms, amplitude=np.abs(r.best) * r.side, at=r.at * width_ms, triplets=n // 3, crossing=n, height=r.height, entropy=entropy)
 
-    return measured_pairs(df, width, half, measure, "left double, right double, amplitude double, at double, triplets long, crossing long, height double, entropy double")
+    return measured_pairs(df.filter("unit IS NOT NULL"), width, half, measure, "left double, right double, amplitude double, at double, triplets long, crossing long, height double, entropy double")
 
 
 def normal_edges(df: DataFrame, width: int, half: int, threshold: float, width_ms: float, least: int, sign: int | None = None, low: float | None = None, high: float | None = None, main: bool = False) -> DataFrame:
